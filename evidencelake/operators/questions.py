@@ -33,21 +33,25 @@ def named_metrics(questions: DataFrame, metrics: DataFrame) -> DataFrame:
         .filter(F.size("words") > 0)
     )
     pieces = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
-    asked = questions.select("question_id", F.lower("question").alias("q"), F.explode(pieces(F.col("question"))).alias("word"))
+    texts = questions.select("question_id", F.lower("question").alias("q"))
+    # the text itself stays behind: only its words travel to find candidates
+    asked = texts.select("question_id", F.explode(pieces(F.col("q"))).alias("word"))
     parts = ids.select("metric", F.explode(pieces(F.col("metric"))).alias("word"))
-    # only words a metric uses are counted
-    frequency = asked.join(parts.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    asked = asked.join(parts.select("word").distinct(), "word", "left_semi")
+    frequency = asked.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
     rarest = (
         parts.join(frequency, "word", "left")
         .groupBy("metric")
         .agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "word")).alias("a"))
         .select("metric", F.col("a.word").alias("word"))
     )
-    literal = F.expr(r"regexp(q, concat('(^|[^a-z0-9])\\Q', metric, '\\E(?![a-z0-9])'))")
-    every = F.expr(r"forall(words, w -> regexp(q, concat('\\b\\Q', w, '\\E\\b')))")
-    matched = (
-        asked.join(rarest.join(ids, "metric"), "word").filter(literal | every).select("question_id", "metric").distinct()
+    candidates = asked.join(rarest.join(ids, "metric"), "word").select("question_id", "metric", "words")
+    whole_words = texts.withColumn("whole", F.array_distinct(F.split("q", "[^a-z0-9_]+")))
+    every = F.size(F.array_except("words", "whole")) == 0
+    literal = F.contains("q", F.col("metric")) & F.expr(
+        r"regexp(q, concat('(^|[^a-z0-9])\\Q', metric, '\\E(?![a-z0-9])'))"
     )
+    matched = candidates.join(whole_words, "question_id").filter(every | literal).select("question_id", "metric")
     covered = metric_subsets(ids)
     superseded = (
         matched.join(covered, "metric")
