@@ -31,6 +31,11 @@ ALLOWED_STATEMENTS = (
 FORBIDDEN_WORDS = r"\b(drop|truncate|rename|attach|detach|delete\s+where|insert\s+into|grant|revoke|system\s+)\b"
 
 
+def whole_ms(ms: Column) -> Column:
+    """Whole milliseconds, halves to the even one; interpolation noise is cut first."""
+    return F.bround(F.round(ms, 6), 0)
+
+
 def attribution(comment: Column, app: str) -> Column:
     """``struct<agent, run, step>`` from our own JSON comments; anything else is unattributed."""
     parsed = F.from_json(comment, "struct<app:string,agent:string,run:string,step:string>")
@@ -87,7 +92,7 @@ def window_stats(log: DataFrame) -> DataFrame:
     )
     return joined.select(
         "grouping", F.col("h").alias("hour_ts"), F.col("s").alias("shape"), "queries",
-        F.round("p95").alias("p95_ms"), "rows_read", "max_ms", "max_rows",
+        whole_ms(F.col("p95")).alias("p95_ms"), "rows_read", "max_ms", "max_rows",
         F.col("slowest.query_kind").alias("top_kind"), F.col("slowest.touched").alias("top_rows"),
         F.col("slowest.log_comment").alias("top_log_comment"),
     )
@@ -147,7 +152,7 @@ def costliest_shapes(log: DataFrame, n: int = COST_SHAPES) -> DataFrame:
         F.count(F.lit(1)).alias("runs"), F.max("query_duration_ms").alias("max_ms"),
         F.sum("query_duration_ms").alias("_ms"), F.sum("read_rows").alias("rows_read"),
     )
-    costed = grouped.withColumn("avg_ms", F.round(ratio(F.col("_ms"), F.col("runs"))))
+    costed = grouped.withColumn("avg_ms", whole_ms(ratio(F.col("_ms"), F.col("runs"))))
     return (
         costed.orderBy((F.col("runs") * F.col("avg_ms")).desc(), "full_shape").limit(n)
         .select(F.left("full_shape", F.lit(200)).alias("shape"), "runs", "max_ms", "avg_ms", "rows_read")

@@ -1 +1,213 @@
-"""Registered queries."""
+"""Event intake and profiling. Raw lines are built from the driver tables: one JSON object per event or order."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidencelake.operators import profiling
+from evidencelake.plans.registry import Tables, query
+from evidencelake.sources import ndjson, tables
+
+
+def raw_lines(t: Tables) -> DataFrame:
+    """Text lines as a capture would hold them: nested values, blanks, malformed lines, missing discriminators."""
+    i = F.col("event_id")
+    s = lambda c: c.cast("string")
+    event = F.when(i % 40 == 0, "").otherwise(F.concat(F.lit('"event":"'), F.col("event_type"), F.lit('",')))
+    body = F.concat(
+        F.lit("{"), event, F.lit('"id":"'), F.md5(s(i)), F.lit('","timestamp":"'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+        F.lit('","user_id":"u'), s(F.col("user_id")), F.lit('","amount":'), s(F.col("value")), F.lit(',"ok":'),
+        F.when(i % 2 == 0, "true").otherwise("false"), F.lit(',"os":'), F.when(i % 3 == 0, "null").when(i % 3 == 1, '""').otherwise('"iOS"'),
+        F.lit(',"device_type":"'), F.when(i % 4 == 0, "web").otherwise("ios"), F.lit('","payment":{"amount":'), s(i % 300), F.lit(',"currency":"INR"},"payment_amount":'),
+        s(i % 7), F.lit("}"),
+    )
+    value = F.when(i % 101 == 0, "   ").when(i % 103 == 0, F.concat(F.lit("{broken "), s(i))).otherwise(body)
+    return t.events.select(F.concat(F.lit("file_"), s(i % 5)).alias("file"), value.alias("value"), "event_id")
+
+
+LINES = """
+base AS (SELECT *, event_id % 101 = 0 AS blank, event_id % 101 != 0 AND event_id % 103 = 0 AS bad, CASE WHEN event_id % 40 = 0 THEN 'unknown_event' ELSE event_type END AS event FROM events),
+good AS (SELECT * FROM base WHERE NOT blank AND NOT bad)
+"""
+
+
+def good_events(t: Tables) -> DataFrame:
+    return ndjson.flatten_events(ndjson.parse_lines(raw_lines(t), "skip"))
+
+
+@query("SRC1 SRC4", f"WITH {LINES} SELECT event, count(*) AS rows_n FROM good GROUP BY 1")
+def lenient_intake(t: Tables) -> DataFrame:
+    """Rows per event type with blank and malformed lines skipped."""
+    return tables.split_by_event(ndjson.parse_lines(raw_lines(t), "skip"))
+
+
+@query("SRC2 SRC4", f"WITH {LINES} SELECT event, count(*) AS rows_n FROM good GROUP BY 1")
+def strict_intake(t: Tables) -> DataFrame:
+    """The same through the failing mode, over the lines that are well formed."""
+    lines = raw_lines(t).filter(~F.startswith("value", F.lit("{broken")))
+    return tables.split_by_event(ndjson.parse_lines(lines, "fail"))
+
+
+@query("SRC3", f"""
+WITH {LINES}
+SELECT event_id, md5(CAST(event_id AS VARCHAR)) AS id, CASE WHEN event_id % 2 = 0 THEN '1' ELSE '0' END AS ok, CAST(event_id % 300 AS VARCHAR) AS payment_amount,
+ 'INR' AS payment_currency, CAST(event_id % 7 AS VARCHAR) AS payment_amount__2, CAST(9 AS INTEGER) AS fields_n FROM good""")
+def flattened_fields(t: Tables) -> DataFrame:
+    """One level flattened, booleans as 0/1, a name collision suffixed."""
+    f = lambda name: F.try_variant_get(F.element_at("fields", F.lit(name)), "$", "string").alias(name)
+    e = good_events(t)
+    return e.select("event_id", f("id"), f("ok"), f("payment_amount"), f("payment_currency"), f("payment_amount__2"), (F.size("fields") - 1).alias("fields_n"))
+
+
+@query("SRC5", f"""
+WITH {LINES} SELECT 'file_' || (event_id % 5) AS file, count(*) AS events_n, count(DISTINCT CASE WHEN NOT bad THEN CASE WHEN event_id % 40 = 0 THEN '' ELSE event_type END END) AS event_types_n
+FROM base WHERE NOT blank GROUP BY 1""")
+def source_facts(t: Tables) -> DataFrame:
+    """Rows and event types per file; bad lines are rows but no type."""
+    return ndjson.source_facts(ndjson.parse_lines(raw_lines(t), "keep"))
+
+
+TYPED = [("id", "string"), ("timestamp", "timestamp"), ("amount", "decimal(18,2)"), ("ok", "smallint"), ("payment_amount", "int"), ("os", "string")]
+
+
+@query("SRC6", f"""
+WITH {LINES} SELECT md5(CAST(event_id AS VARCHAR)) AS id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at_time, round(value, 2) AS amount, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS SMALLINT) AS ok,
+ CAST(event_id % 300 AS INTEGER) AS payment_amount, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'iOS' END AS os FROM good WHERE event = 'purchase'""")
+def typed_load(t: Tables) -> DataFrame:
+    """Typed rows of one event type."""
+    rows = tables.load_events(good_events(t), "purchase", TYPED)
+    return rows.select("id", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at_time"), F.col("amount").cast("double").alias("amount"), "ok", "payment_amount", "os")
+
+
+@query("SRC7", f"""
+WITH {LINES}, s AS (SELECT event, count(*) AS a FROM good GROUP BY 1), l AS (SELECT event, count(*) AS b FROM good WHERE event != 'view' AND value > 1 GROUP BY 1)
+SELECT coalesce(s.event, l.event) AS event, coalesce(a, 0) AS source_rows, coalesce(b, 0) AS table_rows, coalesce(a, 0) = coalesce(b, 0) AS matches FROM s FULL JOIN l ON s.event = l.event""")
+def count_verification(t: Tables) -> DataFrame:
+    """Source against loaded rows per event, one event missing and one short."""
+    e = ndjson.parse_lines(raw_lines(t), "skip")
+    amount = F.try_variant_get(F.element_at("record", F.lit("amount")), "$", "double")
+    return tables.verify_counts(e, e.filter((F.col("event") != "view") & (amount > 1)))
+
+
+@query("SRC9", """SELECT event_type, count(*) AS rows_n FROM events WHERE ts >= TIMESTAMP '2024-04-15' - INTERVAL 90 DAYS GROUP BY 1""")
+def retention(t: Tables) -> DataFrame:
+    """Rows still within the run log's retention at a given time."""
+    kept = tables.expire(t.events, "ts", tables.RETENTION["runs_log"], F.lit("2024-04-15").cast("timestamp_ntz"))
+    return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows_n"))
+
+
+PROFILE_SQL = f"""
+{LINES},
+cells AS (SELECT event, 'id' AS field, 'string' AS ty, md5(CAST(event_id AS VARCHAR)) AS v, NULL::DOUBLE AS num FROM good
+ UNION ALL SELECT event, 'timestamp', 'timestamp', strftime(ts, '%Y-%m-%d %H:%M:%S'), NULL FROM good
+ UNION ALL SELECT event, 'user_id', 'string', 'u' || user_id, NULL FROM good
+ UNION ALL SELECT event, 'amount', 'number', CAST(value AS VARCHAR), value FROM good
+ UNION ALL SELECT event, 'ok', 'number', CASE WHEN event_id % 2 = 0 THEN '1' ELSE '0' END, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END FROM good
+ UNION ALL SELECT event, 'os', 'string', CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'iOS' END, NULL FROM good
+ UNION ALL SELECT event, 'device_type', 'string', CASE WHEN event_id % 4 = 0 THEN 'web' ELSE 'ios' END, NULL FROM good
+ UNION ALL SELECT event, 'payment_amount', 'number', CAST(event_id % 300 AS VARCHAR), event_id % 300 FROM good
+ UNION ALL SELECT event, 'payment_currency', 'string', 'INR', NULL FROM good
+ UNION ALL SELECT event, 'payment_amount__2', 'number', CAST(event_id % 7 AS VARCHAR), event_id % 7 FROM good),
+prof AS (SELECT event, field, CASE WHEN count(*) FILTER (WHERE v != '') = 0 THEN 'string' ELSE any_value(ty) END AS inferred_type,
+ floor(CAST(count(*) FILTER (WHERE v IS NULL OR v = '') AS DOUBLE) / count(*) * 1000 + 0.5) / 1000 AS null_rate,
+ CASE WHEN count(DISTINCT coalesce(v, '__null__')) >= 5000 THEN 5001 ELSE count(DISTINCT coalesce(v, '__null__')) END AS distinct_n, count(*) AS rows_n,
+ max(length(v)) FILTER (WHERE v != '') AS longest, min(num) AS lo, max(num) AS hi FROM cells GROUP BY 1, 2)
+"""
+
+
+@query("PRO1 PRO2 PRO3 PRO4 PRO6 PRO7 PRO8", f"""
+WITH {PROFILE_SQL} SELECT event, field, inferred_type, null_rate, CAST(distinct_n AS BIGINT) AS distinct_n, rows_n,
+ CAST(CASE WHEN inferred_type IN ('string', 'timestamp') THEN coalesce(longest, 0) END AS INTEGER) AS max_length, lo AS min_value, hi AS max_value FROM prof""")
+def field_profile(t: Tables) -> DataFrame:
+    """The whole profile of every event type."""
+    return profiling.profile_events(good_events(t)).drop("samples", "position")
+
+
+@query("PRO5", f"""
+WITH {PROFILE_SQL}, d AS (SELECT DISTINCT event, field, v FROM cells WHERE v != '')
+SELECT event, field, string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY event, field ORDER BY v) <= 5) GROUP BY 1, 2""")
+def sample_values(t: Tables) -> DataFrame:
+    """The five smallest distinct values of every field."""
+    p = profiling.profile_events(good_events(t)).filter(F.size("samples") > 0)
+    return p.select("event", "field", F.array_join("samples", "|").alias("samples"))
+
+
+@query("PRO8", """
+SELECT 'file_' || (event_id % 5) AS file, count(*) AS rows_n, count(DISTINCT CASE event_id % 2 WHEN 0 THEN 'true' ELSE 'false' END) AS distinct_n, 'boolean' AS inferred_type
+FROM events WHERE event_id % 101 != 0 AND event_id % 103 != 0 GROUP BY 1""")
+def raw_profile_by_file(t: Tables) -> DataFrame:
+    """Profile per file before flattening, where booleans are still booleans."""
+    p = profiling.profile_events(ndjson.parse_lines(raw_lines(t), "skip"), by="file", fields="record")
+    return p.filter("field = 'ok'").select("file", "rows_n", "distinct_n", "inferred_type")
+
+
+@query("PRO9", f"""
+WITH {PROFILE_SQL} SELECT event, field FROM prof WHERE field NOT IN ('id', 'timestamp', 'user_id', 'os', 'device_type')""")
+def new_fields(t: Tables) -> DataFrame:
+    """Fields the envelope does not know."""
+    return profiling.new_fields(profiling.profile_events(good_events(t)))
+
+
+@query("PRO10", f"""
+WITH {PROFILE_SQL}
+SELECT event, field, CASE WHEN field = 'timestamp' THEN 'DateTime64(3)' WHEN field IN ('amount', 'payment_amount', 'payment_amount__2') THEN 'Decimal64(2)' WHEN field = 'ok' THEN 'UInt8' WHEN field = 'id' THEN 'FixedString(32)'
+  WHEN field = 'user_id' THEN 'String' WHEN null_rate > 0 THEN 'LowCardinality(String) DEFAULT ''''' ELSE 'LowCardinality(String)' END AS source_type,
+ CASE WHEN field = 'timestamp' THEN 'timestamp' WHEN field IN ('amount', 'payment_amount', 'payment_amount__2') THEN 'decimal(18,2)' WHEN field = 'ok' THEN 'smallint' ELSE 'string' END AS spark_type FROM prof""")
+def type_advice(t: Tables) -> DataFrame:
+    """The narrowest type of every field."""
+    p = profiling.recommend_types(profiling.profile_events(good_events(t)))
+    return p.select("event", "field", "source_type", "spark_type")
+
+
+@query("PRO11", f"""
+WITH {PROFILE_SQL} SELECT event, 'device_type,user_id,timestamp' AS order_by, 'month(timestamp)' AS partition_by,
+ 'device_type (' || distinct_n || ' distinct) leads for pruning; user_id is the join key (0% null); timestamp for range scans' AS reason FROM prof WHERE field = 'device_type'""")
+def layout_advice(t: Tables) -> DataFrame:
+    """Sort key and partitioning of every event table."""
+    p = profiling.recommend_layout(profiling.profile_events(good_events(t)))
+    return p.withColumn("order_by", F.array_join("order_by", ","))
+
+
+@query("PRO12", f"""
+WITH {PROFILE_SQL} SELECT event, field, CASE field WHEN 'timestamp' THEN 'event time, ms precision' WHEN 'id' THEN 'identifier, high cardinality' WHEN 'user_id' THEN 'identifier, high cardinality'
+ WHEN 'os' THEN distinct_n || ' distinct values; ' || printf('%.1f', null_rate * 100) || '% empty — bucket as ''unknown'' at query time'
+ WHEN 'payment_currency' THEN distinct_n || ' distinct values; never aggregate values across currencies' WHEN 'device_type' THEN distinct_n || ' distinct values'
+ ELSE 'range ' || regexp_replace(CAST(lo AS VARCHAR), '\\.0$', '') || '–' || regexp_replace(CAST(hi AS VARCHAR), '\\.0$', '') END AS note FROM prof""")
+def column_notes(t: Tables) -> DataFrame:
+    """What a reader must know about each column."""
+    return profiling.column_notes(profiling.recommend_types(profiling.profile_events(good_events(t))))
+
+
+@query("PRO12", f"""
+WITH {LINES}, e AS (SELECT DISTINCT event FROM good)
+SELECT event, unnest(['empty values in os — bucket as ''unknown'', never treat as a category', 'no duplicate_id/is_back_filled columns — the hygiene filters do not apply here',
+ 'no app_session_id — outside the sessionization model; join via the key above', 'multi-currency: never aggregate amounts without grouping by currency']) AS gotcha FROM e""")
+def table_gotchas(t: Tables) -> DataFrame:
+    """What to beware of in each event table."""
+    return profiling.table_gotchas(profiling.recommend_types(profiling.profile_events(good_events(t))))
+
+
+@query("PRO13", f"""
+WITH {PROFILE_SQL}, d AS (SELECT DISTINCT event_type AS event, unnest(['id', 'timestamp', 'ghost']) AS field FROM events)
+SELECT event, field, 'missing' AS status FROM prof p WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.event = p.event AND d.field = p.field)
+UNION ALL SELECT event, field, 'invented' FROM d WHERE NOT EXISTS (SELECT 1 FROM prof p WHERE d.event = p.event AND d.field = p.field)""")
+def schema_coverage(t: Tables) -> DataFrame:
+    """Measured fields a table lacks and declared ones never measured."""
+    declared = t.events.select(F.col("event_type").alias("event")).distinct().withColumn("field", F.explode(F.array(*[F.lit(x) for x in ("id", "timestamp", "ghost")])))
+    return profiling.schema_coverage(profiling.profile_events(good_events(t)), declared)
+
+
+@query("PRO14", """
+WITH d AS (SELECT event_type, max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS hi FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
+SELECT 'k' AS field, CAST(2 AS BIGINT) AS types_n, 'int,smallint' AS types FROM d HAVING count(*) = 2""")
+def type_conflicts(t: Tables) -> DataFrame:
+    """A field that would get two types in two events: clicks carry it a thousandfold."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    scaled = F.when(F.col("event_type") == "click", k * 97 + 256).otherwise(k)
+    line = F.concat(F.lit('{"event":"'), "event_type", F.lit('","k":'), scaled.cast("string"), F.lit(',"j":"x"}'))
+    lines = t.events.filter(F.col("event_type").isin("view", "click")).select(line.alias("value"))
+    typed = profiling.recommend_types(profiling.profile_events(ndjson.flatten_events(ndjson.parse_lines(lines))))
+    # the hundred or so integers of the field are not continuous money: judge them by their range alone
+    typed = typed.withColumn("spark_type", F.when(F.col("spark_type") == "double", "int").otherwise(F.col("spark_type")))
+    return profiling.type_conflicts(typed).withColumn("types", F.array_join("types", ","))
