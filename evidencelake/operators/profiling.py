@@ -6,7 +6,7 @@ with one value in every row of a huge event costs one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions.names import IDENTIFIER_NAME, MONEY_NAME
@@ -38,50 +38,60 @@ def value_text(v: Column) -> Column:
 
 
 def explode_fields(events: DataFrame, by: str = "event", fields: str = "fields") -> DataFrame:
-    """``(by, position, field, json_type, text, number)`` per present field; a missing key yields no row."""
+    """``(by, position, field, json_type, text, number)`` per present field; a missing key yields no row.
+
+    A record without any field yields one row with a NULL field, so records stay countable.
+    """
     kind = F.schema_of_variant("v")
     json_type = (
         F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string")
         .when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), "json").otherwise("number")
     )
     return (
-        events.select(by, F.posexplode(F.map_entries(fields)).alias("position", "e"))
+        events.select(by, F.posexplode_outer(F.map_entries(fields)).alias("position", "e"))
         .select(by, "position", F.col("e.key").alias("field"), F.col("e.value").alias("v"))
+        .withColumn("json_type", F.when(F.col("field").isNotNull(), json_type))
         .select(
-            by, "position", "field", json_type.alias("json_type"), value_text(F.col("v")).alias("text"),
-            F.when(json_type == "number", F.try_variant_get("v", "$", "double")).alias("number"),
+            by, "position", "field", "json_type", value_text(F.col("v")).alias("text"),
+            F.when(F.col("json_type") == "number", F.try_variant_get("v", "$", "double")).alias("number"),
         )
     )
 
 
-def profile_cells(cells: DataFrame, totals: DataFrame, by: str = "event") -> DataFrame:
-    """Profile from :func:`explode_fields` rows and ``totals(by, rows_n)``."""
+def profile_cells(cells: DataFrame, by: str = "event") -> DataFrame:
+    """Profile from :func:`explode_fields` rows: one pass for the statistics, one for the samples."""
     text, json_type = F.col("text"), F.col("json_type")
     nullish = (json_type == "null") | (text == "")
-    distinct = cells.groupBy(
-        by, "field", "json_type", F.when(json_type != "null", text).alias("text"), "number"
-    ).agg(F.count(F.lit(1)).alias("c"), F.min("position").alias("position"))
-    present = F.when(~nullish, F.col("c"))
-    of = lambda condition: F.coalesce(F.sum(F.when(condition & ~nullish, F.col("c"))), F.lit(0))
+    # NULL is a value too; the same printed text under two JSON types is one value
+    value = F.when(json_type != "null", text).otherwise(NULL_TEXT).alias("t")
+    of = lambda condition: F.count_if(condition & ~nullish)
     is_time = (json_type == "string") & text.rlike(TIMESTAMP_TEXT)
-    # the same printed text under two JSON types is one value
-    texts = distinct.select(by, "field", F.coalesce("text", F.lit(NULL_TEXT)).alias("t")).distinct()
-    distinct_n = texts.groupBy(by, "field").agg(F.count(F.lit(1)).alias("distinct_n"))
-    samples = (
-        first_per_key(
-            distinct.filter(~nullish).select(by, "field", "text").distinct(), [by, "field"], [F.col("text")], SAMPLES
-        )
-        .groupBy(by, "field")
-        .agg(F.array_sort(F.collect_list("text")).alias("samples"))
-    )
-    stats = distinct.groupBy(by, "field").agg(
-        F.min("position").alias("position"),
-        F.sum(F.when(nullish, F.col("c")).otherwise(0)).alias("nullish_n"),
-        F.coalesce(F.sum(present), F.lit(0)).alias("present_n"),
+    folded = cells.groupBy(by, "field", value).agg(
+        F.min("position").alias("position"), F.count_if(nullish).alias("nullish_n"), of(F.lit(True)).alias("present_n"),
         of(json_type == "boolean").alias("booleans"), of(json_type == "number").alias("numbers"),
         of(is_time).alias("timestamps"), of(json_type == "json").alias("objects"),
         F.max(F.when(~nullish, F.length(text))).alias("longest"),
         F.min("number").alias("lowest"), F.max("number").alias("highest"),
+        # the first field of a record, or the stand-in of an empty one, counts the record
+        F.count_if(F.coalesce("position", F.lit(0)) == 0).alias("records"),
+    )
+    sums = ("nullish_n", "present_n", "booleans", "numbers", "timestamps", "objects", "records")
+    # as many rows per event as it has fields
+    of_event = Window.partitionBy(by)
+    stats = (
+        folded.groupBy(by, "field")
+        .agg(
+            F.min("position").alias("position"), F.count(F.lit(1)).alias("distinct_n"), *[F.sum(c).alias(c) for c in sums],
+            F.max("longest").alias("longest"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
+        )
+        .withColumn("rows_n", F.sum("records").over(of_event))
+        .filter(F.col("field").isNotNull())
+    )
+    present = cells.filter(~nullish).select(by, "field", "text").distinct()
+    samples = (
+        first_per_key(present, [by, "field"], [F.col("text")], SAMPLES)
+        .groupBy(by, "field")
+        .agg(F.array_sort(F.collect_list("text")).alias("samples"))
     )
     n = F.col("present_n")
     kind = (
@@ -90,7 +100,7 @@ def profile_cells(cells: DataFrame, totals: DataFrame, by: str = "event") -> Dat
     )
     null_rate = F.floor(ratio(F.col("nullish_n"), F.col("rows_n")) * 1000 + 0.5) / 1000
     return (
-        stats.join(distinct_n, [by, "field"]).join(samples, [by, "field"], "left").join(totals, by)
+        stats.join(samples, [by, "field"], "left")
         .withColumn("inferred_type", kind)
         .select(
             by, "field", "position", "inferred_type", null_rate.alias("null_rate"),
@@ -109,8 +119,7 @@ def profile_events(events: DataFrame, by: str = "event", fields: str = "fields")
     ``fields`` is the flattened map, or the raw ``record`` to profile before flattening. Samples are the five
     smallest texts, which does not depend on file order.
     """
-    totals = events.groupBy(by).agg(F.count(F.lit(1)).alias("rows_n"))
-    return profile_cells(explode_fields(events, by, fields), totals, by)
+    return profile_cells(explode_fields(events, by, fields), by)
 
 
 def new_fields(profile: DataFrame, envelope: DataFrame | None = None, by: str = "event") -> DataFrame:

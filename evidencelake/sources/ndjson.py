@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN_EVENT = "unknown_event"
-
-
-def is_object(v: Column) -> Column:
-    return F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def parse_lines(lines: DataFrame, mode: str = "skip", text: str = "value") -> DataFrame:
@@ -19,10 +16,11 @@ def parse_lines(lines: DataFrame, mode: str = "skip", text: str = "value") -> Da
     """
     if mode not in ("skip", "fail", "keep"):
         raise ValueError(f"unknown mode {mode!r}")
-    # from_json tolerates text after the object, the variant parser does not
-    valid = F.try_parse_json(F.col(text)).isNotNull()
-    record = F.when(valid, F.from_json(F.col(text), "map<string,variant>"))
-    parsed = lines.filter(F.col(text).rlike(r"\S")).withColumn("record", record)
+    # read as the only element of a list: text after the object then breaks the list instead of being ignored
+    listed = F.from_json(F.concat(F.lit("["), F.col(text), F.lit("]")), "array<map<string,variant>>", STRICT_JSON)
+    record = F.transform(F.array(listed), lambda r: F.when(F.size(r) == 1, last_of_repeated(F.get(r, F.lit(0)))))
+    # taken out by a generator, which filters are not pushed through: the text is parsed once
+    parsed = lines.filter(F.col(text).rlike(r"\S")).select("*", F.explode_outer(record).alias("record"))
     if mode == "skip":
         parsed = parsed.filter(F.col("record").isNotNull())
     elif mode == "fail":
@@ -31,6 +29,14 @@ def parse_lines(lines: DataFrame, mode: str = "skip", text: str = "value") -> Da
     return parsed.withColumn("event", event_name(F.col("record")))
 
 
+def last_of_repeated(record: Column) -> Column:
+    """A key written twice keeps its place and takes its last value."""
+    keys = F.map_keys(record)
+    last = lambda k: F.element_at(F.filter(F.map_entries(record), lambda e: e["key"] == k), -1)
+    rebuilt = F.map_from_entries(F.transform(F.array_distinct(keys), last))
+    return F.when(F.size(F.array_distinct(keys)) < F.size(keys), rebuilt).otherwise(record)
+
+
 def event_name(record: Column) -> Column:
     """The discriminator as text; a missing or null one is ``unknown_event``."""
     return F.coalesce(F.try_variant_get(F.element_at(record, F.lit("event")), "$", "string"), F.lit(UNKNOWN_EVENT))
@@ -42,45 +48,49 @@ def read_ndjson(spark: SparkSession, path: str, mode: str = "skip") -> DataFrame
     return parse_lines(lines, mode)
 
 
-def flatten_record(record: Column) -> Column:
-    """``array<struct<name, v>>`` of a record: one level of nesting joined with ``_``, the discriminator dropped,
-    booleans as 0/1, arrays kept. A name already taken gets the first free ``__2``, ``__3``, ... suffix.
-    """
+def _flat_pairs(record: Column) -> Column:
+    """``array<struct<name, v>>``: one level of nesting joined with ``_``, the discriminator dropped."""
     entries = F.filter(F.map_entries(record), lambda e: e["key"] != "event")
     pair = lambda name, v: F.struct(name.alias("name"), v.alias("v"))
+    # NULL unless the value is an object
+    members = lambda e: F.map_entries(F.try_variant_get(e["value"], "$", "map<string,variant>"))
     nested = F.transform(
         entries,
-        lambda e: F.when(
-            is_object(e["value"]),
-            F.transform(
-                F.map_entries(e["value"].cast("map<string,variant>")),
-                lambda c: pair(F.concat(e["key"], F.lit("_"), c["key"]), c["value"]),
-            ),
-        ).otherwise(F.array(pair(e["key"], e["value"]))),
+        lambda e: F.coalesce(
+            F.transform(members(e), lambda c: pair(F.concat(e["key"], F.lit("_"), c["key"]), c["value"])),
+            F.array(pair(e["key"], e["value"])),
+        ),
     )
-    flat = F.flatten(nested)
+    return F.flatten(nested)
+
+
+def _unique_names(names: Column) -> Column:
+    """A name already taken gets the first free ``__2``, ``__3``, ... suffix."""
 
     def free_name(taken: Column, name: Column) -> Column:
         numbered = F.transform(
             F.sequence(F.lit(2), F.size(taken) + 2), lambda i: F.concat(name, F.lit("__"), i.cast("string"))
         )
-        choices = F.concat(F.array(name), numbered)
-        return F.get(F.filter(choices, lambda c: ~F.array_contains(taken, c)), F.lit(0))
+        free = F.get(F.filter(numbered, lambda c: ~F.array_contains(taken, c)), F.lit(0))
+        return F.when(F.array_contains(taken, name), free).otherwise(name)
 
-    names = F.aggregate(
-        F.transform(flat, lambda x: x["name"]),
-        F.array().cast("array<string>"),
-        lambda taken, name: F.concat(taken, F.array(free_name(taken, name))),
+    suffixed = F.aggregate(
+        names, F.array().cast("array<string>"), lambda taken, name: F.concat(taken, F.array(free_name(taken, name)))
     )
-    zero_one = lambda v: F.when(
-        F.schema_of_variant(v) == "BOOLEAN", F.parse_json(F.try_variant_get(v, "$", "boolean").cast("int").cast("string"))
-    ).otherwise(v)
-    return F.zip_with(names, flat, lambda n, x: pair(n, zero_one(x["v"])))
+    return F.when(F.size(F.array_distinct(names)) < F.size(names), suffixed).otherwise(names)
+
+
+def _zero_one(v: Column) -> Column:
+    as_number = F.when(F.try_variant_get(v, "$", "boolean"), F.parse_json(F.lit("1"))).otherwise(F.parse_json(F.lit("0")))
+    return F.when(F.schema_of_variant(v) == "BOOLEAN", as_number).otherwise(v)
 
 
 def flatten_events(records: DataFrame) -> DataFrame:
-    """Replace ``record`` with ``fields map<string, variant>`` of the flattened row."""
-    return records.withColumn("fields", F.map_from_entries(flatten_record(F.col("record")))).drop("record")
+    """Replace ``record`` with ``fields map<string, variant>``: one level flattened, booleans as 0/1, arrays kept."""
+    flat = records.withColumn("_flat", _flat_pairs(F.col("record"))).drop("record")
+    named = flat.withColumn("_names", _unique_names(F.transform("_flat", lambda x: x["name"])))
+    values = F.transform("_flat", lambda x: _zero_one(x["v"]))
+    return named.withColumn("fields", F.map_from_arrays("_names", values)).drop("_flat", "_names")
 
 
 def source_facts(lines: DataFrame) -> DataFrame:
