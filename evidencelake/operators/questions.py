@@ -82,7 +82,7 @@ def metric_subsets(ids: DataFrame) -> DataFrame:
 
 def clean_assumptions(raw: Column) -> Column:
     """A list of assumptions, or one text split at ``;`` and line breaks: trimmed, blanks dropped, clamped."""
-    trimmed = F.filter(F.transform(raw, F.trim), lambda a: a != "")
+    trimmed = F.filter(F.transform(raw, lambda a: F.trim(a)), lambda a: a != "")
     return F.slice(F.transform(trimmed, lambda a: F.left(a, F.lit(ASSUMPTION_CHARS))), 1, MAX_ASSUMPTIONS)
 
 
