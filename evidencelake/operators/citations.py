@@ -97,7 +97,7 @@ def without_known_dates(texts: DataFrame, dates: DataFrame) -> DataFrame:
     A date is known when it is a prefix of a literal or the other way round; an invented one stays.
     """
     found = F.regexp_extract_all(F.col("text"), F.lit(f"({DATE_IN_TEXT})"), 1)
-    written = texts.select("answer_id", "section", F.explode(F.array_distinct(found)).alias("found"))
+    written = texts.select("answer_id", "section", F.explode_outer(F.array_distinct(found)).alias("found"))
     literals = dates.select("answer_id", "literal", F.left("literal", F.lit(10)).alias("day"))
     known = (
         written.withColumn("day", F.left("found", F.lit(10)))
@@ -120,11 +120,12 @@ def without_known_dates(texts: DataFrame, dates: DataFrame) -> DataFrame:
 
 def quoted_numbers(texts: DataFrame) -> DataFrame:
     """Distinct ``(answer_id, raw, n)`` worth checking: small integers and years are not claims about the data."""
-    marked = F.regexp_replace("text", r"(?<=[A-Za-z0-9_%)\]])-(?=\d)", _SEPARATOR)
+    marked = F.regexp_replace("text", r"-(?<=[A-Za-z0-9_%)\]]-)(?=\d)", _SEPARATOR)
     tokens = F.regexp_extract_all(marked, F.lit(rf"([-{_SEPARATOR}]?\d[\d,]*(?:\.\d+)?)"), 1)
     n, whole = F.col("n"), F.col("n") == F.floor("n")
     return (
-        texts.select("answer_id", F.explode(tokens).alias("token"))
+        # the outer form: an inferred emptiness filter would scan every text twice
+        texts.select("answer_id", F.explode_outer(tokens).alias("token"))
         .select(
             "answer_id",
             F.regexp_replace("token", _SEPARATOR, "-").alias("raw"),

@@ -21,8 +21,8 @@ def named_metrics(questions: DataFrame, metrics: DataFrame) -> DataFrame:
     """``(question_id, metric)`` for every stored metric a question names, the most specific only.
 
     ``questions(question_id, question)``, ``metrics(entity)`` with ``metric:<id>`` entities. A metric is named
-    when all words of its id occur as whole words, or the id itself does. Candidates meet on the metric's
-    rarest word only, so a word every question uses joins nothing.
+    when all words of its id occur as whole words, or the id itself does. Candidates meet on one word per
+    metric - the one fewest metrics use, the longest among those - and are then checked against the whole text.
     """
     ids = (
         metrics.filter(F.startswith(F.lower("entity"), F.lit("metric:")))
@@ -35,14 +35,13 @@ def named_metrics(questions: DataFrame, metrics: DataFrame) -> DataFrame:
     pieces = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
     texts = questions.select("question_id", F.lower("question").alias("q"))
     # the text itself stays behind: only its words travel to find candidates
-    asked = texts.select("question_id", F.explode(pieces(F.col("q"))).alias("word"))
+    asked = texts.select("question_id", F.explode_outer(pieces(F.col("q"))).alias("word"))
     parts = ids.select("metric", F.explode(pieces(F.col("metric"))).alias("word"))
-    asked = asked.join(parts.select("word").distinct(), "word", "left_semi")
-    frequency = asked.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    frequency = parts.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
     rarest = (
-        parts.join(frequency, "word", "left")
+        parts.join(frequency, "word")
         .groupBy("metric")
-        .agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "word")).alias("a"))
+        .agg(F.min(F.struct("f", (-F.length("word")).alias("l"), "word")).alias("a"))
         .select("metric", F.col("a.word").alias("word"))
     )
     candidates = asked.join(rarest.join(ids, "metric"), "word").select("question_id", "metric", "words")
@@ -51,14 +50,20 @@ def named_metrics(questions: DataFrame, metrics: DataFrame) -> DataFrame:
     literal = F.contains("q", F.col("metric")) & F.expr(
         r"regexp(q, concat('(^|[^a-z0-9])\\Q', metric, '\\E(?![a-z0-9])'))"
     )
-    matched = candidates.join(whole_words, "question_id").filter(every | literal).select("question_id", "metric")
-    covered = metric_subsets(ids)
-    superseded = (
-        matched.join(covered, "metric")
-        .join(matched.select("question_id", F.col("metric").alias("wider")), ["question_id", "wider"], "left_semi")
+    matched = candidates.join(whole_words, "question_id").filter(every | literal).select(
+        "question_id", F.col("metric").alias("wider")
+    )
+    # a named metric speaks for itself and against every metric its words contain
+    effects = ids.select(F.col("metric").alias("wider"), "metric", F.lit(False).alias("against")).unionByName(
+        metric_subsets(ids).withColumn("against", F.lit(True))
+    )
+    return (
+        matched.join(effects, "wider")
+        .groupBy("question_id", "metric")
+        .agg(F.max(~F.col("against")).alias("named"), F.max("against").alias("covered"))
+        .filter("named AND NOT covered")
         .select("question_id", "metric")
     )
-    return matched.join(superseded, ["question_id", "metric"], "left_anti")
 
 
 def metric_subsets(ids: DataFrame) -> DataFrame:
@@ -91,10 +96,10 @@ def split_assumptions(text: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    spaced = F.regexp_replace(F.lower(text), "[^a-z0-9_.-]+", " ")
-    trimmed = F.transform(F.split(spaced, " "), lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", ""))
-    folded = F.transform(trimmed, lambda w: F.when(w.isin(*EXCLUDE_FORMS), "exclude").otherwise(w))
-    return F.filter(folded, lambda w: w != "")
+    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_.-]+", " "), F.lit(" "))
+    trimmed = F.regexp_replace(spaced, r"(?<= )[.-]+|[.-]+(?= )", "")
+    words = F.array_distinct(F.filter(F.split(trimmed, " +"), lambda w: w != ""))
+    return F.transform(words, lambda w: F.when(w.isin(*EXCLUDE_FORMS), "exclude").otherwise(w))
 
 
 def _without_menu(definition: Column) -> Column:
@@ -112,25 +117,27 @@ def unstated_assumptions(question: Column, assumptions: Column, definitions: Col
     if definitions is not None:
         pinned = F.array_join(F.transform(F.coalesce(definitions, F.array().cast("array<string>")), _without_menu), " ")
         stated_text = F.concat_ws(" ", stated_text, pinned)
-    stated = F.array_distinct(_tokens(stated_text))
 
-    def form_stated(form: Column) -> Column:
-        return F.exists(
+    def form_stated(stated: Column, form: Column) -> Column:
+        return F.array_contains(stated, form) | F.exists(
             stated,
-            lambda t: (t == form) | F.startswith(t, F.concat(form, F.lit("_"))) | F.endswith(t, F.concat(F.lit("_"), form)),
+            lambda t: F.startswith(t, F.concat(form, F.lit("_"))) | F.endswith(t, F.concat(F.lit("_"), form)),
         )
 
-    def is_stated(word: Column) -> Column:
+    def is_stated(stated: Column, word: Column) -> Column:
         plural = F.endswith(word, F.lit("s")) & (F.length(word) >= 5)
-        return form_stated(word) | (plural & form_stated(F.regexp_replace(word, "s$", "")))
+        return form_stated(stated, word) | (plural & form_stated(stated, F.regexp_replace(word, "s$", "")))
 
-    def charged(assumption: Column) -> Column:
+    def charged(stated: Column, assumption: Column) -> Column:
         at = F.instr(assumption, F.lit(" = "))
         claim = F.when(at > 0, F.substr(assumption, at + 3)).otherwise(assumption)
         words = F.filter(_tokens(claim), lambda w: (F.length(w) >= 3) & ~w.isin(*FILLER))
-        return (F.size(words) == 0) | ~F.forall(words, is_stated)
+        return (F.size(words) == 0) | ~F.forall(words, lambda w: is_stated(stated, w))
 
-    return F.filter(F.coalesce(assumptions, F.array().cast("array<string>")), charged)
+    listed = F.coalesce(assumptions, F.array().cast("array<string>"))
+    # bound as a lambda variable, the stated words are split from the text once per row
+    kept = F.transform(F.array(_tokens(stated_text)), lambda stated: F.filter(listed, lambda a: charged(stated, a)))
+    return F.get(kept, F.lit(0))
 
 
 def suggested_questions(docs: DataFrame, first: int = 12) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.operators import profiling
-from evidencelake.plans.registry import Tables, query
+from evidencelake.plans.registry import Tables, query, spread
 from evidencelake.sources import ndjson, tables
 
 
@@ -23,7 +23,8 @@ def raw_lines(t: Tables) -> DataFrame:
         s(i % 7), F.lit("}"),
     )
     value = F.when(i % 101 == 0, "   ").when(i % 103 == 0, F.concat(F.lit("{broken "), s(i))).otherwise(body)
-    return t.events.select(F.concat(F.lit("file_"), s(i % 5)).alias("file"), value.alias("value"), "event_id")
+    events = spread(t.events, "event_id")
+    return events.select(F.concat(F.lit("file_"), s(i % 5)).alias("file"), value.alias("value"), "event_id")
 
 
 LINES = """

@@ -10,7 +10,11 @@ from evidencelake.operators import citations, confidence, metrics, precision, qu
 from evidencelake.operators.joins import first_per_key
 from evidencelake.operators.metrics import RateSpec
 from evidencelake.plans.metric_queries import ORDER_FLAGS, order_flags
-from evidencelake.plans.registry import Tables, query
+from evidencelake.plans.registry import Tables, query, spread
+
+
+def documents(t: Tables) -> DataFrame:
+    return spread(t.documents, "doc_id")
 
 
 @query("CIT1", r"""
@@ -18,7 +22,7 @@ WITH n AS (SELECT doc_id, unnest(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?'))
 SELECT doc_id, count(*) AS numbers_n, max(CAST(replace(tok, ',', '') AS DOUBLE)) AS largest FROM n GROUP BY doc_id""")
 def numbers_in_texts(t: Tables) -> DataFrame:
     """Numbers written in every document, whole texts."""
-    n = t.documents.select("doc_id", F.explode(numbers_in(F.col("text"))).alias("n"))
+    n = documents(t).select("doc_id", F.explode(numbers_in(F.col("text"))).alias("n"))
     return n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("numbers_n"), F.max("n").alias("largest"))
 
 
@@ -77,7 +81,7 @@ DOC_TOKENS = f"tok AS (SELECT doc_id AS a, unnest({_TOKENS.format(x=_MARK.format
 @query("CIT5 CIT4 CIT2", "WITH " + uncited_sql(DOC_TOKENS, POOL_SQL))
 def uncited_in_documents(t: Tables) -> DataFrame:
     """Numbers each document quotes that the order of the same key does not back."""
-    texts = t.documents.select(F.col("doc_id").alias("answer_id"), F.lit("body").alias("section"), "text")
+    texts = documents(t).select(F.col("doc_id").alias("answer_id"), F.lit("body").alias("section"), "text")
     return citations.uncited_numbers(texts, citations.numeric_pool(*line_cells(t)))
 
 
@@ -245,7 +249,7 @@ def named_metrics(t: Tables) -> DataFrame:
     word = lambda i: F.lower(F.regexp_extract("text", "^([A-Za-z]+) ([A-Za-z]+)", i))
     entity = F.explode(F.array(F.concat(F.lit("metric:"), word(1), F.lit("_"), word(2)), F.concat(F.lit("metric:"), word(1))))
     ids = t.benchmark.filter(word(1) != "").select(entity.alias("entity"))
-    return questions.named_metrics(t.documents.select(F.col("doc_id").alias("question_id"), F.col("text").alias("question")), ids)
+    return questions.named_metrics(documents(t).select(F.col("doc_id").alias("question_id"), F.col("text").alias("question")), ids)
 
 
 @query("CNF4", r"""
@@ -258,7 +262,7 @@ def unstated_assumptions(t: Tables) -> DataFrame:
     """Assumptions no text states, over whole texts."""
     listed = F.array(F.concat(F.lit("segment = "), F.col("source")), F.lit("excluding the rows"), F.lit("window: last thereed"))
     kept = questions.unstated_assumptions(F.col("text"), listed)
-    return t.documents.select("doc_id", F.explode(kept).alias("assumption"))
+    return documents(t).select("doc_id", F.explode(kept).alias("assumption"))
 
 
 @query("CNF5", r"""
@@ -267,7 +271,7 @@ k AS (SELECT doc_id, substr(trim(a, ' '), 1, 120) AS a, row_number() OVER (PARTI
 SELECT doc_id, a AS assumption, CAST(rn - 1 AS INTEGER) AS position FROM k WHERE rn <= 6""")
 def assumption_cleanup(t: Tables) -> DataFrame:
     """A text split at semicolons and line breaks into at most six trimmed assumptions."""
-    return t.documents.select("doc_id", F.posexplode(questions.split_assumptions(F.col("text"))).alias("position", "assumption"))
+    return documents(t).select("doc_id", F.posexplode(questions.split_assumptions(F.col("text"))).alias("position", "assumption"))
 
 
 @query("KNO4", r"""
@@ -276,7 +280,7 @@ s AS (SELECT doc_id, flat, regexp_extract(flat, '^(.{0,220}?[.;])\s', 1) AS m FR
 SELECT doc_id, trim(CASE WHEN m != '' THEN m ELSE substr(flat, 1, 220) END, ' ') AS brief FROM s""")
 def brief_definitions(t: Tables) -> DataFrame:
     """First sentence of each definition."""
-    return t.documents.select("doc_id", first_sentence(F.col("text")).alias("brief"))
+    return documents(t).select("doc_id", first_sentence(F.col("text")).alias("brief"))
 
 
 @query("PRO16", r"""
