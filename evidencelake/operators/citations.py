@@ -138,17 +138,33 @@ def quoted_numbers(texts: DataFrame) -> DataFrame:
     )
 
 
+def _near_range(n: Column) -> Column:
+    """The figures a number is near to, as ``struct<lo, hi>``: both tolerances describe intervals around it."""
+    inward, outward = n / (1 + RELATIVE_TOLERANCE), n / (1 - RELATIVE_TOLERANCE)
+    return F.struct(
+        F.least(n - ABSOLUTE_TOLERANCE, inward, outward).alias("lo"),
+        F.greatest(n + ABSOLUTE_TOLERANCE, inward, outward).alias("hi"),
+    )
+
+
 def _derivable(n: Column, values: Column) -> Column:
     """Is n a difference or ratio of two different values, or a percentage of two counts?"""
 
-    def pair(a: Column, b: Column) -> Column:
-        share = F.try_divide(a, b)
-        counts = (a == F.floor(a)) & (b == F.floor(b)) & (share >= -1) & (share <= 1)
-        return (a != b) & (
-            near(n, a - b) | F.coalesce(near(n, share), F.lit(False)) | F.coalesce(counts & near(n, share * 100), F.lit(False))
+    def any_pair(of: Column, test) -> Column:
+        return F.exists(of, lambda a: F.exists(of, lambda b: F.coalesce(test(a, b), F.lit(False)) & (a != b)))
+
+    def backed(r: Column) -> Column:
+        share = lambda a, b: a / F.nullif(b, F.lit(0.0))
+        inside = lambda x, scale=1.0: (x >= r["lo"] / scale) & (x <= r["hi"] / scale)
+        counts = F.filter(values, lambda v: v == F.floor(v))
+        return (
+            any_pair(values, lambda a, b: inside(a - b))
+            | any_pair(values, lambda a, b: inside(share(a, b)))
+            | any_pair(counts, lambda a, b: inside(share(a, b), 100.0) & (F.abs(share(a, b)) <= 1))
         )
 
-    return F.exists(values, lambda a: F.exists(values, lambda b: pair(a, b)))
+    # bound as a lambda variable, the interval is computed once per number
+    return F.get(F.transform(F.array(_near_range(n)), backed), F.lit(0))
 
 
 def uncited_numbers(
@@ -162,6 +178,8 @@ def uncited_numbers(
     if dates is not None:
         texts = without_known_dates(texts, dates)
     numbers = quoted_numbers(texts).withColumn("_band", band(F.col("n")))
+    # figures of answers that quote nothing worth checking are left out before they are banded
+    pool = pool.join(numbers.select("answer_id").distinct(), "answer_id", "left_semi")
     citable = pool.select("answer_id", "value")
     if asked is not None:
         citable = citable.unionByName(asked.select("answer_id", F.col("value").cast("double").alias("value")))

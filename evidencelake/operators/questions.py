@@ -22,37 +22,56 @@ def named_metrics(questions: DataFrame, metrics: DataFrame) -> DataFrame:
 
     ``questions(question_id, question)``, ``metrics(entity)`` with ``metric:<id>`` entities. A metric is named
     when all words of its id occur as whole words, or the id itself does. Candidates meet on one word per
-    metric - the one fewest metrics use, the longest among those - and are then checked against the whole text.
+    metric - the one fewest metrics use, the longest among those - and are then checked word by word.
     """
     ids = (
         metrics.filter(F.startswith(F.lower("entity"), F.lit("metric:")))
         .select(F.lower(F.substring("entity", 8, 1 << 20)).alias("metric"))
         .filter(F.col("metric") != "")
         .distinct()
-        .withColumn("words", F.filter(F.split("metric", "_"), lambda w: w != ""))
+        .withColumn("words", F.array_distinct(F.filter(F.split("metric", "_"), lambda w: w != "")))
         .filter(F.size("words") > 0)
     )
     pieces = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
-    texts = questions.select("question_id", F.lower("question").alias("q"))
-    # the text itself stays behind: only its words travel to find candidates
-    asked = texts.select("question_id", F.explode_outer(pieces(F.col("q"))).alias("word"))
     parts = ids.select("metric", F.explode(pieces(F.col("metric"))).alias("word"))
     frequency = parts.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
-    rarest = (
+    anchors = (
         parts.join(frequency, "word")
         .groupBy("metric")
         .agg(F.min(F.struct("f", (-F.length("word")).alias("l"), "word")).alias("a"))
-        .select("metric", F.col("a.word").alias("word"))
+        .select("metric", F.col("a.word").alias("anchor"))
+        .join(ids, "metric")
+    )
+    plain = anchors.filter(F.col("metric").rlike("^[a-z0-9_]+$"))
+    odd = anchors.filter(~F.col("metric").rlike("^[a-z0-9_]+$"))
+
+    texts = questions.select("question_id", F.lower("question").alias("q"))
+    # texts stay behind: only the words some metric uses travel
+    tokens = texts.select("question_id", F.explode_outer(F.array_distinct(F.split("q", "[^a-z0-9_]+"))).alias("token"))
+    vocabulary = plain.select(F.explode("words").alias("token")).distinct()
+    known = tokens.join(vocabulary, "token", "left_semi")
+    every = (
+        known.join(plain, F.col("token") == F.col("anchor"))
+        .select("question_id", "metric", F.size("words").alias("words_n"), F.explode("words").alias("token"))
+        .join(known, ["question_id", "token"])
+        .groupBy("question_id", "metric", "words_n")
+        .agg(F.count(F.lit(1)).alias("found_n"))
+        .filter("found_n = words_n")
+        .select("question_id", "metric")
     )
-    candidates = asked.join(rarest.join(ids, "metric"), "word").select("question_id", "metric", "words")
-    whole_words = texts.withColumn("whole", F.array_distinct(F.split("q", "[^a-z0-9_]+")))
-    every = F.size(F.array_except("words", "whole")) == 0
-    literal = F.contains("q", F.col("metric")) & F.expr(
-        r"regexp(q, concat('(^|[^a-z0-9])\\Q', metric, '\\E(?![a-z0-9])'))"
+    # an id written out: a plain one lies within one token that holds an underscore, any other is sought in the text
+    literally = lambda c: F.expr(rf"regexp({c}, concat('(^|[^a-z0-9])\\Q', metric, '\\E(?![a-z0-9])'))")
+    spelled = (
+        tokens.filter(F.contains("token", F.lit("_")))
+        .select("question_id", "token", F.explode_outer(pieces(F.col("token"))).alias("anchor"))
+        .join(plain, "anchor").filter(literally("token")).select("question_id", "metric")
     )
-    matched = candidates.join(whole_words, "question_id").filter(every | literal).select(
-        "question_id", F.col("metric").alias("wider")
+    delimited = F.expr(r"forall(words, w -> regexp(q, concat('(^|[^a-z0-9_])\\Q', w, '\\E(?![a-z0-9_])')))")
+    others = (
+        texts.select("question_id", F.explode_outer(pieces(F.col("q"))).alias("anchor"))
+        .join(odd, "anchor").join(texts, "question_id").filter(delimited | literally("q")).select("question_id", "metric")
     )
+    matched = every.unionByName(spelled).unionByName(others).withColumnRenamed("metric", "wider")
     # a named metric speaks for itself and against every metric its words contain
     effects = ids.select(F.col("metric").alias("wider"), "metric", F.lit(False).alias("against")).unionByName(
         metric_subsets(ids).withColumn("against", F.lit(True))
