@@ -40,11 +40,19 @@ def band(x: Column) -> Column:
     return F.when(F.abs(x) <= _LINEAR_LIMIT, F.floor(x / ABSOLUTE_TOLERANCE)).otherwise(F.signum(x) * outer).cast("long")
 
 
-def _banded(values: DataFrame, value: str) -> DataFrame:
-    """Each figure once per band a number near it can fall in."""
-    v = F.col(value)
-    tolerance = F.greatest(F.lit(ABSOLUTE_TOLERANCE), F.abs(v) * RELATIVE_TOLERANCE)
-    return values.withColumn("_band", F.explode(F.sequence(band(v - tolerance) - 1, band(v + tolerance) + 1)))
+def near_bands(n: Column) -> Column:
+    """Every band a figure near the number can fall in; one more on either side absorbs rounding at the edges."""
+    r = _near_range(n)
+    return F.sequence(band(r["lo"]) - 1, band(r["hi"]) + 1)
+
+
+def _near_range(n: Column) -> Column:
+    """The figures a number is near to, as ``struct<lo, hi>``: both tolerances describe intervals around it."""
+    inward, outward = n / (1 + RELATIVE_TOLERANCE), n / (1 - RELATIVE_TOLERANCE)
+    return F.struct(
+        F.least(n - ABSOLUTE_TOLERANCE, inward, outward).alias("lo"),
+        F.greatest(n + ABSOLUTE_TOLERANCE, inward, outward).alias("hi"),
+    )
 
 
 def numeric_pool(cells: DataFrame, tasks: DataFrame, profile: DataFrame | None = None, rows_shown: int = ROWS_SHOWN) -> DataFrame:
@@ -138,15 +146,6 @@ def quoted_numbers(texts: DataFrame) -> DataFrame:
     )
 
 
-def _near_range(n: Column) -> Column:
-    """The figures a number is near to, as ``struct<lo, hi>``: both tolerances describe intervals around it."""
-    inward, outward = n / (1 + RELATIVE_TOLERANCE), n / (1 - RELATIVE_TOLERANCE)
-    return F.struct(
-        F.least(n - ABSOLUTE_TOLERANCE, inward, outward).alias("lo"),
-        F.greatest(n + ABSOLUTE_TOLERANCE, inward, outward).alias("hi"),
-    )
-
-
 def _derivable(n: Column, values: Column) -> Column:
     """Is n a difference or ratio of two different values, or a percentage of two counts?"""
 
@@ -177,19 +176,21 @@ def uncited_numbers(
     """
     if dates is not None:
         texts = without_known_dates(texts, dates)
-    numbers = quoted_numbers(texts).withColumn("_band", band(F.col("n")))
-    # figures of answers that quote nothing worth checking are left out before they are banded
-    pool = pool.join(numbers.select("answer_id").distinct(), "answer_id", "left_semi")
+    # a text quotes few numbers beside its pool, so the numbers are spread over bands and the pool stays single
+    numbers = quoted_numbers(texts).withColumn("_band", F.explode_outer(near_bands(F.col("n"))))
     citable = pool.select("answer_id", "value")
     if asked is not None:
         citable = citable.unionByName(asked.select("answer_id", F.col("value").cast("double").alias("value")))
-    banded = _banded(citable.distinct(), "value")
-    match = (
-        (numbers["answer_id"] == banded["answer_id"])
-        & (numbers["_band"] == banded["_band"])
-        & near(numbers["n"], banded["value"])
+    figures = citable.distinct().select(
+        F.col("answer_id").alias("_a"), F.col("value").alias("_v"), band(F.col("value")).alias("_b")
+    )
+    match = (F.col("answer_id") == F.col("_a")) & (F.col("_band") == F.col("_b")) & near(F.col("n"), F.col("_v"))
+    open_ = (
+        numbers.join(figures, match, "left")
+        .groupBy("answer_id", "raw", "n")
+        .agg(F.max(F.col("_v").isNotNull()).alias("_cited"))
+        .filter(~F.col("_cited"))
     )
-    open_ = numbers.join(banded, match, "left_anti").drop("_band")
 
     w = Window.partitionBy("answer_id").orderBy("position")
     pairable = (

@@ -51,8 +51,8 @@ def test_band_join_agrees_with_the_predicate(spark):
     """Near the edges of every tolerance the banded join must find what a full comparison finds."""
     figures = [0.0, 0.05, -0.05, 1.0, 3.99, 4.0, 4.01, -4.01, 7.3, 52.0, 99.99, -640.0, 12345.6, 1e9]
     numbers = sorted({round(f + s * max(0.06, abs(f) * 0.015) * k, 9) for f in figures for s in (-1, 1) for k in (0.5, 0.999, 1.001, 1.5)})
-    n = spark.createDataFrame([(float(x),) for x in numbers], "n double").withColumn("_band", citations.band(F.col("n")))
-    p = citations._banded(spark.createDataFrame([(f,) for f in figures], "value double"), "value")
+    n = spark.createDataFrame([(float(x),) for x in numbers], "n double").withColumn("_band", F.explode(citations.near_bands(F.col("n"))))
+    p = spark.createDataFrame([(f,) for f in figures], "value double").withColumn("_band", citations.band(F.col("value")))
     got = {(r.n, r.value) for r in n.join(p, "_band").filter(citations.near(F.col("n"), F.col("value"))).select("n", "value").collect()}
     assert got == {(x, f) for x in numbers for f in figures if abs(x - f) <= max(0.06, abs(f) * 0.015)}
 
