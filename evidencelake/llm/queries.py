@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidencelake.llm import bitpack
+from evidencelake.llm import bitpack, chat_format, line_dedup, mixing
 from evidencelake.llm.common import shared_folder
 from evidencelake.session import configure
 
@@ -38,6 +39,27 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_MIX_SQL = r"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM sized GROUP BY source),
+weighted AS (SELECT *, 2 * source_size AS cap, CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, sum(source_size) OVER () * 1.5::DOUBLE AS budget, sum(CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END) OVER () AS weights FROM sources),
+filled AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS caps_before, coalesce(sum(weight) OVER w, 0) AS weights_before FROM weighted WINDOW w AS (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+judged AS (SELECT *, cap * (weights - weights_before)::DOUBLE <= weight * (budget - caps_before) AS whole FROM filled),
+level AS (SELECT (max(budget) - coalesce(sum(cap) FILTER (whole), 0)) / sum(weight) FILTER (NOT whole) AS level FROM judged),
+targets AS (SELECT source, source_size, CASE WHEN whole THEN cap::DOUBLE ELSE least(cap::DOUBLE, weight * level) END AS target FROM judged, level),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || ':0'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM sized)
+SELECT p.doc_id, p.size, t.source_size, t.target,
+  (p.size * ((p.place + p.size / 2.0::DOUBLE < t.target)::BIGINT + (p.place + t.source_size + p.size / 2.0::DOUBLE < t.target)::BIGINT))::BIGINT AS taken
+FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source"""
+
+
+@query(_MIX_SQL)
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 3, 1, 2 by source: doc_id, size, source_size, target, taken."""
+    drawn = mixing.plan_mix(table(spark, sf_dir, "documents"))
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+
+
 #: Of the public tokenizer ``word_bpe_49k.json``: ids are below this, and the id that closes a document.
 VOCABULARY, END_ID = 49_408, 2
 
@@ -53,3 +75,51 @@ def token_file_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-width bit-packed token files of all documents: doc_id, start, n_tokens, ids_crc32, read back from the files."""
     return token_file_digests(spark, table(spark, sf_dir, "documents"))
+
+
+_HOST_SQL = r"translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LINES_SQL = rf"""
+WITH pieces AS (
+  SELECT page_id, {_HOST_SQL} AS site,
+    list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''), '(?s)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '<>', 'g'), '<[^>]*>|\n'), lambda x: trim(x)), lambda x: x <> '') AS lines,
+    row_number() OVER () AS page
+  FROM pages),
+each AS (SELECT DISTINCT site, page, unnest(lines) AS line FROM pieces),
+totals AS (SELECT site, count(*) AS site_pages FROM pieces GROUP BY site HAVING count(*) >= 10),
+bad AS (SELECT site, line FROM each JOIN totals USING (site) GROUP BY site, line, site_pages HAVING count(*) > 0.1 * site_pages),
+lists AS (SELECT site, list(line) AS bad FROM bad GROUP BY site),
+kept AS (SELECT page_id, pieces.site, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept FROM pieces LEFT JOIN lists USING (site))
+SELECT page_id, site, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text FROM kept"""
+
+
+@query(_LINES_SQL)
+def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages without their host's boilerplate lines: page_id, site, n_lines, n_dropped, text."""
+    pages = table(spark, sf_dir, "pages")
+    cleaned = line_dedup.drop_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")))
+    return cleaned.select("page_id", "site", "n_lines", "n_dropped", "text")
+
+
+_ESCAPED = "replace(replace(replace({0}, '\\', '\\b'), '###', '\\h'), '</turn>', '\\t')"
+_CHAT_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+pieces AS (
+  SELECT *, length('### ' || replace({_ESCAPED.format("role")}, ':', '\\c') || ': ' || {_ESCAPED.format("text")} || '</turn>' || chr(10)) AS piece, role = 'assistant' AS reply,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM rows),
+held AS (SELECT *, sum(reply::INT) OVER (PARTITION BY conv_id ORDER BY i DESC) + max((i = n AND NOT reply)::INT) OVER (PARTITION BY conv_id) AS examples FROM pieces)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (reply), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (reply), '')) AS loss_sha256, sum(piece * examples)::BIGINT AS formatted_chars
+FROM held GROUP BY conv_id"""
+
+
+@query(_CHAT_SQL)
+def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7 as prefix-target examples, digested from the formatted texts."""
+    sample = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(sample)
+    return chat_format.read_back(chat_format.prefix_examples(turns))
