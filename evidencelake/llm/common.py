@@ -76,7 +76,7 @@ def hash64(*parts: str | Column) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen last; ``key`` may fold a word first, and None drops it to 0."""
 
-    def __init__(self, key=None, most: int = 400_000) -> None:
+    def __init__(self, key=None, most: int = 600_000) -> None:
         super().__init__()
         self.key, self.most = key, most
 
@@ -92,6 +92,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+@functools.cache
+def word_hashes(key=None) -> WordHashes:
+    """One cache per worker process and folding function."""
+    return WordHashes(key)
+
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bitpack, chat_format, line_dedup, mixing
+from evidencelake.llm import bitpack, chat_format, decontaminate, line_dedup, mixing, repetition
 from evidencelake.llm.common import shared_folder
 from evidencelake.session import configure
 
@@ -123,3 +123,15 @@ def op10_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(sample)
     return chat_format.read_back(chat_format.prefix_examples(turns))
+
+
+@query()
+def op3_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item, however reordered: doc_id, item_id, coverage, tiles, longest_tile."""
+    return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by their repetition: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and what kept rests on."""
+    return repetition.repetition(table(spark, sf_dir, "documents"), columns=["doc_id"])
