@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bitpack, chat_format, decontaminate, line_dedup, mixing, repetition
+from evidencelake.llm import bitpack, chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, repetition, url_graph
 from evidencelake.llm.common import shared_folder
 from evidencelake.session import configure
 
@@ -135,3 +135,61 @@ def op3_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by their repetition: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and what kept rests on."""
     return repetition.repetition(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
+@query()
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the class of texts that share three quarters of their 5-word shingles: doc_id, n_shingles, component_id."""
+    return ngram_join.similarity_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: doc_id, held_out, lang_pred, score; learned from documents that are not held out."""
+    docs, file = table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    known = docs.filter(~held_out & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    langs, probs = language_id.fit(language_id.sampled(known, language_id.TRAIN_TEXTS, "doc_id").select("lang", "text"), file)
+    return language_id.identify(docs, langs, probs, file, extra={"held_out": held_out})
+
+
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+_ROUNDS, _DAMPING = 8, 0.6
+
+
+def _url_sql() -> str:
+    """The same power iteration, a table for each round."""
+    rule, verdict = "CAST(NULL AS VARCHAR)", "CAST(NULL AS VARCHAR)"
+    for what, r in sorted(URL_RULES, key=lambda x: len(x[1])):
+        name, start = r.split("/", 1)
+        rule = f"CASE WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{start}') THEN '{r}' ELSE {rule} END"
+        verdict = f"CASE WHEN rule = '{r}' THEN '{what}' ELSE {verdict} END"
+    rounds = ", ".join(
+        f"m{i} AS (SELECT kind, spot, sum(mass) AS mass FROM (SELECT kind, spot, seed * {1 - _DAMPING} AS mass FROM seeds UNION ALL SELECT kind, dst, mass * share * {_DAMPING} FROM m{i - 1} JOIN steps USING (kind, spot)) GROUP BY kind, spot)"
+        for i in range(1, _ROUNDS + 1)
+    )
+    return rf"""
+WITH urls AS (SELECT page_id, {_HOST_SQL} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    list_transform(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']?(?:https?:)?//([^/?#"''> ]+)', 1), lambda h: translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS links, row_number() OVER () AS page FROM pages),
+ruled AS (SELECT *, {rule} AS rule FROM urls),
+own AS (SELECT *, {verdict} AS ruled FROM ruled),
+hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked FROM own WHERE host <> '' GROUP BY host),
+whole AS (SELECT sum(pages)::DOUBLE AS pages, greatest(sum(allowed), 1)::DOUBLE AS allowed, greatest(sum(blocked), 1)::DOUBLE AS blocked FROM hosts),
+linked AS (SELECT DISTINCT page, host, unnest(links) AS dst FROM own WHERE host <> ''),
+pairs AS (SELECT a.host, b.host AS parent FROM hosts a JOIN hosts b ON b.host = regexp_extract(a.host, '^[^.]*\.(.*)$', 1) WHERE b.host <> ''),
+edges AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT host AS src, dst, count(*)::DOUBLE AS weight FROM linked WHERE host <> dst GROUP BY host, dst
+  UNION ALL SELECT host, parent, 1.0::DOUBLE FROM pairs UNION ALL SELECT parent, host, 1.0::DOUBLE FROM pairs) GROUP BY src, dst),
+directed AS (SELECT 'trust' AS kind, src AS spot, dst, weight FROM edges UNION ALL SELECT 'distrust', dst, src, weight FROM edges),
+steps AS (SELECT kind, spot, dst, weight / sum(weight) OVER (PARTITION BY kind, spot) AS share FROM directed),
+seeds AS (SELECT 'trust' AS kind, host AS spot, hosts.allowed / whole.allowed AS seed FROM hosts, whole WHERE hosts.allowed > 0 UNION ALL SELECT 'distrust', host, hosts.blocked / whole.blocked FROM hosts, whole WHERE hosts.blocked > 0),
+m0 AS (SELECT kind, spot, seed AS mass FROM seeds), {rounds},
+scores AS (SELECT spot AS host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust FROM m{_ROUNDS} GROUP BY spot),
+bad AS (SELECT scores.host, distrust > trust AND distrust >= hosts.pages / whole.pages AS bad FROM scores JOIN hosts USING (host), whole)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict FROM own LEFT JOIN bad USING (host)"""
+
+
+@query(_url_sql())
+def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rule, else by the trust and distrust of its host: page_id, host, path, rule, verdict."""
+    judged = url_graph.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, damping=_DAMPING, rounds=_ROUNDS)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
