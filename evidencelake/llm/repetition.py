@@ -99,53 +99,81 @@ def plain_counts(text: str) -> tuple[int, int, int]:
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, covered_words long, longest_repeat long"
 
 
+def measured(texts: list[bytes | None], least: int) -> list[np.ndarray]:
+    """The columns of ``SCHEMA`` for some texts."""
+    hashes = word_hashes()
+    rows: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+
+    def flush() -> None:
+        sizes = np.array([len(w) for w in held], np.int64)
+        owner = np.repeat(np.arange(len(held)), sizes)
+        lengths = repeat_lengths(np.concatenate(held), owner)
+        base, cover = covered(lengths, 3, 3), covered(lengths, least)
+        longest = np.zeros(len(held), np.int64)
+        np.maximum.at(longest, owner, lengths)
+        rows.append(np.stack([sizes, np.bincount(owner, base, len(held)).astype(np.int64), np.bincount(owner, cover, len(held)).astype(np.int64), longest]))
+        held.clear()
+
+    count = 0
+    for t in texts:
+        words = hashes.of(t)
+        if held and count + len(words) > CHUNK_WORDS:
+            flush()
+            count = 0
+        held.append(words)
+        count += len(words)
+    if held:
+        flush()
+    n_words, repeats, cover, longest = np.concatenate(rows, axis=1) if rows else np.zeros((4, 0), np.int64)
+    plain = np.array([plain_counts((t or b"").decode()) for t in texts], np.int64).reshape(-1, 3)
+    return [n_words, plain[:, 0], plain[:, 1], plain[:, 2], repeats, cover, longest]
+
+
+def judged(counts: list[np.ndarray], limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+    """base_failed and kept."""
+    n_words, repeats, cover, longest = counts[0], counts[4], counts[5], counts[6]
+    base = (n_words < 50) | (repeats * 100 > n_words * 50)
+    return base, ~base & (cover <= n_words * limits.share) & (longest <= limits.longest)
+
+
 def repetition(docs: DataFrame, text_column: str = "text", limits: Limits = Limits(), columns: list[str] | None = None) -> DataFrame:
     """``docs`` (or only ``columns`` of it) with the counts of ``SCHEMA``, base_failed and kept; one pass, no shuffle.
 
     Whole texts are measured. Null and empty texts have no words and fail the base rule of 50 words; repeated rows are judged alike; columns of the new names are replaced.
     """
-    made = [c.split()[0] for c in SCHEMA.split(", ")]
-    keep = [c for c in (columns if columns is not None else docs.columns) if c not in (*made, "base_failed", "kept")]
+    schema = f"{SCHEMA}, base_failed boolean, kept boolean"
+    made = [c.split()[0] for c in schema.split(", ")]
+    keep = [c for c in (columns if columns is not None else docs.columns) if c not in made]
     carried = docs.select(*keep, F.col(text_column).alias("_text"))
     small_batches(docs.sparkSession)
-    least = limits.least
 
     def measure(batches) -> Iterator:
         import pyarrow as pa
 
-        hashes = word_hashes()
         for b in batches:
-            texts = batches_of(b.column(len(keep)))
-            rows: list[np.ndarray] = []
-            held: list[np.ndarray] = []
-
-            def flush():
-                sizes = np.array([len(w) for w in held], np.int64)
-                owner = np.repeat(np.arange(len(held)), sizes)
-                lengths = repeat_lengths(np.concatenate(held) if held else np.zeros(0, np.uint64), owner)
-                base, cover = covered(lengths, 3, 3), covered(lengths, least)
-                longest = np.zeros(len(held), np.int64)
-                np.maximum.at(longest, owner, lengths)
-                rows.append(np.stack([sizes, np.bincount(owner, base, len(held)).astype(np.int64), np.bincount(owner, cover, len(held)).astype(np.int64), longest]))
-                held.clear()
+            counts = measured(batches_of(b.column(len(keep))), limits.least)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *map(pa.array, [*counts, *judged(counts, limits)])], names=[*keep, *made])
 
-            count = 0
-            for t in texts:
-                words = hashes.of(t)
-                if held and count + len(words) > CHUNK_WORDS:
-                    flush()
-                    count = 0
-                held.append(words)
-                count += len(words)
-            if held:
-                flush()
-            n_words, repeats, cover, longest = np.concatenate(rows, axis=1) if rows else np.zeros((4, 0), np.int64)
-            plain = np.array([plain_counts((t or b"").decode()) for t in texts], np.int64).reshape(-1, 3)
-            counts = [n_words, plain[:, 0], plain[:, 1], plain[:, 2], repeats, cover, longest]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *map(pa.array, counts)], names=[*keep, *made])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema.fields[:-1])
-    out = carried.mapInArrow(measure, f"{fields}, {SCHEMA}" if fields else SCHEMA)
-    base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    verdict = ~base & (F.col("covered_words") <= F.col("n_words") * limits.share) & (F.col("longest_repeat") <= limits.longest)
-    return out.withColumn("base_failed", base).withColumn("kept", verdict)
+    return carried.mapInArrow(measure, _extended(carried, len(keep), schema))
+
+
+def drop_repetitive(docs: DataFrame, text_column: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """The rows that ``repetition`` keeps, with their columns as they are."""
+    at = docs.columns.index(text_column)
+    small_batches(docs.sparkSession)
+
+    def clean(batches) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            yield b.filter(pa.array(judged(measured(batches_of(b.column(at)), limits.least), limits)[1]))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _extended(df: DataFrame, n: int, schema: str):
+    """The first ``n`` fields of ``df`` and those of ``schema``."""
+    from pyspark.sql.types import StructType
+
+    return StructType([*df.schema.fields[:n], *StructType.fromDDL(schema).fields])
