@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bitpack, chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, repetition, url_graph
+from evidencelake.llm import bitpack, chat_format, decontaminate, language_id, line_dedup, lm_scoring, mixing, ngram_join, repetition, url_graph
 from evidencelake.llm.common import shared_folder
 from evidencelake.session import configure
 
@@ -193,3 +193,10 @@ def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by rule, else by the trust and distrust of its host: page_id, host, path, rule, verdict."""
     judged = url_graph.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, damping=_DAMPING, rounds=_ROUNDS)
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op1_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by their likeness to those labelled of good quality: doc_id, n_tokens, target_bits, background_bits, score."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good, tokenizer_file(), VOCABULARY, opening=49_406, direct=True)
