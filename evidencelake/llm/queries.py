@@ -107,7 +107,7 @@ WITH rows AS (
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 pieces AS (
   SELECT *, length('### ' || replace({_ESCAPED.format("role")}, ':', '\\c') || ': ' || {_ESCAPED.format("text")} || '</turn>' || chr(10)) AS piece, role = 'assistant' AS reply,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n
   FROM rows),
 held AS (SELECT *, sum(reply::INT) OVER (PARTITION BY conv_id ORDER BY i DESC) + max((i = n AND NOT reply)::INT) OVER (PARTITION BY conv_id) AS examples FROM pieces)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
