@@ -1,8 +1,7 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
-Each query is planned and run to completion over the whole tables: ``cold`` holds the first run, which also pays
-for code generation, ``queries`` a second one - or the first again where that took over five seconds. ``value`` is
-the sum of ``queries``.
+Each query is planned and run to completion over the whole tables twice: ``cold`` holds the first run, which also pays
+for code generation, ``queries`` the second. ``value`` is the sum of ``queries``.
 """
 
 from __future__ import annotations
@@ -33,9 +32,6 @@ def main() -> None:
     cold, warm = {}, {}
     for name in wanted:
         for target in (cold, warm):
-            if cold.get(name, 0) > 5:
-                warm[name] = cold[name]
-                break
             started = time.perf_counter()
             registry[name].build(tables).write.format("noop").mode("overwrite").save()
             target[name] = round(time.perf_counter() - started, 3)

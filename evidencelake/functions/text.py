@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
-SHAPE_CHARS = 240
+DISPLAY_CHARS = 240
 
 
 def nullish(c: Column) -> Column:
@@ -39,26 +39,26 @@ def mentions_any(text: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: F.contains(low, F.lower(t)))
 
 
-def query_shape(sql: Column, chars: int = SHAPE_CHARS) -> Column:
-    """Literals folded to ``?``, whitespace collapsed, first ``chars`` characters."""
+def query_shape(sql: Column) -> Column:
+    """The whole text with literals folded to ``?`` and whitespace collapsed."""
     s = F.regexp_replace(sql, r"'(?:[^'\\]|\\.|'')*'", "?")
     s = F.regexp_replace(s, r"\b\d+(?:\.\d+)?\b", "?")
     # lists of literals count as one
     s = F.regexp_replace(s, r"\?(?:\s*,\s*\?)+", "?..")
-    return F.left(F.regexp_replace(s, r"\s+", " "), F.lit(chars))
+    return F.regexp_replace(s, r"\s+", " ")
 
 
-def truncate(text: Column, chars: int = SHAPE_CHARS) -> Column:
+def truncate(text: Column, chars: int = DISPLAY_CHARS) -> Column:
     """Collapsed text, with an ellipsis when something was cut for display."""
     flat = collapse(text)
     return F.when(F.length(flat) > chars, F.concat(F.left(flat, F.lit(chars)), F.lit("…"))).otherwise(flat)
 
 
-def first_sentence(md: Column, chars: int = 220) -> Column:
-    """The first sentence of a definition, or its first ``chars`` characters."""
+def first_sentence(md: Column) -> Column:
+    """The first sentence of a definition; the whole of it when no sentence ends."""
     flat = F.trim(F.regexp_replace(F.regexp_replace(md, r"\n+", " "), r"\*\*", ""))
-    sentence = F.regexp_extract(flat, rf"^(.{{0,{chars}}}?[.;])\s", 1)
-    return F.trim(F.when(sentence != "", sentence).otherwise(F.left(flat, F.lit(chars))))
+    sentence = F.regexp_extract(flat, r"^(.*?[.;])\s", 1)
+    return F.trim(F.when(sentence != "", sentence).otherwise(flat))
 
 
 def normalised(text: Column) -> Column:

@@ -14,7 +14,7 @@ from evidencelake.functions.stats import ratio
 from evidencelake.operators.joins import first_per_key
 
 # Fixed values.
-DISTINCT_TRACKED, SAMPLES = 5000, 5
+SAMPLES = 5
 LOW_CARDINALITY = 1000
 TIMESTAMP_TEXT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 HEX_ID = r"(?i)^[0-9a-f]{32}$"
@@ -59,7 +59,7 @@ def explode_fields(events: DataFrame, by: str = "event", fields: str = "fields")
 
 
 def profile_cells(cells: DataFrame, by: str = "event") -> DataFrame:
-    """Profile from :func:`explode_fields` rows: one pass for the statistics, one for the samples."""
+    """Profile from :func:`explode_fields` rows. Every statistic covers all values; samples are the smallest texts."""
     text, json_type = F.col("text"), F.col("json_type")
     nullish = (json_type == "null") | (text == "")
     # NULL is a value too; the same printed text under two JSON types is one value
@@ -70,12 +70,13 @@ def profile_cells(cells: DataFrame, by: str = "event") -> DataFrame:
         F.min("position").alias("position"), F.count_if(nullish).alias("nullish_n"), of(F.lit(True)).alias("present_n"),
         of(json_type == "boolean").alias("booleans"), of(json_type == "number").alias("numbers"),
         of(is_time).alias("timestamps"), of(json_type == "json").alias("objects"),
+        of(F.col("number") != F.floor("number")).alias("fraction_n"), of(text.rlike(HEX_ID)).alias("hex_n"),
         F.max(F.when(~nullish, F.length(text))).alias("longest"),
         F.min("number").alias("lowest"), F.max("number").alias("highest"),
         # the first field of a record, or the stand-in of an empty one, counts the record
         F.count_if(F.coalesce("position", F.lit(0)) == 0).alias("records"),
     )
-    sums = ("nullish_n", "present_n", "booleans", "numbers", "timestamps", "objects", "records")
+    sums = ("nullish_n", "present_n", "booleans", "numbers", "timestamps", "objects", "fraction_n", "hex_n", "records")
     # as many rows per event as it has fields
     of_event = Window.partitionBy(by)
     stats = (
@@ -87,11 +88,11 @@ def profile_cells(cells: DataFrame, by: str = "event") -> DataFrame:
         .withColumn("rows_n", F.sum("records").over(of_event))
         .filter(F.col("field").isNotNull())
     )
-    present = cells.filter(~nullish).select(by, "field", "text").distinct()
+    present = folded.filter("present_n > 0 AND field IS NOT NULL").select(by, "field", "t")
     samples = (
-        first_per_key(present, [by, "field"], [F.col("text")], SAMPLES)
+        first_per_key(present, [by, "field"], [F.col("t")], SAMPLES)
         .groupBy(by, "field")
-        .agg(F.array_sort(F.collect_list("text")).alias("samples"))
+        .agg(F.array_sort(F.collect_list("t")).alias("samples"))
     )
     n = F.col("present_n")
     kind = (
@@ -104,8 +105,7 @@ def profile_cells(cells: DataFrame, by: str = "event") -> DataFrame:
         .withColumn("inferred_type", kind)
         .select(
             by, "field", "position", "inferred_type", null_rate.alias("null_rate"),
-            F.when(F.col("distinct_n") >= DISTINCT_TRACKED, DISTINCT_TRACKED + 1).otherwise(F.col("distinct_n")).cast("long").alias("distinct_n"),
-            "rows_n", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
+            "distinct_n", "present_n", "fraction_n", "hex_n", "rows_n", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"),
             F.when(F.col("inferred_type").isin("string", "timestamp"), F.coalesce("longest", F.lit(0))).alias("max_length"),
             F.when(F.col("inferred_type") == "number", F.col("lowest")).alias("min_value"),
             F.when(F.col("inferred_type") == "number", F.col("highest")).alias("max_value"),
@@ -134,11 +134,9 @@ def recommend_types(profile: DataFrame) -> DataFrame:
     field, t = F.col("field"), F.col("inferred_type")
     low, high = F.coalesce("min_value", F.lit(0.0)), F.coalesce("max_value", F.lit(0.0))
     money = field.rlike(MONEY_NAME)
-    fractional = (
-        F.exists("samples", lambda s: F.contains(s, F.lit("."))) | money | ((F.col("distinct_n") > 50) & (high > 100))
-    )
+    fractional = (F.col("fraction_n") > 0) | money
     identifier = field.rlike(IDENTIFIER_NAME)
-    hex_id = (F.size("samples") > 0) & F.forall("samples", lambda s: s.rlike(HEX_ID)) & (F.col("max_length") == 32)
+    hex_id = (F.col("present_n") > 0) & (F.col("hex_n") == F.col("present_n"))
     small = F.col("distinct_n") < LOW_CARDINALITY
     positive = low >= 0
     base = (

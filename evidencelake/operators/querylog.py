@@ -137,25 +137,20 @@ def latency_series(hours: DataFrame, now_ts: Column, slots: int = WINDOW_HOURS,
     )
 
 
-def window_available(log: DataFrame | None, stats: DataFrame | None) -> tuple[bool, bool]:
-    """``(source_available, scan_failed)``: an absent log is a gap, a readable log without a scan is a failure."""
-    return log is not None, log is not None and stats is None
-
-
 def slowest_shapes(stats: DataFrame, n: int = SLOWEST) -> DataFrame:
     return stats.filter("grouping = 'shape'").orderBy(F.col("max_ms").desc(), "shape").limit(n)
 
 
 def costliest_shapes(log: DataFrame, n: int = COST_SHAPES) -> DataFrame:
     """Shapes by runs times mean duration."""
-    grouped = log.groupBy(query_shape(F.col("query"), 1 << 20).alias("full_shape")).agg(
+    grouped = log.groupBy(query_shape(F.col("query")).alias("shape")).agg(
         F.count(F.lit(1)).alias("runs"), F.max("query_duration_ms").alias("max_ms"),
         F.sum("query_duration_ms").alias("_ms"), F.sum("read_rows").alias("rows_read"),
     )
     costed = grouped.withColumn("avg_ms", whole_ms(ratio(F.col("_ms"), F.col("runs"))))
     return (
-        costed.orderBy((F.col("runs") * F.col("avg_ms")).desc(), "full_shape").limit(n)
-        .select(F.left("full_shape", F.lit(200)).alias("shape"), "runs", "max_ms", "avg_ms", "rows_read")
+        costed.orderBy((F.col("runs") * F.col("avg_ms")).desc(), "shape").limit(n)
+        .select("shape", "runs", "max_ms", "avg_ms", "rows_read")
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
-MAX_ASSUMPTIONS, ASSUMPTION_CHARS = 6, 120
 FILLER = (
     "the and for all any with from into over per are was were use used using only both each that this than then "
     "data rows row value values applied apply assumed assume set include included including"
@@ -105,9 +104,8 @@ def metric_subsets(ids: DataFrame) -> DataFrame:
 
 
 def clean_assumptions(raw: Column) -> Column:
-    """A list of assumptions, or one text split at ``;`` and line breaks: trimmed, blanks dropped, clamped."""
-    trimmed = F.filter(F.transform(raw, lambda a: F.trim(a)), lambda a: a != "")
-    return F.slice(F.transform(trimmed, lambda a: F.left(a, F.lit(ASSUMPTION_CHARS))), 1, MAX_ASSUMPTIONS)
+    """A list of assumptions, or one text split at ``;`` and line breaks: trimmed, blanks dropped."""
+    return F.filter(F.transform(raw, lambda a: F.trim(a)), lambda a: a != "")
 
 
 def split_assumptions(text: Column) -> Column:
@@ -183,7 +181,4 @@ def event_purposes(docs: DataFrame) -> DataFrame:
     found = lines.select("spec", "line_no", event.alias("event"), cleaned.alias("purpose")).filter(
         (F.col("event") != "") & (F.length("purpose") > 3)
     )
-    return (
-        found.groupBy("spec", "event").agg(F.max_by("purpose", "line_no").alias("purpose"))
-        .withColumn("purpose", F.left("purpose", F.lit(140)))
-    )
+    return found.groupBy("spec", "event").agg(F.max_by("purpose", "line_no").alias("purpose"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidencelake.functions.text import query_shape, truncate
 from evidencelake.operators import conversations, querylog, runs
 from evidencelake.operators.knowledge import origin
-from evidencelake.plans.registry import Tables, query, spread
+from evidencelake.plans.registry import Tables, query
 from evidencelake.plans.store_queries import RUNS, runs_log
 
 APP = "evidencelake"
@@ -83,7 +83,7 @@ def window_capped(t: Tables) -> DataFrame:
 @query("QRY3", f"WITH {LOG} SELECT {SHAPE} AS shape, count(*) AS runs FROM log GROUP BY 1")
 def query_shapes(t: Tables) -> DataFrame:
     """Queries folded to their shapes."""
-    return query_log(t).groupBy(query_shape(F.col("query"), 1 << 20).alias("shape")).agg(F.count(F.lit(1)).alias("runs"))
+    return query_log(t).groupBy(query_shape(F.col("query")).alias("shape")).agg(F.count(F.lit(1)).alias("runs"))
 
 
 @query("QRY3", r"""
@@ -302,7 +302,7 @@ m AS (SELECT q.conv_id, question_id, answer_id FROM q JOIN c ON q.conv_id = c.co
 SELECT conv_id, question_id, answer_id FROM m QUALIFY row_number() OVER (PARTITION BY conv_id, question_id ORDER BY answer_id DESC) <= 3""")
 def related_answers(t: Tables) -> DataFrame:
     """Earlier texts of the same conversation that share a term, newest three."""
-    c = spread(t.conversations, "conv_id")
+    c = t.conversations
     key = F.struct("conv_id", F.col("turn"))
     asked = c.filter("role = 'user'").select(key.alias("question_id"), "conv_id", F.col("text").alias("question"))
     stored = c.filter("role != 'user' OR turn % 2 = 0").select(F.col("turn").alias("answer_id"), "conv_id", F.col("text").alias("question"), F.col("turn").alias("created_at"))

@@ -30,15 +30,6 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by key when fewer files than task slots would leave cores idle during heavy text work.
-
-    A table of many files keeps its own splits, so nothing large is moved.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots, key) if len(df.inputFiles()) < slots else df
-
-
 @dataclass(frozen=True)
 class Registered:
     name: str

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.operators import profiling
-from evidencelake.plans.registry import Tables, query, spread
+from evidencelake.plans.registry import Tables, query
 from evidencelake.sources import ndjson, tables
 
 
@@ -23,8 +23,7 @@ def raw_lines(t: Tables) -> DataFrame:
         s(i % 7), F.lit("}"),
     )
     value = F.when(i % 101 == 0, "   ").when(i % 103 == 0, F.concat(F.lit("{broken "), s(i))).otherwise(body)
-    events = spread(t.events, "event_id")
-    return events.select(F.concat(F.lit("file_"), s(i % 5)).alias("file"), value.alias("value"), "event_id")
+    return t.events.select(F.concat(F.lit("file_"), s(i % 5)).alias("file"), value.alias("value"), "event_id")
 
 
 LINES = """
@@ -112,13 +111,14 @@ cells AS (SELECT event, 'id' AS field, 'string' AS ty, md5(CAST(event_id AS VARC
  UNION ALL SELECT event, 'payment_amount__2', 'number', CAST(event_id % 7 AS VARCHAR), event_id % 7 FROM good),
 prof AS (SELECT event, field, CASE WHEN count(*) FILTER (WHERE v != '') = 0 THEN 'string' ELSE any_value(ty) END AS inferred_type,
  floor(CAST(count(*) FILTER (WHERE v IS NULL OR v = '') AS DOUBLE) / count(*) * 1000 + 0.5) / 1000 AS null_rate,
- CASE WHEN count(DISTINCT coalesce(v, '__null__')) >= 5000 THEN 5001 ELSE count(DISTINCT coalesce(v, '__null__')) END AS distinct_n, count(*) AS rows_n,
+ count(DISTINCT coalesce(v, '__null__')) AS distinct_n, count(*) FILTER (WHERE v != '') AS present_n, count(*) FILTER (WHERE v != '' AND num != floor(num)) AS fraction_n,
+ count(*) FILTER (WHERE regexp_matches(v, '^[0-9a-f]{{32}}$')) AS hex_n, count(*) AS rows_n,
  max(length(v)) FILTER (WHERE v != '') AS longest, min(num) AS lo, max(num) AS hi FROM cells GROUP BY 1, 2)
 """
 
 
 @query("PRO1 PRO2 PRO3 PRO4 PRO6 PRO7 PRO8", f"""
-WITH {PROFILE_SQL} SELECT event, field, inferred_type, null_rate, CAST(distinct_n AS BIGINT) AS distinct_n, rows_n,
+WITH {PROFILE_SQL} SELECT event, field, inferred_type, null_rate, CAST(distinct_n AS BIGINT) AS distinct_n, present_n, fraction_n, hex_n, rows_n,
  CAST(CASE WHEN inferred_type IN ('string', 'timestamp') THEN coalesce(longest, 0) END AS INTEGER) AS max_length, lo AS min_value, hi AS max_value FROM prof""")
 def field_profile(t: Tables) -> DataFrame:
     """The whole profile of every event type."""
@@ -135,12 +135,19 @@ def sample_values(t: Tables) -> DataFrame:
 
 
 @query("PRO8", """
-SELECT 'file_' || (event_id % 5) AS file, count(*) AS rows_n, count(DISTINCT CASE event_id % 2 WHEN 0 THEN 'true' ELSE 'false' END) AS distinct_n, 'boolean' AS inferred_type
-FROM events WHERE event_id % 101 != 0 AND event_id % 103 != 0 GROUP BY 1""")
+WITH good AS (SELECT *, 'file_' || (event_id % 5) AS file, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment FROM events WHERE event_id % 101 != 0 AND event_id % 103 != 0),
+v AS (SELECT file, unnest([
+  {'f': 'event', 'ty': 'string', 'v': CASE WHEN event_id % 40 = 0 THEN NULL ELSE event_type END, 'here': event_id % 40 != 0}, {'f': 'id', 'ty': 'string', 'v': md5(event_id::VARCHAR), 'here': true},
+  {'f': 'timestamp', 'ty': 'timestamp', 'v': moment, 'here': true}, {'f': 'user_id', 'ty': 'string', 'v': 'u' || user_id, 'here': true}, {'f': 'amount', 'ty': 'number', 'v': value::VARCHAR, 'here': true},
+  {'f': 'ok', 'ty': 'boolean', 'v': (event_id % 2 = 0)::VARCHAR, 'here': true}, {'f': 'os', 'ty': 'string', 'v': CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'iOS' END, 'here': true},
+  {'f': 'device_type', 'ty': 'string', 'v': CASE WHEN event_id % 4 = 0 THEN 'web' ELSE 'ios' END, 'here': true}, {'f': 'payment', 'ty': 'json', 'v': (event_id % 300)::VARCHAR, 'here': true},
+  {'f': 'payment_amount', 'ty': 'number', 'v': (event_id % 7)::VARCHAR, 'here': true}]) AS c FROM good),
+n AS (SELECT file, count(*) AS rows_n FROM good GROUP BY 1)
+SELECT file, c.f AS field, n.rows_n, count(DISTINCT coalesce(c.v, '__null__')) AS distinct_n, any_value(c.ty) AS inferred_type FROM v JOIN n USING (file) WHERE c.here GROUP BY file, c.f, n.rows_n""")
 def raw_profile_by_file(t: Tables) -> DataFrame:
     """Profile per file before flattening, where booleans are still booleans."""
     p = profiling.profile_events(ndjson.parse_lines(raw_lines(t), "skip"), by="file", fields="record")
-    return p.filter("field = 'ok'").select("file", "rows_n", "distinct_n", "inferred_type")
+    return p.select("file", "field", "rows_n", "distinct_n", "inferred_type")
 
 
 @query("PRO9", f"""
@@ -200,15 +207,13 @@ def schema_coverage(t: Tables) -> DataFrame:
 
 
 @query("PRO14", """
-WITH d AS (SELECT event_type, max(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS hi FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
-SELECT 'k' AS field, CAST(2 AS BIGINT) AS types_n, 'int,smallint' AS types FROM d HAVING count(*) = 2""")
+WITH v AS (SELECT event_type, CASE WHEN event_type = 'click' THEN CAST(json_extract_string(props, '$.k') AS INTEGER) * 97 + 256 ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events),
+m AS (SELECT event_type, CASE WHEN min(k) < 0 OR max(k) >= 4294967296 THEN 'bigint' WHEN max(k) < 256 THEN 'smallint' WHEN max(k) < 65536 THEN 'int' ELSE 'bigint' END AS ty FROM v GROUP BY 1)
+SELECT 'k' AS field, count(DISTINCT ty) AS types_n, string_agg(DISTINCT ty, ',' ORDER BY ty) AS types FROM m HAVING count(DISTINCT ty) > 1""")
 def type_conflicts(t: Tables) -> DataFrame:
-    """A field that would get two types in two events: clicks carry it a thousandfold."""
+    """A field that gets two types in different events: clicks carry it a thousandfold."""
     k = F.get_json_object("props", "$.k").cast("int")
     scaled = F.when(F.col("event_type") == "click", k * 97 + 256).otherwise(k)
     line = F.concat(F.lit('{"event":"'), "event_type", F.lit('","k":'), scaled.cast("string"), F.lit(',"j":"x"}'))
-    lines = t.events.filter(F.col("event_type").isin("view", "click")).select(line.alias("value"))
-    typed = profiling.recommend_types(profiling.profile_events(ndjson.flatten_events(ndjson.parse_lines(lines))))
-    # the hundred or so integers of the field are not continuous money: judge them by their range alone
-    typed = typed.withColumn("spark_type", F.when(F.col("spark_type") == "double", "int").otherwise(F.col("spark_type")))
+    typed = profiling.recommend_types(profiling.profile_events(ndjson.flatten_events(ndjson.parse_lines(t.events.select(line.alias("value"))))))
     return profiling.type_conflicts(typed).withColumn("types", F.array_join("types", ","))

@@ -134,15 +134,17 @@ def cache_keys(t: Tables) -> DataFrame:
     return keyed.select("conv_id", F.col("seq").alias("turn"), key.alias("cache_key"))
 
 
-@query("KNO6 SRC11", """
-WITH c AS (SELECT md5(substr(text, 1, 3)) AS cache_key, doc_id, CAST(doc_id AS VARCHAR) AS insight_json FROM documents),
+@query("KNO6 SRC11", r"""
+WITH c AS (SELECT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS cache_key, doc_id, CAST(doc_id AS VARCHAR) AS insight_json FROM (SELECT doc_id, text FROM documents UNION ALL SELECT item_id, upper(text) FROM benchmark)),
 n AS (SELECT cache_key, arg_max(insight_json, doc_id) AS insight_json FROM c GROUP BY 1)
-SELECT DISTINCT b.item_id, n.insight_json FROM benchmark b JOIN n ON n.cache_key = md5(substr(b.text, 1, 3))""")
+SELECT DISTINCT b.item_id, n.insight_json FROM benchmark b JOIN n ON n.cache_key = trim(regexp_replace(lower(b.text), '\s+', ' ', 'g'))""")
 def cache_lookup(t: Tables) -> DataFrame:
     """The newest stored answer per key."""
-    key = lambda c: F.md5(F.substring(c, 1, 3))
-    cache = t.documents.select(key("text").alias("cache_key"), F.col("doc_id").cast("string").alias("insight_json"), F.col("doc_id").alias("created_at"))
-    return knowledge.cached_answers(t.benchmark.select("item_id", key("text").alias("cache_key")), cache).select("item_id", "insight_json")
+    key = knowledge.cache_key(F.col("text"), F.lit("ctx:data"), F.lit("c"), F.lit(""), F.lit("")).alias("cache_key")
+    # asked before in other letters: the key folds case and white space
+    answered = t.documents.select("doc_id", "text").unionByName(t.benchmark.select(F.col("item_id").alias("doc_id"), F.upper("text").alias("text")))
+    cache = answered.select(key, F.col("doc_id").cast("string").alias("insight_json"), F.col("doc_id").alias("created_at"))
+    return knowledge.cached_answers(t.benchmark.select("item_id", key), cache).select("item_id", "insight_json")
 
 
 @query("KNO7 AGG8 JON9", f"""

@@ -10,11 +10,11 @@ from evidencelake.operators import citations, confidence, metrics, precision, qu
 from evidencelake.operators.joins import first_per_key
 from evidencelake.operators.metrics import RateSpec
 from evidencelake.plans.metric_queries import ORDER_FLAGS, order_flags
-from evidencelake.plans.registry import Tables, query, spread
+from evidencelake.plans.registry import Tables, query
 
 
 def documents(t: Tables) -> DataFrame:
-    return spread(t.documents, "doc_id")
+    return t.documents
 
 
 @query("CIT1", r"""
@@ -267,29 +267,29 @@ def unstated_assumptions(t: Tables) -> DataFrame:
 
 @query("CNF5", r"""
 WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '[;\n]')) AS a, generate_subscripts(string_split_regex(text, '[;\n]'), 1) AS i FROM documents),
-k AS (SELECT doc_id, substr(trim(a, ' '), 1, 120) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM s WHERE trim(a, ' ') != '')
-SELECT doc_id, a AS assumption, CAST(rn - 1 AS INTEGER) AS position FROM k WHERE rn <= 6""")
+k AS (SELECT doc_id, trim(a, ' ') AS a, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM s WHERE trim(a, ' ') != '')
+SELECT doc_id, a AS assumption, CAST(rn - 1 AS INTEGER) AS position FROM k""")
 def assumption_cleanup(t: Tables) -> DataFrame:
-    """A text split at semicolons and line breaks into at most six trimmed assumptions."""
+    """A text split at semicolons and line breaks into trimmed assumptions."""
     return documents(t).select("doc_id", F.posexplode(questions.split_assumptions(F.col("text"))).alias("position", "assumption"))
 
 
 @query("KNO4", r"""
 WITH f AS (SELECT doc_id, trim(replace(regexp_replace(text, '\n+', ' ', 'g'), '**', ''), ' ') AS flat FROM documents),
-s AS (SELECT doc_id, flat, regexp_extract(flat, '^(.{0,220}?[.;])\s', 1) AS m FROM f)
-SELECT doc_id, trim(CASE WHEN m != '' THEN m ELSE substr(flat, 1, 220) END, ' ') AS brief FROM s""")
+s AS (SELECT doc_id, flat, regexp_extract(flat, '^(.*?[.;])\s', 1) AS m FROM f)
+SELECT doc_id, trim(CASE WHEN m != '' THEN m ELSE flat END, ' ') AS brief FROM s""")
 def brief_definitions(t: Tables) -> DataFrame:
     """First sentence of each definition."""
     return documents(t).select("doc_id", first_sentence(F.col("text")).alias("brief"))
 
 
 @query("PRO16", r"""
-WITH b AS (SELECT conv_id, turn, trim(regexp_replace(replace(substr(text, 1, 120), '`', ''), '\s+', ' ', 'g'), ' ') AS q FROM conversations),
+WITH b AS (SELECT conv_id, turn, trim(regexp_replace(replace(text, '`', ''), '\s+', ' ', 'g'), ' ') AS q FROM conversations),
 k AS (SELECT lower(q) AS lq, min((lpad(CAST(conv_id AS VARCHAR), 8, '0'), turn, q)) AS m FROM b WHERE length(q) BETWEEN 15 AND 200 GROUP BY 1)
 SELECT m[1] AS spec, m[3] AS question FROM k ORDER BY m LIMIT 12""")
 def suggested_questions(t: Tables) -> DataFrame:
     """Bullets under a Questions heading, cleaned and deduplicated; the first twelve."""
-    one_line = F.regexp_replace(F.substring("text", 1, 120), r"\s+", " ")
+    one_line = F.regexp_replace("text", r"\s+", " ")
     line = F.concat(F.lit("- "), one_line)
     # a conversation has few turns: its document is as long as its turns
     docs = t.conversations.groupBy(F.lpad(F.col("conv_id").cast("string"), 8, "0").alias("spec")).agg(

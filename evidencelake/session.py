@@ -1,10 +1,8 @@
-"""Session settings and the two run-time helpers that need a session."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime-settable: applied to whatever session the caller hands us.
 RUNTIME_CONF = {
@@ -38,14 +36,3 @@ def local_session(cores: int | str = "*", app: str = "evidencelake", partitions:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
-
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder the cluster names; runs a job.
-
-    Only a session without ``spark.checkpoint.dir`` (tests) gets a temporary folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)

@@ -22,8 +22,9 @@ def typed_columns(columns: Sequence[tuple[str, str]]) -> list[Column]:
         text = F.try_variant_get(v, "$", "string")
         value = text if spark_type == "string" else text.try_cast(spark_type)
         if spark_type in ("tinyint", "smallint", "int", "bigint"):
-            # 1e3 reads as a double: take the number, then its integer type
-            value = F.try_variant_get(v, "$", "double").try_cast(spark_type)
+            # 1e3 reads as a double: take the number, then its integer type; a fraction does not fit
+            number = F.try_variant_get(v, "$", "double")
+            value = F.when(number == F.floor(number), number.try_cast(spark_type))
         out.append(value.alias(name))
     return out
 

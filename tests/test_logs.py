@@ -47,11 +47,6 @@ def test_attribution(spark):
     assert [tuple(r.a) for r in df.collect()] == [("observe", "r1", "s")] + [(None, None, None)] * 4
 
 
-def test_not_measured_is_not_zero(spark):
-    assert querylog.window_available(None, None) == (False, False)
-    assert querylog.window_available(spark.range(0), None) == (True, True)
-
-
 STATEMENTS = {
     "ALTER TABLE t MODIFY TTL ts + INTERVAL 30 DAY": None, "alter table a.b add column c String": None, "ALTER TABLE t MODIFY COLUMN c LowCardinality(String)": None,
     "CREATE MATERIALIZED VIEW IF NOT EXISTS mv AS SELECT 1": None, "OPTIMIZE TABLE t FINAL;": None,

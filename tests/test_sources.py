@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.operators import profiling
-from evidencelake.session import reliable_checkpoint
 from evidencelake.sources import ndjson, tables, versions
 from evidencelake.streaming.intake import hourly_counts, stream_events
 
@@ -181,7 +180,3 @@ def test_hourly_counts_stream(spark, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("hourly").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.queries, r.max_ms) for r in spark.table("hourly").collect()) == [(60, 59), (60, 119)]
-
-
-def test_reliable_checkpoint(spark):
-    assert reliable_checkpoint(spark.range(5)).count() == 5
