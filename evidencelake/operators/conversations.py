@@ -58,35 +58,38 @@ def related_answers(questions: DataFrame, cache: DataFrame, n: int = RELATED) ->
     newest ``n`` of any question survive - ``n`` each of the ``n + 1`` newest question texts, since a question
     skips just its own text.
     """
+    own = F.xxhash64("question")
     asked = questions.select(
-        "question_id", "conv_id", "question",
+        "question_id", "conv_id", own.alias("own"),
         F.explode(question_terms(F.col("question"), longer_than=3, first=5)).alias("term"),
     ).distinct()
-    # a term is a run of letters and digits, so it occurs inside one such run of the stored text
+    # a term is a run of letters and digits, so it occurs inside one such run of the stored text; texts stay behind
     words = cache.select(
-        "conv_id", "answer_id", F.col("question").alias("stored_question"), "created_at",
+        "conv_id", "answer_id", own.alias("stored"), "created_at",
         F.explode(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9]+"))).alias("word"),
     )
     hits = (
         words.join(_containing(asked.select("term").distinct(), words.select("word").distinct()), "word")
         .join(asked.select("conv_id", "term").distinct(), ["conv_id", "term"], "left_semi")
-        .select("conv_id", "term", "answer_id", "stored_question", "created_at")
+        .select("conv_id", "term", "answer_id", "stored", "created_at")
         .distinct()
     )
     newest = [F.col("created_at").desc(), F.col("answer_id")]
-    per_text = first_per_key(hits, ["conv_id", "term", "stored_question"], newest, n)
-    texts = per_text.groupBy("conv_id", "term", "stored_question").agg(
-        F.max(F.struct("created_at")).alias("_at"), F.min("answer_id").alias("_id")
+    per_text = first_per_key(hits, ["conv_id", "term", "stored"], newest, n)
+    texts = per_text.groupBy("conv_id", "term", "stored").agg(
+        F.max("created_at").alias("_at"), F.min_by("answer_id", F.struct(-F.col("created_at").cast("double"), F.col("answer_id"))).alias("_id")
     )
-    kept_texts = first_per_key(texts, ["conv_id", "term"], [F.col("_at").desc(), F.col("stored_question")], n + 1)
-    kept = per_text.join(kept_texts.select("conv_id", "term", "stored_question"), ["conv_id", "term", "stored_question"], "left_semi")
+    kept_texts = first_per_key(texts, ["conv_id", "term"], [F.col("_at").desc(), F.col("_id")], n + 1)
+    kept = per_text.join(kept_texts.select("conv_id", "term", "stored"), ["conv_id", "term", "stored"], "left_semi")
     candidates = (
         asked.join(kept, ["conv_id", "term"])
-        .filter(F.col("stored_question") != F.col("question"))
-        .select("question_id", "conv_id", "answer_id", "stored_question", "created_at")
+        .filter("stored <> own")
+        .select("question_id", "conv_id", "answer_id", "created_at")
         .distinct()
     )
-    return first_per_key(candidates, ["question_id"], newest, n)
+    found = first_per_key(candidates, ["question_id"], newest, n)
+    stored = cache.select("conv_id", "answer_id", F.col("question").alias("stored_question"))
+    return found.join(stored, ["conv_id", "answer_id"]).select("question_id", "conv_id", "answer_id", "stored_question", "created_at")
 
 
 def _containing(terms: DataFrame, words: DataFrame) -> DataFrame:

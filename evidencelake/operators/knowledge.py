@@ -19,7 +19,7 @@ INTERNAL_TABLES = (
     "optimization_suggestions", "schema_changelog", "trace_summaries", "insight_cache", "run_summary",
 )
 ANSWER_FORMAT = "v4"
-STAMP_CHARS, KEY_CHARS, STAMP_BUCKETS = 10, 32, 256
+STAMP_CHARS, KEY_CHARS = 10, 32
 
 
 def history(store: DataFrame) -> DataFrame:
@@ -51,21 +51,14 @@ def missing_required(bundle: DataFrame, required: DataFrame) -> DataFrame:
 def version_stamp(store: DataFrame, entity: str = "entity", version: str = "version") -> DataFrame:
     """One short digest of every (entity, version) in force.
 
-    Two levels - buckets of entities, then the buckets - so no task concatenates the whole store; any added,
-    removed or revised entry changes it.
+    Each entry's digest is cut into two numbers whose sums do not depend on any order, so nothing is gathered; any
+    added, removed or revised entry changes them.
     """
-    pair = F.concat_ws("@", F.col(entity), F.col(version).cast("string"))
-    bucketed = (
-        latest_version(store, entity, version)
-        .select(F.substring(F.md5(F.col(entity)), 1, 2).alias("b"), pair.alias("p"))
-        .groupBy("b")
-        .agg(F.sha1(F.array_join(F.array_sort(F.collect_list("p")), "|")).alias("d"), F.count(F.lit(1)).alias("c"))
-    )
-    # at most STAMP_BUCKETS rows
-    return bucketed.agg(
-        F.left(F.sha1(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "b", "d"))), "|")), F.lit(STAMP_CHARS)).alias("stamp"),
-        F.coalesce(F.sum("c"), F.lit(0)).alias("entities_n"),
-    )
+    digest = F.md5(F.concat_ws("@", F.col(entity), F.col(version).cast("string")))
+    number = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)"))
+    sums = latest_version(store, entity, version).agg(number(1).alias("a"), number(16).alias("b"), F.count(F.lit(1)).alias("entities_n"))
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("a", "b", "entities_n")])
+    return sums.select(F.left(F.sha1(text), F.lit(STAMP_CHARS)).alias("stamp"), "entities_n")
 
 
 def data_stamp(tables: DataFrame) -> DataFrame:

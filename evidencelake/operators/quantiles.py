@@ -12,13 +12,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS_PER_E_FOLD = 1024
+BUCKETS = 1 << 15
 
 
-def order_bucket(value: Column) -> Column:
-    """A bucket number that never decreases as the value grows (log-spaced, so outliers do not pile up)."""
-    v = value.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * 1000) * BUCKETS_PER_E_FOLD).cast("long")
+def order_bucket(value: Column, low: Column, high: Column) -> Column:
+    """A bucket number that never decreases as the value grows, between its group's lowest and highest value.
+
+    It adds the place on a linear and on a logarithmic scale: values close together anywhere - prices in cents, time
+    stamps - part on the first, and values below far outliers on the second.
+    """
+    v, low, high = (c.cast("double") for c in (value, low, high))
+    log = lambda c: F.signum(c) * F.log1p(F.abs(c) * 1000)
+    place = lambda f: F.coalesce(F.nanvl(F.try_divide(f(v) - f(low), f(high) - f(low)), F.lit(0.0)), F.lit(0.0))
+    both = F.when(v <= low, 0.0).when(v >= high, 2.0).otherwise(place(lambda c: c) + place(log))
+    return F.floor(F.least(both, F.lit(2.0)) * BUCKETS).cast("long")
 
 
 def exact_quantiles(
@@ -53,8 +60,16 @@ def exact_quantiles(
         .select(*keys, F.col(value).alias("_v"))
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b", order_bucket(F.col("_v")))
     )
+    bounds = counts.groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys]).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    of_group = F.lit(True)
+    for k in keys:
+        of_group = of_group & F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+    if keys:
+        counts = counts.join(bounds, of_group).withColumn("_b", order_bucket(F.col("_v"), F.col("_lo"), F.col("_hi")))
+    else:
+        counts = counts.withColumn("_b", order_bucket(F.col("_v"), bounds.select("_lo").scalar(), bounds.select("_hi").scalar()))
+    counts = counts.select(*keys, "_v", "_c", "_b")
     group = Window.partitionBy(*[F.col(k) for k in keys])
     before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
@@ -110,7 +125,7 @@ def ordered_position(
 ) -> DataFrame:
     """0-based position of every row within its group, without one task sorting a large group.
 
-    ``bucket`` must not decrease along ``order`` (the day of the leading timestamp, say): rows are numbered inside
+    ``bucket`` must not decrease along ``order`` (the minute of the leading timestamp, say): rows are numbered inside
     their bucket and shifted by the sizes of the buckets before it. With no keys the whole frame is one group.
     """
     keys = list(keys)

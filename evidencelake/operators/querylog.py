@@ -205,9 +205,21 @@ def table_counts(origins: DataFrame) -> DataFrame:
     )
 
 
-def advisor_evidence(storage: DataFrame, reads: DataFrame) -> DataFrame:
-    """Storage with each table's share of the bytes and how often it was read."""
-    shared = share_of_total(storage, "bytes")
+def with_total(storage: DataFrame) -> DataFrame:
+    """Storage per table and one row over all, without a table or an origin."""
+    whole = storage.agg(*[F.sum(c).alias(c) for c in ("bytes", "rows", "files")])
+    return storage.unionByName(whole, allowMissingColumns=True)
+
+
+def oldest_data(tables: DataFrame, now: Column) -> DataFrame:
+    """``(table, oldest, age_days)`` from ``(table, ts)`` rows: how far back each table's data goes."""
+    oldest = tables.groupBy("table").agg(F.min("ts").alias("oldest"))
+    return oldest.withColumn("age_days", F.datediff(now, F.col("oldest")))
+
+
+def advisor_evidence(storage: DataFrame, reads: DataFrame, measure: str = "bytes") -> DataFrame:
+    """Storage with each table's share of the measure and how often it was read."""
+    shared = share_of_total(storage, measure)
     return shared.join(reads, "table", "left").fillna({"reads_24h": 0, "reads_30d": 0})
 
 

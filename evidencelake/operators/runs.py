@@ -72,8 +72,8 @@ def step_attempts(runs_log: DataFrame) -> DataFrame:
     step = ["run_id", "name"]
 
     def numbered(events: DataFrame) -> DataFrame:
-        # numbered by day, so one step's endless log is not sorted by one task
-        return ordered_position(events, step, [F.col("ts"), F.col("seq")], F.to_date("ts"), "_i").withColumn(
+        # numbered by minute, so one step's endless log is not sorted by one task
+        return ordered_position(events, step, [F.col("ts"), F.col("seq")], F.date_trunc("minute", "ts"), "_i").withColumn(
             "attempt", F.col("_i") + 1
         )
 

@@ -60,20 +60,25 @@ def digest_wide(t: Tables) -> DataFrame:
 
 
 @query("DIG11", f"""
-WITH {CUSTOMER_RESULT}, w AS ({WIDE})
-SELECT CAST(position AS INTEGER) AS position, alias, "column", kind, stat, scope FROM w, (VALUES
+WITH {CUSTOMER_RESULT}, w AS ({WIDE}),
+u AS (SELECT alias, number, NULL AS day FROM (SELECT columns(* EXCLUDE (first_order_min, first_order_max))::DOUBLE FROM w) UNPIVOT (number FOR alias IN (*))
+  UNION ALL SELECT alias, NULL, day FROM (SELECT first_order_min, first_order_max FROM w) UNPIVOT (day FOR alias IN (*))),
+l AS (SELECT CAST(position AS INTEGER) AS position, alias, "column", kind, stat, scope FROM w, (VALUES
  (0,'total_rows','','','total_rows','population'),(1,'return_rate_min','return_rate','rate','min','column'),(2,'return_rate_max','return_rate','rate','max','column'),
  (3,'return_rate_p50','return_rate','rate','p50','column'),(4,'return_rate_gt1_n','return_rate','rate','gt1_n','column'),(5,'full_return_rate','return_rate','rate','full_rate','population'),
  (6,'full_return_n','return_n','count','full_n','population'),(7,'return_n_min','return_n','count','min','column'),(8,'return_n_max','return_n','count','max','column'),
  (9,'full_return_n_sum','return_n','count','sum','population'),(10,'spend_min','spend','numeric','min','column'),(11,'spend_max','spend','numeric','max','column'),
  (12,'spend_avg','spend','numeric','avg','column'),(13,'spend_p50','spend','numeric','p50','column'),(14,'first_order_min','first_order','temporal','min','column'),
  (15,'first_order_max','first_order','temporal','max','column'),(16,'customer_distinct','customer','categorical','distinct','column'),(17,'status_distinct','status','categorical','distinct','column')
-) v(position, alias, "column", kind, stat, scope) WHERE total_rows > 0""")
+) v(position, alias, "column", kind, stat, scope) WHERE total_rows > 0)
+SELECT l.*, CASE WHEN alias IN ('first_order_min', 'first_order_max') THEN NULL ELSE u.number END AS number, CASE WHEN alias IN ('first_order_min', 'first_order_max') THEN u.day END AS day FROM l JOIN u USING (alias)""")
 def digest_long(t: Tables) -> DataFrame:
     """The digest split into population figures and per-column figures."""
     r = customer_result(t)
-    long = digest.digest_long(digest.digest(r), digest.classify_columns(r.schema))
-    return long.filter(F.col("value").isNotNull()).select("position", "alias", "column", "kind", "stat", "scope")
+    long = digest.digest_long(rounded_digest(t), digest.classify_columns(r.schema))
+    dated = F.col("kind") == "temporal"
+    number, day = F.when(~dated, F.col("value").cast("double")), F.when(dated, F.col("value"))
+    return long.filter(F.col("value").isNotNull()).select("position", "alias", "column", "kind", "stat", "scope", number.alias("number"), day.alias("day"))
 
 
 @query("DIG9 TOP3", f"""

@@ -15,7 +15,7 @@ APP = "evidencelake"
 
 LOG = """
 log AS (SELECT CASE WHEN event_type = 'error' THEN 'ExceptionWhileProcessing' ELSE 'QueryFinish' END AS type, ts AS event_time, event_id AS query_id, CAST(floor(value * 10) AS BIGINT) AS ms,
- event_id % 1000 AS read_rows, event_id % 1700 AS written_rows, event_type AS query_kind, 'SELECT  * FROM t_' || (event_id % 7) || ' WHERE user_id = ' || user_id || ' AND s = ''' || event_type || ''' AND k IN (1, 2, ' || (event_id % 50) || ')' AS query,
+ event_id % 1000 AS read_rows, event_id % 1700 AS written_rows, event_type AS query_kind, 'SELECT  ' || repeat('a_long_column_name, ', 20) || '* FROM t_' || (event_id % 7) || ' WHERE user_id = ' || user_id || ' AND s = ''' || event_type || ''' AND k IN (1, 2, ' || (event_id % 50) || ')' AS query,
  CASE WHEN event_id % 11 = 0 THEN ['other'] ELSE ['db', 'other'] END AS databases, ['db.t_' || (event_id % 7), 'other.z'] AS tables,
  '{"app":"' || CASE WHEN event_id % 5 = 0 THEN 'foreign' ELSE 'evidencelake' END || '","agent":"' || CASE WHEN event_id % 13 = 0 THEN 'observe' ELSE 'analytics' END || '","run":"r' || user_id || '"}' AS log_comment FROM events),
 mx AS (SELECT max(ts) AS now FROM events),
@@ -28,7 +28,7 @@ SHAPE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(query, '''
 def query_log(t: Tables) -> DataFrame:
     i, k, s = F.col("event_id"), F.col("event_type"), (lambda c: c.cast("string"))
     sql = F.concat(
-        F.lit("SELECT  * FROM t_"), s(i % 7), F.lit(" WHERE user_id = "), s(F.col("user_id")), F.lit(" AND s = '"), k, F.lit("' AND k IN (1, 2, "), s(i % 50), F.lit(")")
+        F.lit("SELECT  " + "a_long_column_name, " * 20 + "* FROM t_"), s(i % 7), F.lit(" WHERE user_id = "), s(F.col("user_id")), F.lit(" AND s = '"), k, F.lit("' AND k IN (1, 2, "), s(i % 50), F.lit(")")
     )
     comment = F.concat(
         F.lit('{"app":"'), F.when(i % 5 == 0, "foreign").otherwise(APP), F.lit('","agent":"'), F.when(i % 13 == 0, "observe").otherwise("analytics"),
@@ -58,7 +58,7 @@ def scoped_queries(t: Tables) -> DataFrame:
 
 
 WINDOW_SQL = f"""
-{LOG}, w AS (SELECT *, CAST(epoch(date_trunc('hour', event_time)) AS BIGINT) AS h, substr({SHAPE}, 1, 240) AS shape FROM scoped_all),
+{LOG}, w AS (SELECT *, CAST(epoch(date_trunc('hour', event_time)) AS BIGINT) AS h, {SHAPE} AS shape FROM scoped_all),
 g AS (SELECT CASE WHEN grouping(h) = 1 AND grouping(shape) = 1 THEN 'total' WHEN grouping(h) = 0 THEN 'hour' ELSE 'shape' END AS grouping, h AS hour_ts, shape, count(*) AS queries,
   round_even(round(quantile_cont(ms, 0.95), 6), 0) AS p95_ms, CAST(sum(read_rows) AS BIGINT) AS rows_read, max(ms) AS max_ms, max(greatest(read_rows, written_rows)) AS max_rows,
   arg_max(query_kind, (ms, event_time, query_id)) AS top_kind, arg_max(greatest(read_rows, written_rows), (ms, event_time, query_id)) AS top_rows FROM w GROUP BY GROUPING SETS ((), (h), (shape)))
@@ -146,7 +146,7 @@ def recent_queries(t: Tables) -> DataFrame:
 
 @query("TOP5 QRY10", f"""
 WITH {LOG}, s AS (SELECT {SHAPE} AS shape, count(*) AS runs, max(ms) AS max_ms, round_even(round(CAST(sum(ms) AS DOUBLE) / count(*), 6), 0) AS avg_ms, CAST(sum(read_rows) AS BIGINT) AS rows_read FROM scoped_all GROUP BY 1)
-SELECT substr(shape, 1, 200) AS shape, runs, max_ms, avg_ms, rows_read FROM s ORDER BY runs * avg_ms DESC, shape LIMIT 8""")
+SELECT shape, runs, max_ms, avg_ms, rows_read FROM s ORDER BY runs * avg_ms DESC, shape LIMIT 8""")
 def costliest_shapes(t: Tables) -> DataFrame:
     """The eight shapes that cost most in total."""
     return querylog.costliest_shapes(querylog.in_scope(query_log(t), "db", now(t), querylog.READS_HOURS))
@@ -177,23 +177,30 @@ st AS (SELECT 'orders' AS t, count(*) AS rows, 'base' AS o FROM orders UNION ALL
 """
 
 
-@query("QRY7", f"""WITH {STORAGE_SQL} SELECT t AS "table", rows, o AS origin, CAST(1 AS BIGINT) AS files, true AS has_bytes FROM st""")
+@query("QRY7", f"""
+WITH {STORAGE_SQL}, e AS (SELECT t AS "table", rows, o AS origin FROM st UNION ALL SELECT NULL, sum(rows)::BIGINT, NULL FROM st) SELECT *, true AS has_bytes FROM e""")
 def table_storage(t: Tables) -> DataFrame:
-    """Bytes, rows and files per table."""
-    return storage(t).select("table", "rows", "origin", "files", (F.col("bytes") > 0).alias("has_bytes"))
+    """Rows per table and over all (no table name), each with bytes in files."""
+    return querylog.with_total(storage(t)).select("table", "rows", "origin", ((F.col("bytes") > 0) & (F.col("files") > 0)).alias("has_bytes"))
 
 
-@query("QRY8", """SELECT CAST(5 AS BIGINT) AS tables_live, CAST(2 AS BIGINT) AS base_tables, CAST(3 AS BIGINT) AS agent_tables FROM orders HAVING count(*) > 0""")
+@query("QRY8", """
+WITH v AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN '.inner.' || p_partkey ELSE 'part_' || p_partkey END AS tbl, p_size <= 20 AS base FROM part)
+SELECT count(*) AS tables_live, count(*) FILTER (base) AS base_tables, count(*) FILTER (NOT base) AS agent_tables FROM v WHERE NOT starts_with(tbl, '.inner')""")
 def table_counts(t: Tables) -> DataFrame:
-    """Live, base and agent tables."""
-    return querylog.table_counts(storage(t).select("table", "origin"))
+    """Live, base and agent tables of a catalog with a table per part; internal ones are not counted."""
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 50 == 0, ".inner.").otherwise("part_"), k.cast("string"))
+    return querylog.table_counts(t.part.select(name.alias("table"), F.when(F.col("p_size") <= 20, "base").otherwise("agent").alias("origin")))
 
 
-@query("QRY10 AGG15")
+@query("QRY10 AGG15", f"""
+WITH {STORAGE_SQL}, {LOG}, r AS (SELECT ['orders', 'events', 'customer'][query_id % 3 + 1] AS t, count(*) FILTER (event_time >= now - INTERVAL 24 HOURS) AS r24, count(*) AS r30 FROM scoped_all GROUP BY 1)
+SELECT st.t AS "table", st.rows, st.o AS origin, floor(st.rows::DOUBLE / (SELECT sum(rows) FROM st) * 1000 + 0.5) / 10 AS share_pct, coalesce(r24, 0) AS reads_24h, coalesce(r30, 0) AS reads_30d FROM st LEFT JOIN r ON r.t = st.t""")
 def advisor_evidence(t: Tables) -> DataFrame:
-    """Storage share beside reads; file sizes are known to Spark only."""
+    """Each table's share of the rows beside how often it was read; file sizes are known to Spark only."""
     reads = querylog.reads_per_table(query_log(t).withColumn("tables", F.array(F.concat(F.lit("db."), F.element_at(F.array(F.lit("orders"), F.lit("events"), F.lit("customer")), (F.col("query_id") % 3 + 1).cast("int"))))), "db", now(t))
-    return querylog.advisor_evidence(storage(t), reads)
+    return querylog.advisor_evidence(storage(t).drop("bytes", "files"), reads, "rows")
 
 
 @query("QRY11 TOP7 JON4", """
@@ -268,7 +275,7 @@ def phase_durations(t: Tables) -> DataFrame:
 
 
 CONV = """
-conv AS (SELECT conv_id, turn AS updated_at, substr(text, 1, 20) AS title, CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END AS starred, CASE WHEN conv_id % 9 = 0 AND turn > 1 THEN 1 ELSE 0 END AS deleted FROM conversations),
+conv AS (SELECT conv_id, turn AS updated_at, text AS title, CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END AS starred, CASE WHEN conv_id % 9 = 0 AND turn > 1 THEN 1 ELSE 0 END AS deleted FROM conversations),
 lst AS (SELECT * FROM conv QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY updated_at DESC, title DESC) = 1)
 """
 
@@ -280,7 +287,7 @@ def conversation_list(t: Tables) -> DataFrame:
     """The newest live conversations with counts and previews."""
     c, k = t.conversations, F.col("conv_id")
     upserts = c.select(
-        "conv_id", F.col("turn").alias("updated_at"), F.substring("text", 1, 20).alias("title"), F.when(k % 5 == 0, 1).otherwise(0).alias("starred"),
+        "conv_id", F.col("turn").alias("updated_at"), F.col("text").alias("title"), F.when(k % 5 == 0, 1).otherwise(0).alias("starred"),
         F.when((k % 9 == 0) & (F.col("turn") > 1), 1).otherwise(0).alias("deleted"),
     )
     messages = c.select("conv_id", F.col("turn").alias("seq"), "role", F.col("text").alias("question"))

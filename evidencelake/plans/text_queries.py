@@ -224,13 +224,22 @@ def confidence_sum_invariant(t: Tables) -> DataFrame:
     return c.select("answer_id", total.cast("double").alias("total"))
 
 
-@query("CNF2")
+@query("CNF2", f"""
+WITH {CONFIDENCE_SQL}, x AS (SELECT d.*, f.hw, e.ded, k % 4 = 2 AS failed, k % 4 IN (0, 3) AS unverified, d.ceiling - ded + CASE WHEN k % 8 = 0 THEN least(0.05, ded) ELSE 0 END AS raw FROM d JOIN e USING (k) JOIN f USING (k)),
+c AS (SELECT *, CASE WHEN failed THEN 0.44 WHEN unverified THEN 0.70 ELSE 1.00 END AS c1 FROM x),
+s AS (SELECT k, unnest(list_filter([
+  {{'name': 'verification_failed', 'told': failed, 'delta': c1 - 1}}, {{'name': 'unverified', 'told': unverified, 'delta': c1 - 1}}, {{'name': 'no_bounded_precision', 'told': unb, 'delta': ceiling - c1}},
+  {{'name': 'headline_interval', 'told': hw IS NOT NULL, 'delta': -head}}, {{'name': 'small_segments', 'told': sm > 0, 'delta': -sm}}, {{'name': 'rates_without_denominator', 'told': noden > 0, 'delta': -noden}},
+  {{'name': 'small_sample_flag', 'told': samp > 0, 'delta': -samp}}, {{'name': 'definition_concern', 'told': def > 0 OR (k % 4 != 0 AND k % 7 = 0), 'delta': -def}}, {{'name': 'impossible_values', 'told': imp > 0, 'delta': -imp}},
+  {{'name': 'dropped_tasks', 'told': drp > 0, 'delta': -drp}}, {{'name': 'citation_retries', 'told': ret > 0, 'delta': -ret}}, {{'name': 'assumptions', 'told': asm > 0, 'delta': -asm}},
+  {{'name': 'named_metric', 'told': k % 8 = 0, 'delta': least(0.05, ded)}}, {{'name': 'floor', 'told': raw < 0.05, 'delta': 0.05 - raw}}], lambda z: z.told)) AS z, k AS answer_id FROM c)
+SELECT answer_id, z.name AS name, round(z.delta::DOUBLE, 2) AS delta FROM s""")
 def confidence_signals(t: Tables) -> DataFrame:
-    """The itemised signals behind each score, one row each, with their text."""
+    """The itemised signals behind each score, one row each."""
     c = confidence.confidence(*confidence_inputs(t))
     # the outer form keeps the optimiser from computing every signal a second time to test for emptiness
     rows = c.select("answer_id", F.posexplode_outer("signals").alias("position", "s")).filter(F.col("s").isNotNull())
-    return rows.select("answer_id", "position", "s.name", F.col("s.delta").cast("double").alias("delta"), "s.detail")
+    return rows.select("answer_id", "s.name", F.col("s.delta").cast("double").alias("delta"))
 
 
 METRIC_IDS = """
