@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
     """``width`` bits per id."""
     if len(ids) and int(ids.max()) >> width:
         raise ValueError(f"an id needs more than {width} bits")
+    if width % 8 == 0:  # whole bytes
+        return ids.astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - width // 8 :].tobytes()
     bits = np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
     return np.packbits(bits).tobytes()
 
@@ -50,6 +53,10 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 def unpack(payload: bytes, width: int, start: int, stop: int) -> np.ndarray:
     """Ids ``start`` to ``stop`` (not with it) of a block; only their bytes are touched."""
     low, high = start * width // 8, -(-stop * width // 8)
+    if width % 8 == 0:
+        wide = np.zeros((stop - start, 4), np.uint8)
+        wide[:, 4 - width // 8 :] = np.frombuffer(payload, np.uint8)[low:high].reshape(-1, width // 8)
+        return wide.view(">u4").ravel().astype(np.uint32)
     bits = np.unpackbits(np.frombuffer(payload, np.uint8)[low:high])[start * width - 8 * low :][: (stop - start) * width]
     wide = np.zeros((stop - start, 32), np.uint8)
     wide[:, 32 - width :] = bits.reshape(-1, width)
@@ -67,14 +74,14 @@ class Encoder(dict):
     SIMPLE = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
     PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
-    def __init__(self, file: str, direct: bool, most: int = 400_000) -> None:
+    def __init__(self, file: str, direct: bool, most: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.direct, self.most = Tokenizer.from_file(file), direct, most
         self.model = self.tokenizer.model
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
@@ -83,19 +90,25 @@ class Encoder(dict):
         if len(self) >= self.most:
             self.clear()
         text = word.decode()
-        if self.direct and b"<|" not in word and self.SIMPLE.fullmatch(text):
-            ids = [i for p in self.PIECES.findall(text.lower()) for i in self.piece(p)]
+        if not self.direct or b"<|" in word:
+            value = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        elif word.isalpha():
+            value = self.piece(text.lower())
+        elif self.SIMPLE.fullmatch(text):
+            value = b"".join(map(self.piece, self.PIECES.findall(text.lower())))
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        value = self[word] = np.array(ids, dtype="<u4").tobytes()
+            value = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = value
         return value
 
-    def piece(self, piece: str) -> list[int]:
-        if piece not in self.pieces:
+    def piece(self, piece: str) -> bytes:
+        value = self.pieces.get(piece)
+        if value is None:
             if len(self.pieces) >= self.most:
                 self.pieces.clear()
-            self.pieces[piece] = [t.id for t in self.model.tokenize("".join(self.letters[b] for b in piece.encode()))]
-        return self.pieces[piece]
+            coded = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+            value = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+        return value
 
     def of(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split()))
