@@ -1,20 +1,17 @@
 """Is every number quoted in an answer backed by its results?
 
 Figures are matched to the pool of an answer by an equi-join on tolerance bands, so an answer with very many
-figures or quoted numbers is spread over tasks; only the differences and ratios of the first 60 values - a
-fixed bound - are tried in place.
+figures or quoted numbers is spread over tasks. Differences and ratios are met on the same bands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.functions.text import normalised, numbers_in, to_number
 
 # Fixed values.
-ROWS_SHOWN = 24
-PAIRABLE = 60
 ABSOLUTE_TOLERANCE = 0.06
 RELATIVE_TOLERANCE = 0.015
 SMALL_INTEGER = 12
@@ -55,19 +52,20 @@ def _near_range(n: Column) -> Column:
     )
 
 
-def numeric_pool(cells: DataFrame, tasks: DataFrame, profile: DataFrame | None = None, rows_shown: int = ROWS_SHOWN) -> DataFrame:
+def numeric_pool(cells: DataFrame, tasks: DataFrame, profile: DataFrame | None = None, rows_shown: int | None = None) -> DataFrame:
     """The figures an answer may cite, as ``(answer_id, position, value)`` with each value once.
 
     ``cells(answer_id, task_position, row_id, position, value)`` hold the results' numbers with 0-based row and
     column positions, ``tasks(answer_id, task_position, fetched_rows, total_rows)`` their sizes, ``profile`` -
     shaped like ``cells`` - the digest and extreme rows. Row counts and shown rows of every task come before any
-    profile figure; a fraction is also citable as a percentage.
+    profile figure; a fraction is also citable as a percentage. ``rows_shown`` keeps only the first rows of each task.
     """
     where = ["answer_id", "task_position"]
+    shown_n = F.least(F.col("fetched_rows"), F.lit(rows_shown)) if rows_shown else F.col("fetched_rows")
     sizes = tasks.select(
         *where,
         F.posexplode(
-            F.array(*[c.cast("double") for c in (F.col("fetched_rows"), F.col("total_rows"), F.least(F.col("fetched_rows"), F.lit(rows_shown)))])
+            F.array(*[c.cast("double") for c in (F.col("fetched_rows"), F.col("total_rows"), shown_n)])
         ).alias("i", "value"),
     ).select("answer_id", F.array(F.lit(0), F.col("task_position"), F.lit(0), F.lit(0), F.col("i"), F.lit(0)).alias("position"), "value")
 
@@ -84,16 +82,16 @@ def numeric_pool(cells: DataFrame, tasks: DataFrame, profile: DataFrame | None =
             )
         )
 
-    pool = sizes.unionByName(figures(cells.filter(F.col("row_id") < rows_shown), 0))
+    pool = sizes.unionByName(figures(cells.filter(F.col("row_id") < rows_shown) if rows_shown else cells, 0))
     if profile is not None:
         pool = pool.unionByName(figures(profile, 1))
     return pool.groupBy("answer_id", "value").agg(F.min("position").alias("position"))
 
 
-def date_literals(cells: DataFrame, rows_shown: int = ROWS_SHOWN) -> DataFrame:
-    """Dates the shown rows contain: ``(answer_id, literal)``; ``cells`` carry ``text`` values."""
+def date_literals(cells: DataFrame) -> DataFrame:
+    """Dates the rows contain: ``(answer_id, literal)``; ``cells`` carry ``text`` values."""
     return (
-        cells.filter((F.col("row_id") < rows_shown) & F.col("text").rlike(DATE_VALUE))
+        cells.filter(F.col("text").rlike(DATE_VALUE))
         .select("answer_id", F.col("text").alias("literal"))
         .distinct()
     )
@@ -146,24 +144,40 @@ def quoted_numbers(texts: DataFrame) -> DataFrame:
     )
 
 
-def _derivable(n: Column, values: Column) -> Column:
-    """Is n a difference or ratio of two different values, or a percentage of two counts?"""
+def _bands_between(low: Column, high: Column) -> Column:
+    """Every band of the interval; one more on either side absorbs rounding at the edges."""
+    return F.sequence(band(low) - 1, band(high) + 1)
 
-    def any_pair(of: Column, test) -> Column:
-        return F.exists(of, lambda a: F.exists(of, lambda b: F.coalesce(test(a, b), F.lit(False)) & (a != b)))
 
-    def backed(r: Column) -> Column:
-        share = lambda a, b: a / F.nullif(b, F.lit(0.0))
-        inside = lambda x, scale=1.0: (x >= r["lo"] / scale) & (x <= r["hi"] / scale)
-        counts = F.filter(values, lambda v: v == F.floor(v))
-        return (
-            any_pair(values, lambda a, b: inside(a - b))
-            | any_pair(values, lambda a, b: inside(share(a, b)))
-            | any_pair(counts, lambda a, b: inside(share(a, b), 100.0) & (F.abs(share(a, b)) <= 1))
-        )
+def derivable(open_: DataFrame, pool: DataFrame) -> DataFrame:
+    """``(answer_id, n)`` of the open numbers that are a difference or ratio of two different figures, or a percentage of two counts.
 
-    # bound as a lambda variable, the interval is computed once per number
-    return F.get(F.transform(F.array(_near_range(n)), backed), F.lit(0))
+    An open number and one figure of its answer leave an interval for the other figure, which is met on its bands - so
+    figures are never paired with one another.
+    """
+    values = pool.select("answer_id", F.col("value").alias("b")).distinct()
+    b, lo, hi = F.col("b"), F.col("r.lo"), F.col("r.hi")
+    whole = b == F.floor(b)
+    times = lambda scale: (F.least(lo / scale * b, hi / scale * b), F.greatest(lo / scale * b, hi / scale * b))
+    wanted = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
+    asks = F.array_compact(F.array(
+        wanted("difference", lo + b, hi + b), F.when(b != 0, wanted("ratio", *times(1.0))), F.when((b != 0) & whole, wanted("percent", *times(100.0)))
+    ))
+    asked = (
+        open_.select("answer_id", "n").distinct().withColumn("r", _near_range(F.col("n"))).join(values, "answer_id")
+        .select("answer_id", "n", "r", "b", F.inline(asks))
+        .select("*", F.explode(_bands_between(F.col("low"), F.col("high"))).alias("_band"))
+    )
+    figures = values.select(F.col("answer_id").alias("_a"), F.col("b").alias("a"), band(F.col("b")).alias("_b"))
+    a = F.col("a")
+    share = a / F.nullif(b, F.lit(0.0))
+    inside = lambda x, scale=1.0: (x >= lo / scale) & (x <= hi / scale)
+    test = (
+        F.when(F.col("kind") == "difference", inside(a - b)).when(F.col("kind") == "ratio", inside(share))
+        .otherwise((a == F.floor(a)) & inside(share, 100.0) & (F.abs(share) <= 1))
+    )
+    met = (F.col("answer_id") == F.col("_a")) & (F.col("_band") == F.col("_b"))
+    return asked.join(figures, met).filter((a != b) & test).select("answer_id", "n").distinct()
 
 
 def uncited_numbers(
@@ -192,15 +206,7 @@ def uncited_numbers(
         .filter(~F.col("_cited"))
     )
 
-    w = Window.partitionBy("answer_id").orderBy("position")
-    pairable = (
-        pool.withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= PAIRABLE)
-        .groupBy("answer_id")
-        .agg(F.collect_list("value").alias("_values"))
-    )
-    derived = F.col("_values").isNotNull() & _derivable(F.col("n"), F.col("_values"))
-    return open_.join(pairable, "answer_id", "left").filter(~derived).select("answer_id", "raw").distinct()
+    return open_.join(derivable(open_, pool), ["answer_id", "n"], "left_anti").select("answer_id", "raw").distinct()
 
 
 def asked_numbers(questions: DataFrame) -> DataFrame:

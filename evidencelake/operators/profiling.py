@@ -157,11 +157,11 @@ def recommend_types(profile: DataFrame) -> DataFrame:
     )
     whole = F.regexp_replace(high.cast("string"), r"\.0$", "")
     note = (
-        F.when(t == "boolean", F.concat(field, F.lit(": boolean as 0/1")))
-        .when(base == "Decimal64(2)", F.concat(field, F.lit(": monetary, Decimal64(2)")))
-        .when((t == "number") & F.startswith(base, F.lit("UInt")), F.concat(field, F.lit(": max "), whole, F.lit(" → "), base))
-        .when(base == "FixedString(32)", F.concat(field, F.lit(": 32-char hex → FixedString(32)")))
-        .when(base == "LowCardinality(String)", F.concat(field, F.lit(": "), F.col("distinct_n").cast("string"), F.lit(" distinct → LowCardinality")))
+        F.when(t == "boolean", F.concat(field, F.lit(": a flag, kept as 0 or 1")))
+        .when(base == "Decimal64(2)", F.concat(field, F.lit(": money, so Decimal64(2)")))
+        .when((t == "number") & F.startswith(base, F.lit("UInt")), F.concat(field, F.lit(": largest "), whole, F.lit(", fits "), base))
+        .when(base == "FixedString(32)", F.concat(field, F.lit(": always 32 hex digits, so FixedString(32)")))
+        .when(base == "LowCardinality(String)", F.concat(field, F.lit(": "), F.col("distinct_n").cast("string"), F.lit(" values, so LowCardinality")))
     )
     return profile.select("*", source_type.alias("source_type"), spark_type.alias("spark_type"), note.alias("type_note"))
 
@@ -188,14 +188,14 @@ def recommend_layout(profile: DataFrame, by: str = "event") -> DataFrame:
     order_by = F.when(F.size(standard) > 0, standard).otherwise(F.coalesce(fallback, F.array().cast("array<string>")))
     reasons = F.concat_ws(
         "; ",
-        F.concat(lead, F.lit(" ("), F.col("dim.d").cast("string"), F.lit(" distinct) leads for pruning")),
-        F.concat(key, F.lit(" is the join key (0% null)")),
-        F.when(F.col("has_ts"), "timestamp for range scans"),
+        F.concat(lead, F.lit(" ("), F.col("dim.d").cast("string"), F.lit(" values) comes first to skip data")),
+        F.concat(key, F.lit(" joins and is never empty")),
+        F.when(F.col("has_ts"), "timestamp narrows time ranges"),
     )
     reason = (
         F.when(F.size(standard) > 0, reasons)
-        .when(any_id.isNotNull(), F.concat(F.lit("no standard key; "), any_id, F.lit(" (0% null) leads instead")))
-        .otherwise("no always-present key; ordered by time only")
+        .when(any_id.isNotNull(), F.concat(F.lit("none of the usual keys; "), any_id, F.lit(" is never empty and stands in")))
+        .otherwise("no field is always there; time alone orders it")
     )
     return facts.select(
         by, order_by.alias("order_by"), F.when(F.col("has_ts"), "month(timestamp)").otherwise("").alias("partition_by"),
@@ -208,18 +208,18 @@ def column_notes(typed: DataFrame, by: str = "event") -> DataFrame:
     t, low_card = F.col("inferred_type"), F.startswith("source_type", F.lit("LowCardinality"))
     whole = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
     fact = (
-        F.when(t == "timestamp", "event time, ms precision").when(t == "boolean", "boolean 0/1")
-        .when(low_card, F.concat(F.col("distinct_n").cast("string"), F.lit(" distinct values")))
+        F.when(t == "timestamp", "when it happened, to the millisecond").when(t == "boolean", "0 or 1")
+        .when(low_card, F.concat(F.col("distinct_n").cast("string"), F.lit(" different values")))
         .when(F.col("min_value").isNotNull(), F.concat(F.lit("range "), whole("min_value"), F.lit("–"), whole("max_value")))
-        .when(F.col("field").rlike(IDENTIFIER_NAME), "identifier, high cardinality")
+        .when(F.col("field").rlike(IDENTIFIER_NAME), "an identifier, nearly unique")
     )
     empty = F.when(
         F.col("null_rate") > 0,
-        F.concat(F.format_string("%.1f", F.col("null_rate") * 100), F.lit("% empty — bucket as 'unknown' at query time")),
+        F.concat(F.format_string("%.1f", F.col("null_rate") * 100), F.lit("% are empty: count them as 'unknown'")),
     )
-    currency = F.when(F.col("field").rlike("(?i)currency"), "never aggregate values across currencies")
+    currency = F.when(F.col("field").rlike("(?i)currency"), "amounts of different currencies do not add up")
     text = F.concat_ws("; ", fact, empty, currency)
-    return typed.select(by, "field", F.when(text != "", text).otherwise("measured from the spec sample").alias("note"))
+    return typed.select(by, "field", F.when(text != "", text).otherwise("no remark from its values").alias("note"))
 
 
 def table_gotchas(typed: DataFrame, by: str = "event") -> DataFrame:
@@ -235,12 +235,12 @@ def table_gotchas(typed: DataFrame, by: str = "event") -> DataFrame:
     texts = F.array(
         F.when(
             F.size("empties") > 0,
-            F.concat(F.lit("empty values in "), F.array_join(F.col("empties.field"), ", "),
-                     F.lit(" — bucket as 'unknown', never treat as a category")),
+            F.concat(F.lit("blanks occur in "), F.array_join(F.col("empties.field"), ", "),
+                     F.lit(": report them as 'unknown', they are no group of their own")),
         ),
-        F.when(~F.col("dup"), F.lit("no duplicate_id/is_back_filled columns — the hygiene filters do not apply here")),
-        F.when(~F.col("session"), F.lit("no app_session_id — outside the sessionization model; join via the key above")),
-        F.when(F.col("currency"), F.lit("multi-currency: never aggregate amounts without grouping by currency")),
+        F.when(~F.col("dup"), F.lit("without duplicate_id and is_back_filled there is nothing for the hygiene rules to filter")),
+        F.when(~F.col("session"), F.lit("without app_session_id it has no sessions: use the join key")),
+        F.when(F.col("currency"), F.lit("amounts come in several currencies: group by currency first")),
     )
     return facts.select(by, F.explode(F.array_compact(texts)).alias("gotcha"))
 

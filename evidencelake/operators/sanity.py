@@ -42,7 +42,7 @@ def sanity_flags(results: DataFrame, digested: DataFrame | None = None, digest_f
     value = F.col("value_num")
     impossible = cells.filter(F.col("column").rlike(PERCENT_NAME) & (value > IMPOSSIBLE_RATE)).select(
         *task, F.lit("impossible").alias("kind"),
-        F.concat(F.col("column"), F.lit("="), number_text(value), F.lit(" looks like a rate above 100%")).alias("flag"),
+        F.concat(F.col("column"), F.lit("="), number_text(value), F.lit(" exceeds 100%")).alias("flag"),
     )
     # an absent sample reads as zero, a text never reads as small
     small = F.when(value.isNotNull(), value < SMALL_SAMPLE).otherwise(F.col("value_str").isNull())
@@ -51,7 +51,7 @@ def sanity_flags(results: DataFrame, digested: DataFrame | None = None, digest_f
         .groupBy(*task)
         .agg(F.min(small).alias("_small"))
         .filter("_small")
-        .select(*task, F.lit("small_sample").alias("kind"), F.lit("all sample sizes below 50 — low confidence").alias("flag"))
+        .select(*task, F.lit("small_sample").alias("kind"), F.lit("no sample reaches 50: weak evidence").alias("flag"))
     )
     flags = impossible.unionByName(samples)
     if digest_flags is not None:

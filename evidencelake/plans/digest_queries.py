@@ -94,8 +94,8 @@ def digest_extremes(t: Tables) -> DataFrame:
 @query("DIG12", f"""
 WITH {ORDER_FLAGS}, small AS (SELECT o_custkey, 1.0 + max(o_totalprice) / 1000000 AS odd_rate, count(*) AS orders_n FROM flags GROUP BY 1),
 w AS (SELECT count(*) AS n, sum(CASE WHEN odd_rate > 1.05 THEN 1 ELSE 0 END) AS g, max(orders_n) AS m FROM small)
-SELECT 'impossible' AS kind, 'odd_rate looks like a rate above 100% in ' || CAST(g AS BIGINT) || ' of ' || n || ' rows (entire result set)' AS flag FROM w WHERE g > 0
-UNION ALL SELECT 'small_sample', 'every sample size across all ' || n || ' rows is below 50 — low confidence' FROM w WHERE m < 50""")
+SELECT 'impossible' AS kind, 'odd_rate exceeds 100% in ' || CAST(g AS BIGINT) || ' of ' || n || ' rows of the whole result' AS flag FROM w WHERE g > 0
+UNION ALL SELECT 'small_sample', 'no sample in any of ' || n || ' rows reaches 50: weak evidence' FROM w WHERE m < 50""")
 def digest_flags(t: Tables) -> DataFrame:
     """Impossible rates anywhere and samples small everywhere."""
     r = t.orders.groupBy("o_custkey").agg((F.max("o_totalprice") / 1000000 + 1.0).alias("odd_rate"), F.count(F.lit(1)).alias("orders_n"))
@@ -319,7 +319,7 @@ def sanity_gate(t: Tables) -> DataFrame:
 
 @query("SAN1", """
 WITH r AS (SELECT l_partkey AS k, year(l_shipdate) AS y, max(l_quantity) AS q, count(*) AS n FROM lineitem WHERE l_partkey % 10 != 9 AND l_partkey % 97 != 0 GROUP BY 1, 2)
-SELECT DISTINCT CAST(k % 50 AS VARCHAR) AS answer_id, CAST(k AS VARCHAR) AS task_id, 'small_sample' AS kind, 'all sample sizes below 50 — low confidence' AS flag FROM r GROUP BY k HAVING max(n) < 50""")
+SELECT DISTINCT CAST(k % 50 AS VARCHAR) AS answer_id, CAST(k AS VARCHAR) AS task_id, 'small_sample' AS kind, 'no sample reaches 50: weak evidence' AS flag FROM r GROUP BY k HAVING max(n) < 50""")
 def sanity_small_samples(t: Tables) -> DataFrame:
     """The small-sample flags; the rate column here is one a digest answered for."""
     tasks, results = sanity_inputs(t)

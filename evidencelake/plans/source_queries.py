@@ -129,7 +129,7 @@ def field_profile(t: Tables) -> DataFrame:
 WITH {PROFILE_SQL}, d AS (SELECT DISTINCT event, field, v FROM cells WHERE v != '')
 SELECT event, field, string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY event, field ORDER BY v) <= 5) GROUP BY 1, 2""")
 def sample_values(t: Tables) -> DataFrame:
-    """The five smallest distinct values of every field."""
+    """The five smallest different values of every field."""
     p = profiling.profile_events(good_events(t)).filter(F.size("samples") > 0)
     return p.select("event", "field", F.array_join("samples", "|").alias("samples"))
 
@@ -170,7 +170,7 @@ def type_advice(t: Tables) -> DataFrame:
 
 @query("PRO11", f"""
 WITH {PROFILE_SQL} SELECT event, 'device_type,user_id,timestamp' AS order_by, 'month(timestamp)' AS partition_by,
- 'device_type (' || distinct_n || ' distinct) leads for pruning; user_id is the join key (0% null); timestamp for range scans' AS reason FROM prof WHERE field = 'device_type'""")
+ 'device_type (' || distinct_n || ' values) comes first to skip data; user_id joins and is never empty; timestamp narrows time ranges' AS reason FROM prof WHERE field = 'device_type'""")
 def layout_advice(t: Tables) -> DataFrame:
     """Sort key and partitioning of every event table."""
     p = profiling.recommend_layout(profiling.profile_events(good_events(t)))
@@ -178,9 +178,9 @@ def layout_advice(t: Tables) -> DataFrame:
 
 
 @query("PRO12", f"""
-WITH {PROFILE_SQL} SELECT event, field, CASE field WHEN 'timestamp' THEN 'event time, ms precision' WHEN 'id' THEN 'identifier, high cardinality' WHEN 'user_id' THEN 'identifier, high cardinality'
- WHEN 'os' THEN distinct_n || ' distinct values; ' || printf('%.1f', null_rate * 100) || '% empty — bucket as ''unknown'' at query time'
- WHEN 'payment_currency' THEN distinct_n || ' distinct values; never aggregate values across currencies' WHEN 'device_type' THEN distinct_n || ' distinct values'
+WITH {PROFILE_SQL} SELECT event, field, CASE field WHEN 'timestamp' THEN 'when it happened, to the millisecond' WHEN 'id' THEN 'an identifier, nearly unique' WHEN 'user_id' THEN 'an identifier, nearly unique'
+ WHEN 'os' THEN distinct_n || ' different values; ' || printf('%.1f', null_rate * 100) || '% are empty: count them as ''unknown'''
+ WHEN 'payment_currency' THEN distinct_n || ' different values; amounts of different currencies do not add up' WHEN 'device_type' THEN distinct_n || ' different values'
  ELSE 'range ' || regexp_replace(CAST(lo AS VARCHAR), '\\.0$', '') || '–' || regexp_replace(CAST(hi AS VARCHAR), '\\.0$', '') END AS note FROM prof""")
 def column_notes(t: Tables) -> DataFrame:
     """What a reader must know about each column."""
@@ -189,8 +189,8 @@ def column_notes(t: Tables) -> DataFrame:
 
 @query("PRO12", f"""
 WITH {LINES}, e AS (SELECT DISTINCT event FROM good)
-SELECT event, unnest(['empty values in os — bucket as ''unknown'', never treat as a category', 'no duplicate_id/is_back_filled columns — the hygiene filters do not apply here',
- 'no app_session_id — outside the sessionization model; join via the key above', 'multi-currency: never aggregate amounts without grouping by currency']) AS gotcha FROM e""")
+SELECT event, unnest(['blanks occur in os: report them as ''unknown'', they are no group of their own', 'without duplicate_id and is_back_filled there is nothing for the hygiene rules to filter',
+ 'without app_session_id it has no sessions: use the join key', 'amounts come in several currencies: group by currency first']) AS gotcha FROM e""")
 def table_gotchas(t: Tables) -> DataFrame:
     """What to beware of in each event table."""
     return profiling.table_gotchas(profiling.recommend_types(profiling.profile_events(good_events(t))))

@@ -194,8 +194,8 @@ def version_labels(t: Tables) -> DataFrame:
 WITH {STORE}, s2 AS (SELECT *, CASE WHEN version % 3 = 0 THEN 1 ELSE version END AS v FROM store),
 n AS (SELECT run_id, entity, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN v > 1 THEN 0 ELSE 1 END, updated_at, entity, v) AS i FROM s2),
 c AS (SELECT run_id, count(*) FILTER (WHERE v = 1) AS cr, count(*) FILTER (WHERE v > 1) AS su FROM s2 GROUP BY 1), m AS (SELECT run_id, string_agg(entity, ', ' ORDER BY i) AS names FROM n WHERE i <= 3 GROUP BY 1)
-SELECT run_id, cr AS created_n, su AS superseded_n, concat_ws(' · ', CASE WHEN cr > 0 THEN '+' || cr || CASE WHEN cr = 1 THEN ' new entry' ELSE ' new entries' END END,
- CASE WHEN su > 0 THEN su || CASE WHEN su = 1 THEN ' existing definition superseded' ELSE ' existing definitions superseded' END END, names) AS description, su > 0 AS warn FROM c JOIN m USING (run_id)""")
+SELECT run_id, cr AS created_n, su AS superseded_n, concat_ws(' · ', CASE WHEN cr > 0 THEN '+' || cr || CASE WHEN cr = 1 THEN ' entry added' ELSE ' entries added' END END,
+ CASE WHEN su > 0 THEN su || CASE WHEN su = 1 THEN ' definition replaced' ELSE ' definitions replaced' END END, names) AS description, su > 0 AS warn FROM c JOIN m USING (run_id)""")
 def batch_descriptions(t: Tables) -> DataFrame:
     """What each batch added and replaced."""
     s = store(t).withColumn("version", F.when(F.col("version") % 3 == 0, 1).otherwise(F.col("version")))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evidencelake.functions.text import first_sentence, numbers_in
 from evidencelake.operators import citations, confidence, metrics, precision, questions
-from evidencelake.operators.joins import first_per_key
 from evidencelake.operators.metrics import RateSpec
 from evidencelake.plans.metric_queries import ORDER_FLAGS, order_flags
 from evidencelake.plans.registry import Tables, query
@@ -29,12 +28,11 @@ def numbers_in_texts(t: Tables) -> DataFrame:
 def line_cells(t: Tables) -> tuple[DataFrame, DataFrame]:
     """An answer per order: its lines are the rows of its one task."""
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")]
-    shown = first_per_key(t.lineitem, ["l_orderkey"], order, citations.ROWS_SHOWN)
     from pyspark.sql import Window
 
     row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1
     cell = lambda i, c: F.struct(F.lit(i).alias("position"), F.col(c).alias("value"))
-    cells = shown.select(
+    cells = t.lineitem.select(
         F.col("l_orderkey").alias("answer_id"), F.lit(0).alias("task_position"), row.alias("row_id"),
         F.array(cell(0, "l_quantity"), cell(1, "l_extendedprice"), cell(2, "l_discount")).alias("c"),
     ).select("answer_id", "task_position", "row_id", F.inline("c"))
@@ -46,8 +44,8 @@ def line_cells(t: Tables) -> tuple[DataFrame, DataFrame]:
 POOL_SQL = """
 lr AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem),
 raw AS (SELECT l_orderkey AS a, 0 AS k, 0 AS r, 0 AS p, CAST(c AS DOUBLE) AS v FROM lr
-  UNION ALL SELECT l_orderkey, 0, 0, 2, CAST(least(c, 24) AS DOUBLE) FROM lr
-  UNION ALL SELECT l_orderkey, 1, rn, 0, l_quantity FROM lr WHERE rn <= 24 UNION ALL SELECT l_orderkey, 1, rn, 1, l_extendedprice FROM lr WHERE rn <= 24 UNION ALL SELECT l_orderkey, 1, rn, 2, l_discount FROM lr WHERE rn <= 24),
+  UNION ALL SELECT l_orderkey, 0, 0, 2, CAST(c AS DOUBLE) FROM lr
+  UNION ALL SELECT l_orderkey, 1, rn, 0, l_quantity FROM lr UNION ALL SELECT l_orderkey, 1, rn, 1, l_extendedprice FROM lr UNION ALL SELECT l_orderkey, 1, rn, 2, l_discount FROM lr),
 scaled AS (SELECT a, k, r, p, 0 AS s, v FROM raw UNION ALL SELECT a, k, r, p, 1, v * 100 FROM raw WHERE k = 1 AND v BETWEEN -1 AND 1),
 pool AS (SELECT a, v, min(k * 1000000 + r * 1000 + p * 10 + s) AS pos FROM scaled GROUP BY a, v)
 """
@@ -60,12 +58,12 @@ def numeric_pool(t: Tables) -> DataFrame:
 
 
 def uncited_sql(tokens: str, pool: str) -> str:
-    """Brute force: every number against every figure and every pair of the first sixty."""
+    """Brute force: every number against every figure and every pair of figures."""
     return f"""
 {pool}, {tokens},
 num AS (SELECT DISTINCT a, replace(tok, chr(1), '-') AS raw, CAST(replace(replace(tok, ',', ''), chr(1), '') AS DOUBLE) AS n FROM tok),
 claim AS (SELECT * FROM num WHERE NOT (n = floor(n) AND abs(n) <= 12) AND NOT (n = floor(n) AND abs(n) BETWEEN 2020 AND 2030)),
-few AS (SELECT a, v FROM pool WHERE pos < 99999999 QUALIFY row_number() OVER (PARTITION BY a ORDER BY pos) <= 60),
+few AS (SELECT a, v FROM pool WHERE pos < 99999999),
 pairs AS (SELECT x.a, x.v - y.v AS d, CASE WHEN y.v != 0 THEN x.v / y.v END AS q, x.v = floor(x.v) AND y.v = floor(y.v) AS whole FROM few x JOIN few y ON x.a = y.a AND x.v != y.v
           WHERE x.a IN (SELECT a FROM claim)),
 der AS (SELECT a, d AS v FROM pairs UNION ALL SELECT a, q FROM pairs WHERE q IS NOT NULL UNION ALL SELECT a, q * 100 FROM pairs WHERE whole AND q BETWEEN -1 AND 1),
@@ -92,8 +90,8 @@ NARRATIVE = (
 )
 CUSTOMER_POOL = """
 lr AS (SELECT o_custkey AS ak, o_totalprice, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders),
-raw AS (SELECT ak AS a, 0 AS k, 0 AS r, 0 AS p, CAST(c AS DOUBLE) AS v FROM lr UNION ALL SELECT ak, 0, 0, 2, CAST(least(c, 24) AS DOUBLE) FROM lr
-  UNION ALL SELECT ak, 1, rn, 0, o_totalprice FROM lr WHERE rn <= 24),
+raw AS (SELECT ak AS a, 0 AS k, 0 AS r, 0 AS p, CAST(c AS DOUBLE) AS v FROM lr UNION ALL SELECT ak, 0, 0, 2, CAST(c AS DOUBLE) FROM lr
+  UNION ALL SELECT ak, 1, rn, 0, o_totalprice FROM lr),
 scaled AS (SELECT a, k, r, p, 0 AS s, v FROM raw UNION ALL SELECT a, k, r, p, 1, v * 100 FROM raw WHERE k = 1 AND v BETWEEN -1 AND 1),
 pool AS (SELECT a, v, min(k * 1000000 + r * 1000 + p * 10 + s) AS pos FROM scaled GROUP BY a, v
          UNION ALL SELECT o_custkey, CAST(o_custkey * 7 + 1000 AS DOUBLE), 99999999 FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey)
@@ -115,8 +113,7 @@ def narratives(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     from pyspark.sql import Window
 
     order = [F.col("o_orderdate"), F.col("o_orderkey")]
-    shown = first_per_key(t.orders, ["o_custkey"], order, citations.ROWS_SHOWN)
-    rows = shown.select(
+    rows = t.orders.select(
         F.col("o_custkey").alias("answer_id"), F.lit(0).alias("task_position"), F.lit(0).alias("position"),
         (F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order)) - 1).alias("row_id"),
         F.col("o_totalprice").alias("value"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("text"),

@@ -67,8 +67,8 @@ def test_golden_scores(scored, case):
 def test_notes_tell_what_happened(scored):
     assert "n=848" in scored["q1"]["note"] and "3 small segments (applied_rate, apply_rate, segment_rate; n 2–31)" in scored["q1"]["note"]
     assert "5.3%" in scored["dis"]["note"]
-    assert "no figure carries an interval" in scored["sums"]["note"]
-    assert "2 rates ship no denominator" in scored["noden"]["note"]
+    assert "none of the figures has an interval" in scored["sums"]["note"]
+    assert "2 rates lack a base count" in scored["noden"]["note"]
     assert scored["same"]["note"].count("conversion_rate") == 2 and "n=41" in scored["same"]["note"]
 
 
@@ -204,7 +204,7 @@ def test_sanity_gate_counts(spark):
 
 def test_a_digested_column_is_not_flagged_twice(spark):
     digested = spark.createDataFrame([("a", "t", "a_rate")], "answer_id string, task_id string, column string")
-    flags = spark.createDataFrame([("a", "t", "impossible", "a_rate looks like a rate above 100% in 1 of 1 rows (entire result set)")], "answer_id string, task_id string, kind string, flag string")
+    flags = spark.createDataFrame([("a", "t", "impossible", "a_rate exceeds 100% in 1 of 1 rows of the whole result")], "answer_id string, task_id string, kind string, flag string")
     _, counts = gate(spark, {"t": [{"a_rate": 1.2, "e_rate": 1.3}]}, digested, flags)
     assert counts.impossible_flags == 2
 

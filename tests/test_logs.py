@@ -127,9 +127,9 @@ def test_changelog(spark):
     entries = changelog.changelog(store_rows(spark), run_rows(spark)).collect()
     assert [e.title for e in entries] == ["group_started + 1 more created", "context v1.1", "context v1.0"]
     table, audit, seed = entries
-    assert table.description.endswith("approved by reviewer@team · 4,600 events loaded across 2 tables")
+    assert table.description.endswith("approved by reviewer@team · 4,600 events in 2 tables")
     assert (audit.warn, seed.warn, audit.run_id, table.spec) == (True, False, None, "02_group_family")
-    assert audit.description == "+1 new entry · 1 existing definition superseded · entity:application, convention:sessionization"
+    assert audit.description == "+1 entry added · 1 definition replaced · entity:application, convention:sessionization"
     unfinished = run_rows(spark).filter("name != 'succeeded'")
     assert changelog.changelog(store_rows(spark).limit(0), unfinished).count() == 0
 

@@ -91,13 +91,13 @@ def test_empty_records_are_counted(spark):
     assert [(r.field, r.rows_n, r.null_rate) for r in profiling.profile_events(df).collect()] == [("a", 2, 0.5)]
 
 
-def test_distinct_cap(spark):
+def test_distinct_values_are_all_counted(spark):
     lines = spark.range(5200).select(F.concat(F.lit('{"event":"e","k":'), "id", F.lit(',"j":'), F.col("id") % 4999, F.lit("}")).alias("value"))
     p = {r.field: r.distinct_n for r in profiling.profile_events(ndjson.flatten_events(ndjson.parse_lines(lines))).collect()}
-    assert p == {"k": 5001, "j": 4999}
+    assert p == {"k": 5200, "j": 4999}
 
 
-TYPES = "event string, field string, position int, inferred_type string, null_rate double, distinct_n long, rows_n long, samples array<string>, max_length int, min_value double, max_value double"
+TYPES = "event string, field string, position int, inferred_type string, null_rate double, distinct_n long, present_n long, fraction_n long, hex_n long, rows_n long, samples array<string>, max_length int, min_value double, max_value double"
 
 
 def typed(spark, rows):
@@ -108,7 +108,7 @@ def typed(spark, rows):
     (("flag", "boolean", 0.0, 2, ["true"], None, None, None), ("UInt8", "smallint")),
     (("attempts", "number", 0.0, 3, ["1"], None, 1.0, 3.0), ("UInt8", "smallint")),
     (("latency", "number", 0.0, 40, ["607"], None, 607.0, 3999.0), ("UInt16", "int")),
-    (("latency", "number", 0.0, 51, ["607"], None, 607.0, 3999.0), ("Float64", "double")),
+    (("latency", "number", 0.0, 51, ["607"], None, 607.0, 3999.0), ("UInt16", "int")),
     (("big", "number", 0.0, 3, ["70000"], None, 0.0, 70000.0), ("UInt32", "bigint")),
     (("delta", "number", 0.0, 3, ["-1"], None, -1.0, 3.0), ("Int64", "bigint")),
     (("fx", "number", 0.0, 3, ["1.5"], None, 0.0, 3.0), ("Float64", "double")),
@@ -122,12 +122,25 @@ def typed(spark, rows):
 ])
 def test_type_advice(spark, row, want):
     field, kind, null_rate, distinct, samples, length, low, high = row
-    r = typed(spark, [("e", field, 0, kind, null_rate, distinct, 10000, samples, length, low, high)]).first()
+    counts = (9000, 9000 * ("." in samples[0]), 9000 * (len(samples[0]) == 32))
+    r = typed(spark, [("e", field, 0, kind, null_rate, distinct, *counts, 10000, samples, length, low, high)]).first()
     assert (r.source_type, r.spark_type) == want
 
 
+def test_one_fraction_among_many_values(spark):
+    """A fraction far from the smallest values decides the type, and no load drops it."""
+    numbers = [*range(1, 30), 2.5, 7.25]
+    lines = spark.createDataFrame([(f'{{"event":"e","n":{x},"h":"{"a" * 32 if i else "b" * 31 + "x"}"}}',) for i, x in enumerate(numbers)], "value string")
+    events = ndjson.flatten_events(ndjson.parse_lines(lines))
+    advice = {r.field: r.spark_type for r in profiling.recommend_types(profiling.profile_events(events)).collect()}
+    assert advice == {"n": "double", "h": "string"}
+    assert tables.load_events(events, "e", [("n", advice["n"])]).agg(F.sum("n")).first()[0] == sum(numbers)
+    forced = tables.load_events(events, "e", [("n", "smallint")])
+    assert forced.agg(F.sum("n"), F.count_if(F.col("n").isNull())).first()[:] == (sum(range(1, 30)), 2)
+
+
 def test_layout_advice(spark):
-    f = lambda e, field, pos, null, d: (e, field, pos, "string", null, d, 10, ["x"], 1, None, None)
+    f = lambda e, field, pos, null, d: (e, field, pos, "string", null, d, 10, 0, 0, 10, ["x"], 1, None, None)
     rows = [f("a", "os", 0, 0.0, 5), f("a", "device_type", 1, 0.0, 3), f("a", "destination", 2, 0.1, 1), f("a", "user_id", 3, 0.0, 9), f("a", "share_id", 4, 0.0, 9), f("a", "timestamp", 5, 0.0, 9),
             f("b", "ref_token", 0, 0.0, 9), f("b", "x", 1, 0.0, 1), f("c", "x", 0, 0.0, 1)]
     got = {r.event: (r.order_by, r.partition_by) for r in profiling.recommend_layout(spark.createDataFrame(rows, TYPES)).collect()}
