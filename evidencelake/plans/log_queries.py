@@ -203,6 +203,16 @@ def advisor_evidence(t: Tables) -> DataFrame:
     return querylog.advisor_evidence(storage(t).drop("bytes", "files"), reads, "rows")
 
 
+@query("QRY10", """
+WITH d AS (SELECT 'orders' AS t, min(o_orderdate)::TIMESTAMP AS oldest FROM orders UNION ALL SELECT 'lineitem', min(l_shipdate)::TIMESTAMP FROM lineitem UNION ALL SELECT 'events', min(ts) FROM events)
+SELECT t AS "table", strftime(oldest, '%Y-%m-%d') AS oldest_day, date_diff('day', oldest::DATE, (SELECT max(ts)::DATE FROM events))::INTEGER AS age_days FROM d""")
+def data_age(t: Tables) -> DataFrame:
+    """How far back each table's data goes, seen from the newest event."""
+    stamps = [df.select(F.lit(n).alias("table"), F.col(c).cast("timestamp_ntz").alias("ts")) for n, df, c in (("orders", t.orders, "o_orderdate"), ("lineitem", t.lineitem, "l_shipdate"), ("events", t.events, "ts"))]
+    aged = querylog.oldest_data(stamps[0].unionByName(stamps[1]).unionByName(stamps[2]), now(t))
+    return aged.select("table", F.date_format("oldest", "yyyy-MM-dd").alias("oldest_day"), "age_days")
+
+
 @query("QRY11 TOP7 JON4", """
 WITH s AS (SELECT user_id AS scan_id, event_id AS id, CASE event_type WHEN 'error' THEN 'HIGH' WHEN 'click' THEN 'MED' ELSE 'LOW' END AS severity, date_trunc('hour', ts) AS scanned_at FROM events),
 m AS (SELECT scan_id FROM s ORDER BY scanned_at DESC, scan_id DESC LIMIT 1)

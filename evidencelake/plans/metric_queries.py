@@ -689,3 +689,116 @@ def repeatability(t: Tables) -> DataFrame:
         (F.col("event_id") % 4).alias("head"), (F.col("event_id") % 3).alias("sqlset"),
     )
     return metrics.repeatability(runs, "qid", "wall", "err", ["head", "sqlset"]).withColumn("median_wall", F.round("median_wall", 6))
+
+
+@query("MET17", f"""
+WITH {ORDER_FLAGS}
+SELECT o_orderpriority AS drop_step, CAST(sum(CASE WHEN returned THEN 1 ELSE 0 END) AS BIGINT) AS recovery_hits, count(*) AS recovery_n, sum(CASE WHEN returned THEN 1 ELSE 0 END) / count(*) AS recovery_rate FROM flags GROUP BY 1""")
+def recovery_by_step(t: Tables) -> DataFrame:
+    """Recovery rate by the step at which the order was dropped."""
+    flags = order_flags(t, ("o_orderpriority",)).withColumnRenamed("o_orderpriority", "drop_step")
+    return metrics.rates(flags, [RateSpec("recovery", "returned", "ordered")], ["drop_step"])
+
+
+CHANNEL_SQL = "CASE user_id % 3 WHEN 0 THEN 'push' WHEN 1 THEN 'email' ELSE 'whatsapp' END"
+
+
+@query("MET17", f"""
+WITH f AS (SELECT {CHANNEL_SQL} AS channel, user_id, bool_or(event_type = 'view') AS opened, bool_or(event_type = 'click') AS clicked, bool_or(event_type = 'purchase') AS bought FROM events GROUP BY 1, 2),
+c AS (SELECT channel, count(*) FILTER (opened) AS o, count(*) FILTER (opened AND clicked) AS k, count(*) FILTER (opened AND clicked AND bought) AS b FROM f GROUP BY 1)
+SELECT channel, k AS click_hits, o AS click_n, k / o AS click_rate, b AS reconvert_hits, k AS reconvert_n, b / k AS reconvert_rate, b AS recovery_hits, o AS recovery_n, b / o AS recovery_rate FROM c""")
+def recovery_chain(t: Tables) -> DataFrame:
+    """Opened, then clicked, then bought again, by channel: each step over the one before and the whole chain."""
+    u = F.col("user_id")
+    channel = F.when(u % 3 == 0, "push").when(u % 3 == 1, "email").otherwise("whatsapp")
+    did = lambda kind: F.bool_or(F.col("event_type") == kind)
+    users = t.events.groupBy(channel.alias("channel"), "user_id").agg(did("view").alias("opened"), did("click").alias("_k"), did("purchase").alias("_b"))
+    users = users.withColumn("clicked", F.col("opened") & F.col("_k")).withColumn("bought", F.col("clicked") & F.col("_b"))
+    return metrics.rates(users, [RateSpec("click", "clicked", "opened"), RateSpec("reconvert", "bought", "clicked"), RateSpec("recovery", "bought", "opened")], ["channel"])
+
+
+@query("MET14 MET10", """
+WITH f AS (SELECT user_id % 4 = 0 AS express, user_id, bool_or(event_type = 'purchase') AS b FROM events GROUP BY 1, 2),
+s AS (SELECT count(*) FILTER (express AND b) AS ah, count(*) FILTER (express) AS an, count(*) FILTER (NOT express AND b) AS bh, count(*) FILTER (NOT express) AS bn FROM f)
+SELECT ah AS a_hits, an AS a_n, bh AS b_hits, bn AS b_n, ah / an AS a_rate, bh / bn AS b_rate, round((ah / an - bh / bn) * 100, 9) AS gap_pp, round((ah / an) / (bh / bn), 9) AS lift FROM s""")
+def express_lift(t: Tables) -> DataFrame:
+    """Conversion of the express flow against the standard one: gap in points and lift."""
+    users = t.events.groupBy(F.when(F.col("user_id") % 4 == 0, "express").otherwise("standard").alias("flow"), "user_id").agg(F.bool_or(F.col("event_type") == "purchase").alias("bought"))
+    by_flow = metrics.rates(users.withColumn("shown", F.lit(True)), [RateSpec("conversion", "bought", "shown")], ["flow"])
+    c = metrics.compare(by_flow, "flow", "express", "standard", "conversion_hits", "conversion_n")
+    return c.withColumns({"gap_pp": F.round("gap_pp", 9), "lift": F.round("lift", 9)})
+
+
+@query("MET14 AGG12", """
+WITH v AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'phone' ELSE 'desktop' END AS device, 'os' || (event_id % 5) AS os, 'c' || (user_id % 7) AS country, event_type = 'purchase' AS ok FROM events),
+u AS (SELECT unnest([{'cut': 'device', 'value': device}, {'cut': 'os', 'value': os}, {'cut': 'country', 'value': country}]) AS c, ok FROM v)
+SELECT c.cut AS cut, c.value AS value, count(*) FILTER (ok) AS success_hits, count(*) AS success_n, count(*) FILTER (ok) / count(*) AS success_rate FROM u GROUP BY 1, 2""")
+def success_by_platform(t: Tables) -> DataFrame:
+    """Success rate cut by device, system and country, from one scan."""
+    i, s = F.col("event_id"), (lambda p, c: F.concat(F.lit(p), c.cast("string")))
+    cuts = {"device": F.when(i % 2 == 0, "phone").otherwise("desktop"), "os": s("os", i % 5), "country": s("c", F.col("user_id") % 7)}
+    each = F.inline(F.array(*[F.struct(F.lit(k).alias("cut"), v.alias("value")) for k, v in cuts.items()]))
+    return metrics.row_rates(t.events.select("event_type", each), {"success": (F.col("event_type") == "purchase", F.lit(True))}, ["cut", "value"])
+
+
+@query("MET14", """
+WITH f AS (SELECT 'm' || (user_id % 4) AS saved_method, user_id, bool_or(event_type = 'view') AS shown, bool_or(event_type = 'click') AS chosen FROM events GROUP BY 1, 2)
+SELECT saved_method, count(*) FILTER (chosen) AS adoption_hits, count(*) FILTER (shown) AS adoption_n, count(*) FILTER (chosen) / count(*) FILTER (shown) AS adoption_rate FROM f GROUP BY 1""")
+def adoption_by_method(t: Tables) -> DataFrame:
+    """Adoption by the method a user has saved."""
+    did = lambda kind: F.bool_or(F.col("event_type") == kind)
+    users = t.events.groupBy(F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("saved_method"), "user_id").agg(did("view").alias("shown"), did("click").alias("chosen"))
+    return metrics.rates(users, [RateSpec("adoption", "chosen", "shown")], ["saved_method"])
+
+
+@query("MET15", """
+WITH g AS (SELECT l_orderkey, count(*) AS group_size, count(*) FILTER (l_linestatus = 'F') AS done FROM lineitem GROUP BY 1)
+SELECT group_size, sum(done)::BIGINT AS docs_hits, sum(group_size)::BIGINT AS docs_n, sum(done) / sum(group_size) AS docs_rate FROM g GROUP BY 1""")
+def docs_complete_by_size(t: Tables) -> DataFrame:
+    """Share of members whose documents are complete, by group size."""
+    groups = t.lineitem.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("group_size"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
+    out = groups.groupBy("group_size").agg(F.sum("done").alias("docs_hits"), F.sum("group_size").alias("docs_n"))
+    return out.withColumn("docs_rate", F.try_divide(F.col("docs_hits").cast("double"), F.col("docs_n").cast("double")))
+
+
+@query("MET16", """
+SELECT o_orderstatus AS status, count(*) FILTER (o_custkey % 3 = 0) AS share_hits, count(*) AS share_n, count(*) FILTER (o_custkey % 3 = 0) / count(*) AS share_rate FROM orders GROUP BY 1""")
+def share_rate_by_status(t: Tables) -> DataFrame:
+    """How many of the orders in each status were shared."""
+    return metrics.row_rates(t.orders.withColumnRenamed("o_orderstatus", "status"), {"share": (F.col("o_custkey") % 3 == 0, F.lit(True))}, ["status"])
+
+
+@query("MET16", """
+WITH k AS (SELECT user_id AS share_id, event_id // 8 % 4 AS destination, count(*) FILTER (event_type = 'view' AND event_id % 2 = 0) AS opens, count(*) FILTER (event_type = 'click' AND event_id % 2 = 0) AS taps FROM events GROUP BY 1, 2)
+SELECT destination, count(*) FILTER (opens > 0) AS opened_shares, count(*) FILTER (opens > 0 AND taps > 0) AS factor_hits, sum(opens)::BIGINT AS new_opens,
+ count(*) FILTER (opens > 0 AND taps > 0) / nullif(count(*) FILTER (opens > 0), 0) AS factor_rate FROM k GROUP BY 1""")
+def recipient_factor(t: Tables) -> DataFrame:
+    """Per share, whether a new recipient who opened it went on; the factor by destination."""
+    new = F.col("event_id") % 2 == 0
+    kind = lambda k: F.count_if((F.col("event_type") == k) & new)
+    shares = t.events.groupBy(F.col("user_id").alias("share_id"), (F.expr("event_id div 8") % 4).alias("destination")).agg(kind("view").alias("opens"), kind("click").alias("taps"))
+    opened, went_on = F.col("opens") > 0, (F.col("opens") > 0) & (F.col("taps") > 0)
+    out = shares.groupBy("destination").agg(F.count_if(opened).alias("opened_shares"), F.count_if(went_on).alias("factor_hits"), F.sum("opens").alias("new_opens"))
+    return out.withColumn("factor_rate", F.try_divide(F.col("factor_hits").cast("double"), F.col("opened_shares").cast("double")))
+
+
+@query("MET19 AGG15", """
+WITH v AS (SELECT CASE l_returnflag WHEN 'A' THEN 'expired' WHEN 'R' THEN 'already used' ELSE 'valid' END AS outcome FROM lineitem)
+SELECT outcome, count(*) AS uses_n, floor(count(*)::DOUBLE / sum(count(*)) OVER () * 1000 + 0.5) / 10 AS share_pct FROM v GROUP BY 1""")
+def coupon_outcomes(t: Tables) -> DataFrame:
+    """Valid codes and each reason of rejection, with their shares."""
+    flag = F.col("l_returnflag")
+    outcome = F.when(flag == "A", "expired").when(flag == "R", "already used").otherwise("valid")
+    return metrics.share_of_total(t.lineitem.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("uses_n")), "uses_n")
+
+
+@query("MET19 MET10", """
+WITH v AS (SELECT CASE WHEN l_discount >= 0.05 THEN 'code' ELSE 'none' END AS arm, l_linestatus = 'F' AS done FROM lineitem),
+s AS (SELECT count(*) FILTER (arm = 'code' AND done) AS ah, count(*) FILTER (arm = 'code') AS an, count(*) FILTER (arm = 'none' AND done) AS bh, count(*) FILTER (arm = 'none') AS bn FROM v)
+SELECT ah AS a_hits, an AS a_n, bh AS b_hits, bn AS b_n, ah / an AS a_rate, bh / bn AS b_rate, round((ah / an - bh / bn) * 100, 9) AS gap_pp, round((ah / an) / (bh / bn), 9) AS lift FROM s""")
+def coupon_lift(t: Tables) -> DataFrame:
+    """Conversion with a code against the baseline without one."""
+    arm = F.when(F.col("l_discount") >= 0.05, "code").otherwise("none")
+    by_arm = metrics.row_rates(t.lineitem.withColumn("arm", arm), {"conversion": (F.col("l_linestatus") == "F", F.lit(True))}, ["arm"])
+    c = metrics.compare(by_arm, "arm", "code", "none", "conversion_hits", "conversion_n")
+    return c.withColumns({"gap_pp": F.round("gap_pp", 9), "lift": F.round("lift", 9)})
