@@ -247,3 +247,12 @@ def test_single_value(spark):
     df = spark.createDataFrame([("a", 0, 0.479), ("b", 0, 0.479), ("b", 1, 0.4791), ("c", 0, 0.479), ("c", 1, 0.419), ("d", 0, None)], "check_id string, position int, v double")
     got = {r.check_id: (r.verified_value, r.inconclusive) for r in verify.single_value(df, ["check_id"], "v").collect()}
     assert got == {"a": (0.479, False), "b": (0.479, False), "c": (None, True), "d": (None, False)}
+
+
+def test_digest_describes_every_column(spark):
+    df = spark.createDataFrame([tuple(0.1 * i for i in range(1, 8)), tuple(1.2 * i for i in range(1, 8))], ", ".join(f"r{i}_rate double" for i in range(1, 8)))
+    row = digest.digest(df).first().asDict()
+    assert row["r7_rate_max"] == pytest.approx(8.4) and row["r7_rate_gt1_n"] == 1
+    flagged = {r.flag.split()[0] for r in digest.digest_flags(digest.digest(df), digest.classify_columns(df.schema)).collect() if r.kind == "impossible"}
+    assert flagged == {f"r{i}_rate" for i in range(1, 8)}
+    assert "r5_rate_max" not in digest.digest(df, caps=digest.SHORT).columns
