@@ -33,12 +33,14 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     wanted: Mapping[str, tuple[str, float]],
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per key with ``n`` and the wanted quantiles of a numeric column.
 
     ``wanted`` maps an output name to ``("upper", q)`` - the element at 0-based position ``floor(q * n)``,
     so the upper middle at ``q = 0.5`` - or ``("interpolated", q)`` - linear between the neighbours of
-    ``q * (n - 1)``. NULL values are ignored; a group without values yields no row.
+    ``q * (n - 1)``. NULL values are ignored; a group without values yields no row. ``weight`` names a column that
+    says how many rows a row stands for.
     """
     keys = list(keys)
     ranks: dict[str, Column] = {}
@@ -57,9 +59,9 @@ def exact_quantiles(
 
     counts = (
         df.filter(F.col(value).isNotNull())
-        .select(*keys, F.col(value).alias("_v"))
+        .select(*keys, F.col(value).alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
         .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.sum("_w").alias("_c"))
     )
     bounds = counts.groupBy(*[F.col(k).alias(f"_m_{k}") for k in keys]).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     of_group = F.lit(True)
