@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.functions.stats import agrees, relative_delta
-from evidencelake.operators import digest, joins, metrics, precision, sanity, verify
+from evidencelake.operators import digest, metrics, precision, sanity, verify
 from evidencelake.operators.metrics import RateSpec
 from evidencelake.plans.metric_queries import ORDER_FLAGS, order_flags
 from evidencelake.plans.registry import Tables, query
