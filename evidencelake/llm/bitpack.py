@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import batches_of, small_batches
+from evidencelake.llm.common import batches_of, held, small_batches
 
 FILE_SCHEMA = "shard int, block int, first long, width int, doc_ids array<long>, ends array<long>, payload binary"
 #: Ids after which a block is closed at the end of a document.
@@ -114,14 +114,9 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, (text or b"").split()))
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(file: str, direct: bool) -> Encoder:
-    """One encoder per worker and file."""
-    if (file, direct) not in _ENCODERS:
-        _ENCODERS[file, direct] = Encoder(file, direct)
-    return _ENCODERS[file, direct]
+    """The worker's encoder for this file."""
+    return held(("ids", file, direct), lambda: Encoder(file, direct))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, vocabulary: int, end_id: int, id_column: str = "doc_id", text_column: str = "text", direct: bool = False) -> None:

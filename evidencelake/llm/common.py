@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import math
 import shutil
 import tempfile
 import uuid
@@ -49,6 +50,11 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def hash_bits(spark: SparkSession, times: float) -> int:
+    """Leading bits of a hash that deal it to at least ``times`` buckets per shuffle partition of the session."""
+    return min(24, max(1, (math.ceil(times * int(spark.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()))
+
+
 def running_sums(df: DataFrame, order: list[str | Column], sums: dict[str, str | Column]) -> DataFrame:
     """``df`` with, for each name in ``sums``, the sum of that column over all rows before it in the order.
 
@@ -92,10 +98,20 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-@functools.cache
+_HELD: dict = {}
+
+
+def held(kind, make):
+    """What ``make`` gives, kept in this worker process until another kind is asked for: stages that follow one another do not add up their caches."""
+    if kind not in _HELD:
+        _HELD.clear()
+        _HELD[kind] = make()
+    return _HELD[kind]
+
+
 def word_hashes(key=None) -> WordHashes:
-    """One cache per worker process and folding function."""
-    return WordHashes(key)
+    """The worker's cache for this folding function."""
+    return held(("words", key), lambda: WordHashes(key))
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidencelake.llm.bitpack import encoder
-from evidencelake.llm.common import batches_of, mix64
-from evidencelake.llm.ngram_join import _table_bytes, from_planes, to_planes
+from evidencelake.llm.common import batches_of, hash_bits, mix64
+from evidencelake.llm.ngram_join import from_planes, to_planes
 
-#: Bytes of text table for each batch, and for each bucket.
-BATCH_BYTES = 4 << 20
+#: Batches of texts, and buckets of n-grams, for each shuffle partition: each is handled in memory. A batch sends a row to each bucket, so there are few buckets.
+BATCHES, BUCKETS = 4, 0.25
 _BITS = 20
 _CONTEXT, _WORD, _ALL = (np.uint64(k << 2 * _BITS) for k in (1, 2, 3))
 
@@ -74,10 +74,9 @@ def cross_entropy_difference(
     target texts the target model is even. Other columns are ignored.
     """
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    least = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), _table_bytes(own) // BATCH_BYTES)
-    bits = max(1, min(20, (least - 1).bit_length()))
+    batch_bits, bits = hash_bits(docs.sparkSession, BATCHES), hash_bits(docs.sparkSession, BUCKETS)
     marked = targets.select(F.col(id_column).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("kind")).filter("id is not null")
-    rows = own.withColumn("kind", F.lit(0)).unionByName(marked).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(1 << bits)).cast("int"))
+    rows = own.withColumn("kind", F.lit(0)).unionByName(marked).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(1 << batch_bits)).cast("int"))
 
     def send(key, table):
         import pyarrow as pa

@@ -119,7 +119,7 @@ def plan_mix(
     shuffled = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
     placed = running_sums(sizes, [*_by_source(), shuffled, F.col("doc_id"), F.col("size"), F.col("text_hash")], {"place": "size"})
     placed = placed.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(sources, "_key")
-    start = f"(place - source_start + e * source_size)"
+    start = "(place - source_start + e * source_size)"
     copies = f"transform(filter(sequence(0, {most - 1}), e -> {start} + size / 2 < target), e -> shard_of_block[cast({start} div {block} as int)])"
     return placed.select("doc_id", "source", "size", "text_hash", "source_size", "target", F.expr(copies).alias("shards"))
 
