@@ -17,12 +17,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import batches_of, materialise, small_batches
+from evidencelake.llm.common import batches_of, held, materialise, small_batches
 from evidencelake.llm.decontaminate import folded
 
 #: Labelled texts to learn from, about: the sample is drawn by a hash of the id.
 TRAIN_TEXTS = 20_000
 _RESCALE = 8
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -37,17 +38,31 @@ class Pieces:
         self.index = {n: i for i, n in enumerate(self.names)}
         self.longest = max(map(len, self.names))
         self.unknown = len(self.names)
+        self.by_length: list[tuple[np.ndarray, np.ndarray]] = []
+        for length in range(1, self.longest + 1):
+            own = [n for n in self.names if len(n) == length]
+            keys = next(h for k, h in self.hashes(own) if k == length).ravel() if own else np.empty(0, np.uint64)
+            order = np.argsort(keys)
+            self.by_length.append((keys[order], np.array([self.index[n] for n in own], np.int32)[order]))
+
+    def hashes(self, words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """For words of one length, by length of substring: [word, start] -> 64-bit hash."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.uint64)
+        out = codes
+        for length in range(1, min(self.longest, codes.shape[1]) + 1):
+            if length > 1:
+                out = out[:, :-1] * _BASE + codes[:, length - 1 :]
+            yield length, out
 
     def cuts(self, words: list[str]) -> np.ndarray:
-        """For words of one length: [word, end, length - 1] -> piece, or -1."""
-        n, k, get = len(words[0]), self.longest, self.index.get
-        out = np.full((len(words), n, k), -1, np.int32)
-        for row, w in zip(out, words):
-            for j in range(1, n + 1):
-                for i in range(max(0, j - k), j):
-                    p = get(w[i:j])
-                    if p is not None:
-                        row[j - 1, j - i - 1] = p
+        """For words of one length: [word, end - 1, length - 1] -> piece, or -1."""
+        n = len(words[0])
+        out = np.full((len(words), n, self.longest), -1, np.int32)
+        for length, hashes in self.hashes(words):
+            keys, pieces = self.by_length[length - 1]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out[:, length - 1 :, length - 1] = np.where(keys[at] == hashes, pieces[at], -1)
         single = out[:, :, 0]
         single[single < 0] = self.unknown
         return out
@@ -114,26 +129,35 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
 class Scorer(dict):
     """Likelihoods of words, kept for the words seen last: word -> row of ``table``; words without a letter have none (-1)."""
 
-    def __init__(self, pieces: Pieces, probs: np.ndarray, most: int = 300_000) -> None:
+    def __init__(self, pieces: Pieces, probs: np.ndarray, most: int = 600_000) -> None:
         super().__init__()
         self.pieces, self.probs, self.most = pieces, probs, most
+        self.rows: dict[str, int] = {}  # of the words' folded forms, which many of them share
         self.table, self.filled = np.zeros((1024, probs.shape[1])), 0
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if len(self) + len(new) > self.most and self:
             self.clear()
+            self.rows.clear()
             self.filled, new = 0, list(words)
-        start, seen = self.filled, {}
+        fresh: list[str] = []
         for w in new:
             text = folded(w).decode()
-            self[w] = start + seen.setdefault(text, len(seen)) if any(map(str.isalpha, text)) else -1
-        self.filled += len(seen)
+            row = self.rows.get(text)
+            if row is None:
+                row = -1
+                if text.isalpha() or any(map(str.isalpha, text)):
+                    row = self.filled + len(fresh)
+                    fresh.append("▁" + text)
+                self.rows[text] = row
+            self[w] = row
+        start, self.filled = self.filled, self.filled + len(fresh)
         if self.filled > len(self.table):
             grown = np.zeros((2 * self.filled, self.table.shape[1]))
             grown[:start] = self.table[:start]
             self.table = grown
-        for at, part in by_length(["▁" + t for t in seen]):
+        for at, part in by_length(fresh):
             self.table[start + at] = forward(self.pieces.cuts(part), self.probs)
 
     def of(self, words: list[bytes]) -> np.ndarray | None:
@@ -143,15 +167,9 @@ class Scorer(dict):
         return self.table[rows].sum(axis=0) if len(rows) else None
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer(key: str, file: str, probs: np.ndarray) -> Scorer:
-    """One scorer per worker, for the model used last."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(pieces_of(file), probs)
-    return _SCORERS[key]
+    """The worker's scorer for this model."""
+    return held(("languages", key), lambda: Scorer(pieces_of(file), probs))
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:

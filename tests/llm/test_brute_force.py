@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bitpack, decontaminate, language_id, lm_scoring, mixing, ngram_join, repetition
+from evidencelake.llm import bitpack, decontaminate, language_id, mixing, ngram_join, repetition
 from evidencelake.llm.common import running_sums, word_hashes
 from evidencelake.llm.components import components
 from evidencelake.llm.queries import QUERIES, tokenizer_file
