@@ -82,7 +82,7 @@ def hash64(*parts: str | Column) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen last; ``key`` may fold a word first, and None drops it to 0."""
 
-    def __init__(self, key=None, most: int = 600_000) -> None:
+    def __init__(self, key=None, most: int = 300_000) -> None:
         super().__init__()
         self.key, self.most = key, most
 
