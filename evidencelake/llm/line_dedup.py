@@ -38,24 +38,24 @@ def html_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(shown, r"<[^>]*>|\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def site_lines(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+def site_lines(pages: DataFrame, ratio: float, min_pages: int, min_line_pages: int) -> DataFrame:
     """From (site, lines): per site with boilerplate, the hashes of its boilerplate lines."""
     hashed = pages.select("site", F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x))).alias("hashes"))
     totals = hashed.groupBy("site").agg(F.count(F.lit(1)).alias("site_pages")).filter(F.col("site_pages") >= min_pages)
     found = hashed.select("site", F.explode("hashes").alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("line_pages"))
-    often = found.filter(F.col("line_pages") > ratio * min_pages).join(totals, "site").filter(F.col("line_pages") > ratio * F.col("site_pages"))
+    often = found.filter((F.col("line_pages") >= min_line_pages) & (F.col("line_pages") > ratio * min_pages)).join(totals, "site").filter(F.col("line_pages") > ratio * F.col("site_pages"))
     return often.groupBy("site").agg(F.collect_list("line").alias("boilerplate"))
 
 
-def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float = 0.1, min_pages: int = 10) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float = 0.1, min_pages: int = 1, min_line_pages: int = 2) -> DataFrame:
     """``pages`` with site, n_lines, n_dropped and text (the lines that stay, one under another).
 
-    A line goes when the pages of its site that hold it, divided by all pages of the site, exceed ``ratio``; sites of fewer than ``min_pages`` pages
-    keep all lines, as there nearly every line is on a large share. A line that a page repeats counts once, and goes everywhere or nowhere. Lines are compared by a 64-bit hash.
+    A line goes when at least ``min_line_pages`` pages of its site hold it and they, divided by all pages of the site, exceed ``ratio``; with 2 and 0.1, that is the ratio alone from
+    10 pages on. ``min_pages`` exempts smaller sites as a whole. A line that a page repeats counts once, and goes everywhere or nowhere. Lines are compared by a 64-bit hash.
     Null texts have no lines, a null site is the empty one, repeated rows are pages of their own. Columns of the new names are replaced.
     """
     own = pages.withColumns({"_site": F.coalesce(site, F.lit("")), "_lines": lines})
-    bad = materialise(site_lines(own.select(F.col("_site").alias("site"), F.col("_lines").alias("lines")), ratio, min_pages), "boilerplate")
+    bad = materialise(site_lines(own.select(F.col("_site").alias("site"), F.col("_lines").alias("lines")), ratio, min_pages, min_line_pages), "boilerplate")
     joined = own.join(bad.select(F.col("site").alias("_site"), F.col("boilerplate").alias("_bad")), "_site", "left")
     joined = joined.withColumn("_kept", F.expr("if(_bad is null, _lines, filter(_lines, x -> not array_contains(_bad, xxhash64(x))))"))
     others = [c for c in pages.columns if c not in ("site", "n_lines", "n_dropped", "text")]

@@ -94,9 +94,9 @@ SELECT page_id, site, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::B
 
 @query(_LINES_SQL)
 def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages without their host's boilerplate lines: page_id, site, n_lines, n_dropped, text."""
+    """All pages without their host's boilerplate lines: page_id, site, n_lines, n_dropped, text. Hosts of fewer than 10 pages are exempt, as the SQL has it."""
     pages = table(spark, sf_dir, "pages")
-    cleaned = line_dedup.drop_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")))
+    cleaned = line_dedup.drop_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")), min_pages=10)
     return cleaned.select("page_id", "site", "n_lines", "n_dropped", "text")
 
 

@@ -25,3 +25,16 @@ def test_given_pages_have_no_edges(spark):
     """What the README says of them."""
     pages = spark.read.parquet(f"{ROOT}/pages.parquet").select(line_dedup.host_of(F.col("url")).alias("host"), F.regexp_extract_all("html", F.lit(url_graph.LINK), F.lit(1)).alias("links"))
     assert pages.filter("host <> ''").count() == 50 and url_graph.host_edges(pages).count() == 0
+
+
+def dropped(spark, pages: int, **options) -> int:
+    """Lines dropped from a site of so many pages: of a navigation line on all its pages and one of each page's own."""
+    rows = [(f"s{pages}", f"nav\nown {i}") for i in range(pages)]
+    got = line_dedup.drop_boilerplate(spark.createDataFrame(rows, "host string, body string"), F.col("host"), line_dedup.text_lines(F.col("body")), **options).collect()
+    assert all(r.text == (f"own {r.body[-1]}" if r.n_dropped else r.body) for r in got)
+    return sum(r.n_dropped for r in got)
+
+
+def test_small_sites_lose_their_boilerplate(spark):
+    assert [dropped(spark, n) for n in (1, 2, 9, 10)] == [0, 2, 9, 10]
+    assert [dropped(spark, n, min_pages=10) for n in (9, 10)] == [0, 10]
