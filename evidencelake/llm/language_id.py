@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from evidencelake.llm.common import batches_of, held, materialise, small_batches
 from evidencelake.llm.decontaminate import folded
 
-#: Labelled texts to learn from, about: the sample is drawn by a hash of the id.
+#: Labelled texts of each language to learn from, about: the sample is drawn by a hash of the id.
 TRAIN_TEXTS = 20_000
 _RESCALE = 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -93,27 +93,40 @@ def forward(cuts: np.ndarray, probs: np.ndarray) -> np.ndarray:
     return np.log(sums[:, n]) + scale
 
 
-def expected(cuts: np.ndarray, probs: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
-    """Add the expected piece counts of words [word, language] to ``out`` [piece, language]."""
+def log_sums(cuts: np.ndarray, padded: np.ndarray) -> np.ndarray:
+    """[word, end, language]: logs of the sums over all segmentations of the first ``end`` characters, rescaled as in ``forward``."""
     many, n, k = cuts.shape
-    padded = np.concatenate([probs, np.zeros((1, probs.shape[1]))])
-    ahead = np.zeros((many, n + 1, probs.shape[1]))
-    ahead[:, 0] = 1
+    sums = np.zeros((many, n + 1, padded.shape[1]))
+    sums[:, 0] = 1
+    scale = np.zeros_like(sums)
     for j in range(1, n + 1):
+        scale[:, j] = scale[:, j - 1]
         for length in range(1, min(k, j) + 1):
-            ahead[:, j] += ahead[:, j - length] * padded[cuts[:, j - 1, length - 1]]
-    behind = np.zeros_like(ahead)
-    behind[:, n] = 1
-    for i in range(n - 1, -1, -1):
-        for length in range(1, min(k, n - i) + 1):
-            behind[:, i] += behind[:, i + length] * padded[cuts[:, i + length - 1, length - 1]]
-    weight = counts / ahead[:, n]
+            piece = cuts[:, j - 1, length - 1]
+            if (piece >= 0).any():
+                sums[:, j] += sums[:, j - length] * padded[piece]
+        if j % _RESCALE == 0:
+            by = sums[:, j].copy()
+            sums[:, max(0, j - k) : j + 1] /= by[:, None]
+            scale[:, max(0, j - k) : j + 1] += np.log(by)[:, None]
+    return np.log(sums) + scale
+
+
+def expected(cuts: np.ndarray, probs: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+    """Add the expected piece counts of words [word, language] to ``out`` [piece, language]."""
+    _, n, k = cuts.shape
+    padded = np.concatenate([probs, np.zeros((1, probs.shape[1]))])
+    mirrored = np.full_like(cuts, -1)
+    for length in range(1, min(k, n) + 1):
+        mirrored[:, length - 1 :, length - 1] = cuts[:, length - 1 :, length - 1][:, ::-1]
+    ahead, behind = log_sums(cuts, padded), log_sums(mirrored, padded)[:, ::-1]
+    whole, logs = ahead[:, n], np.log(probs)
     for j in range(1, n + 1):
         for length in range(1, min(k, j) + 1):
             piece = cuts[:, j - 1, length - 1]
             at = np.flatnonzero(piece >= 0)
             if len(at):
-                np.add.at(out, piece[at], (ahead[at, j - length] * padded[piece[at]] * behind[at, j]) * weight[at])
+                np.add.at(out, piece[at], np.exp(ahead[at, j - length] + logs[piece[at]] + behind[at, j] - whole[at]) * counts[at])
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -172,8 +185,16 @@ def scorer(key: str, file: str, probs: np.ndarray) -> Scorer:
     return held(("languages", key), lambda: Scorer(pieces_of(file), probs))
 
 
-def word_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, word, count) from (lang, text): words with a letter, as the models see them."""
+def stretches(word: str, longest: int) -> list[str]:
+    """The word behind its mark; a word over ``longest`` characters in consecutive stretches of about equal length, the first behind the mark."""
+    n = len(word)
+    parts = max(1, -(-n // longest))
+    first, *others = (word[i * n // parts : (i + 1) * n // parts] for i in range(parts))
+    return ["▁" + first, *others]
+
+
+def word_counts(labelled: DataFrame, longest: int) -> DataFrame:
+    """(lang, word, count) from (lang, text): words with a letter, as the models see them, long ones in stretches."""
 
     def count(batches) -> Iterator:
         import pyarrow as pa
@@ -187,7 +208,8 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             for (lang, word), n in found.items():
                 text = folded(word).decode()
                 if any(map(str.isalpha, text)):
-                    rows[lang, text] += n
+                    for part in stretches(text, longest):
+                        rows[lang, part] += n
             if rows:
                 keys = list(rows)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in keys], pa.string()), "word": pa.array([k[1] for k in keys], pa.string()), "count": pa.array(list(rows.values()), pa.int64())})
@@ -199,9 +221,10 @@ def fit(labelled: DataFrame, file: str, smoothing: float = 0.1, rounds: int = 2,
     """Languages in order and [piece, language] probabilities, from (lang, text).
 
     Tasks add up expected counts of their share of the words; what comes to the driver is a number for each piece and language: the vocabulary times
-    the languages of the sample. Words over ``longest`` characters are not learned from.
+    the languages of the sample. Words over ``longest`` characters, as in scripts without spaces, are learned from in consecutive stretches of at most that length. A language none
+    of whose texts has a letter has no model: an even one would win all texts of rare pieces.
     """
-    words = materialise(word_counts(labelled).filter(F.length("word") <= longest), "words")
+    words = materialise(word_counts(labelled, longest), "words")
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
     if not langs:
         return [], np.zeros((0, 0))
@@ -220,7 +243,7 @@ def fit(labelled: DataFrame, file: str, smoothing: float = 0.1, rounds: int = 2,
             for b in batches:
                 counts: dict[str, np.ndarray] = {}
                 for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "count"))):
-                    counts.setdefault("▁" + word, np.zeros(len(langs)))[place[lang]] += n
+                    counts.setdefault(word, np.zeros(len(langs)))[place[lang]] += n
                 names = list(counts)
                 table = np.array(list(counts.values())).reshape(len(names), len(langs))
                 for at, part in by_length(names):
@@ -236,11 +259,14 @@ def fit(labelled: DataFrame, file: str, smoothing: float = 0.1, rounds: int = 2,
     return langs, probs
 
 
-def sampled(docs: DataFrame, wanted: int, id_column: str) -> DataFrame:
-    """About ``wanted`` rows of ``docs`` (all, if there are fewer), chosen by a hash of their id."""
-    n = docs.count()
+def sampled(docs: DataFrame, wanted: int, id_column: str, lang_column: str = "lang") -> DataFrame:
+    """About ``wanted`` rows of each language of ``docs`` (all, if it has fewer), chosen by a hash of their id: other languages do not change what is drawn of one."""
+    large = [(r[lang_column], int(wanted / r["count"] * 1_000_000)) for r in docs.groupBy(lang_column).count().filter(F.col("count") > wanted).collect()]
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(1_000_000))
-    return docs if n <= wanted else docs.filter(share < int(wanted / n * 1_000_000))
+    most = F.lit(1_000_000)
+    for lang, bound in large:
+        most = F.when(F.col(lang_column).eqNullSafe(F.lit(lang)), bound).otherwise(most)
+    return docs.filter(share < most) if large else docs
 
 
 def identify(docs: DataFrame, langs: list[str], probs: np.ndarray, file: str, id_column: str = "doc_id", text_column: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """What the given tables do not show: verdicts that travel along links, small sites, unspaced scripts, rare languages."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from evidencelake.llm import line_dedup, url_graph
+from evidencelake.llm import language_id, line_dedup, url_graph
+from evidencelake.llm.queries import tokenizer_file
 from tests.llm.test_brute_force import ROOT
 
 URLS = [*(f"http://good.org/{i}" for i in range(4)), *(f"http://bad.net/{i}" for i in range(4)), "http://fan.com/1", "http://shop.fan.com/1", "http://plain.com/1"]
@@ -38,3 +40,38 @@ def dropped(spark, pages: int, **options) -> int:
 def test_small_sites_lose_their_boilerplate(spark):
     assert [dropped(spark, n) for n in (1, 2, 9, 10)] == [0, 2, 9, 10]
     assert [dropped(spark, n, min_pages=10) for n in (9, 10)] == [0, 10]
+
+
+def test_expected_counts_of_long_words():
+    pieces = language_id.pieces_of(tokenizer_file("piece_bpe_32k.model"))
+    probs, out = np.full((pieces.unknown + 1, 2), 1e-9), np.zeros((pieces.unknown + 1, 2))
+    cuts = pieces.cuts(["▁" + "zq" * 300])
+    language_id.expected(cuts, probs, np.full((1, 2), 3.0), out)
+    lengths = np.array([len(n) for n in pieces.names] + [1])
+    assert np.allclose((out * lengths[:, None]).sum(axis=0), 3 * 601)  # each segmentation covers all characters
+
+
+def test_stretches():
+    assert language_id.stretches("word", 32) == ["▁word"] and language_id.stretches("x" * 32, 32) == ["▁" + "x" * 32]
+    for n in (33, 64, 65, 1000):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        parts = language_id.stretches(word, 32)
+        assert "".join(parts) == "▁" + word and max(map(len, parts)) <= 33 and min(map(len, parts)) >= 16
+
+
+def test_unspaced_script_is_learned(spark):
+    """Runs of 60 characters, none of 32 or fewer."""
+    zh = ["".join(chr(0x4E00 + (i * 7 + j * j) % 500) for j in range(60)) for i in range(20)]
+    en = ["the cat sat on the mat and looked at the dog", "a house by the river with a green door"] * 5
+    labelled = spark.createDataFrame([("zh", t) for t in zh] + [("en", t) for t in en], "lang string, text string")
+    file = tokenizer_file("piece_bpe_32k.model")
+    langs, probs = language_id.fit(labelled, file)
+    assert langs == ["en", "zh"]
+    docs = spark.createDataFrame([(1, zh[3][5:50]), (2, "the dog sat by the door")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, langs, probs, file).collect()} == {1: "zh", 2: "en"}
+
+
+def test_rare_language_is_sampled(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "xx").when(F.col("id") < 500, "de").otherwise("en").alias("lang"))
+    got = {r.lang: r["count"] for r in language_id.sampled(docs, 200, "doc_id").groupBy("lang").count().collect()}
+    assert got["xx"] == 3 and 140 < got["de"] < 260 and 140 < got["en"] < 260
