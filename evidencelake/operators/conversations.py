@@ -50,8 +50,8 @@ def turns(messages: DataFrame, conv_id: Column | str | int) -> DataFrame:
     return messages.filter(F.col("conv_id") == wanted).orderBy("seq")
 
 
-def related_answers(questions: DataFrame, cache: DataFrame, n: int = RELATED) -> DataFrame:
-    """Earlier answers of the same conversation whose question contains a term of this one, the newest ``n``.
+def related_answers(questions: DataFrame, cache: DataFrame, n: int = RELATED, terms: int | None = None) -> DataFrame:
+    """Earlier answers of the same conversation whose question contains a term of this one (of its first ``terms``, if given), the newest ``n``.
 
     ``questions(question_id, conv_id, question)``, ``cache(answer_id, conv_id, question, created_at)``. Questions and
     stored answers are never paired directly: per (conversation, term) only the answers that can be among the
@@ -61,7 +61,7 @@ def related_answers(questions: DataFrame, cache: DataFrame, n: int = RELATED) ->
     own = F.xxhash64("question")
     asked = questions.select(
         "question_id", "conv_id", own.alias("own"),
-        F.explode(question_terms(F.col("question"), longer_than=3, first=5)).alias("term"),
+        F.explode(question_terms(F.col("question"), longer_than=3, first=terms)).alias("term"),
     ).distinct()
     # a term is a run of letters and digits, so it occurs inside one such run of the stored text; texts stay behind
     words = cache.select(

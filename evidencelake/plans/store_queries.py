@@ -263,8 +263,8 @@ su AS (SELECT run_id, max(ts) AS t0, arg_max(payload, seq) AS p FROM ev WHERE ty
 SELECT 'ctx:' || run_id AS id, 'context' AS kind, 'context v' || (1 + i // 10) || '.' || (i % 10) AS title, c > 300 AS truncated FROM o WHERE r <= 300
 UNION ALL SELECT 'tables:' || ro.run_id, 'table', json_extract_string(p, '$.tables[0].name') || ' + 1 more created', c > 500 FROM ro JOIN su USING (run_id) WHERE r <= 500""")
 def changelog_entries(t: Tables) -> DataFrame:
-    """The merged changelog, whole batches and whole runs only."""
-    return changelog.changelog(store(t), runs_log(t)).select("id", "kind", "title", "truncated")
+    """The merged changelog of the newest 300 batches and 500 runs, whole ones only."""
+    return changelog.changelog(store(t), runs_log(t), batches=300, runs=500).select("id", "kind", "title", "truncated")
 
 
 @query("TOP8", """
