@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bitpack, chat_format, decontaminate, language_id, line_dedup, lm_scoring, mixing, ngram_join, repetition, url_graph
+from evidencelake.llm import bitpack, chat_format, decontaminate, hard_negatives, language_id, lexical_search, line_dedup, lm_scoring, mixing, ngram_join, repetition, secret_scan, url_graph
 from evidencelake.llm.common import shared_folder
 from evidencelake.session import configure
 
@@ -200,3 +200,49 @@ def op1_lm_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by their likeness to those labelled of good quality: doc_id, n_tokens, target_bits, background_bits, score."""
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
     return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), good, tokenizer_file(), VOCABULARY, opening=49_406, direct=True)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_SEARCH_SQL = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS doc, {_TERMS} AS terms FROM documents),
+counted AS (SELECT doc_id, doc, terms, len(terms)::BIGINT AS length FROM docs WHERE len(terms) > 0),
+whole AS (SELECT count(*)::BIGINT AS texts, sum(length)::BIGINT AS words FROM counted),
+items AS (SELECT item_id, item, unnest(list_distinct(terms)) AS term FROM (SELECT item_id, row_number() OVER () AS item, {_TERMS} AS terms FROM benchmark)),
+held AS (SELECT doc_id, doc, length, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, doc, length, unnest(terms) AS term FROM counted) WHERE term IN (SELECT term FROM items) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * texts + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM held GROUP BY term), whole),
+parts AS (SELECT doc_id, doc, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * length * texts) // words))) AS part FROM held JOIN weights USING (term), whole),
+scored AS (SELECT item_id, item, doc_id, doc, sum(part)::BIGINT AS score FROM items JOIN parts USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+
+@query(_SEARCH_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents ranked for each benchmark item: item_id, rank, doc_id, score of the ten best."""
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_NEGATIVES_SQL = """
+WITH usable AS (SELECT row_number() OVER () AS row, vec_id, label, embedding FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+codes AS (SELECT row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label, list_transform(embedding, lambda x: try_cast(floor(256 * x::DOUBLE) AS BIGINT)) AS v FROM usable),
+scored AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.row, b.vec_id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM codes a JOIN codes b ON a.vec_id % 100 = 0 AND a.row <> b.row),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.row ORDER BY n.score DESC, n.vec_id NULLS LAST)::INTEGER AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5"""
+
+
+@query(_NEGATIVES_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors (vec_id divisible by 100): anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+@query()
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: doc_id, n_assign, n_access, n_hex, base_sha256 and spans, known forms and novel strings together."""
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = secret_scan.span_list(F.filter("secrets", lambda s: s["kind"] != "novel"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), secret_scan.span_list(F.col("secrets")).alias("spans"))

@@ -15,7 +15,7 @@ MESSY = [
 def documents() -> pa.Table:
     ids, texts, langs, sources = zip(*MESSY)
     own = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string()), "source": pa.array(sources, pa.string()), "n_chars": pa.array([len(t or "") for t in texts], pa.int64())}
-    clash = {name: pa.array([f"{name} {i}" for i in range(len(ids))]) for name in ("kept", "size", "shard", "place", "target", "n_words", "score", "rank")}
+    clash = {name: pa.array([f"{name} {i}" for i in range(len(ids))]) for name in ("kept", "size", "shard", "place", "target", "n_words", "score", "rank", "_id", "_row_id", "_first", "_lists", "_k0", "_shard", "_i", "_bad", "_site", "_lines", "_key", "id", "text_hash", "label")}
     return pa.table(own | clash)
 
 
@@ -23,7 +23,7 @@ def pages() -> pa.Table:
     nav = "<nav>home</nav><p>shared line</p>"
     urls = [f"http://Host{i % 2}.Example.com/de/{i}" for i in range(24)] + [f"https://a.net/x{i}#top" for i in range(12)] + ["http://www.b.org/fr/?q=1", "http://b.org", None, "no scheme", "http://", "ftp://C.org/fr/x://y", "http://example.net/en/1"]
     htmls = [f"{nav}<p>own {i}</p><a href='https://a.net/'>x</a><script>var t='<p>';</script>" for i in range(36)] + ["", None, "plain\ntext  \n", "<a href=\"//WWW.B.org/1\">l</a>", "<p>x</p><p>x</p>", "< unclosed", '<a href="http://www.b.org">b</a>']
-    return pa.table({"page_id": pa.array([*range(len(urls) - 1), 0], pa.int64()), "url": pa.array(urls, pa.string()), "html": pa.array(htmls, pa.string()), "site": pa.array(urls, pa.string()), "host": pa.array(htmls, pa.string())})
+    return pa.table({"page_id": pa.array([*range(len(urls) - 1), 0], pa.int64()), "url": pa.array(urls, pa.string()), "html": pa.array(htmls, pa.string()), "site": pa.array(urls, pa.string()), "host": pa.array(htmls, pa.string())} | {n: pa.array(urls, pa.string()) for n in ("_bad", "_site", "_lines", "_kept", "_id", "text")})
 
 
 def conversations() -> pa.Table:
@@ -43,7 +43,18 @@ def labels() -> pa.Table:
     return pa.table({"doc_id": pa.array([6, 5, None, 99], pa.int64()), "quality": pa.array([1, 0, 1, 1], pa.int32()), "toxic": pa.array([0, 0, 0, None], pa.int32())})
 
 
-MAKERS = {"documents": documents, "pages": pages, "conversations": conversations, "benchmark": benchmark, "labels": labels}
+def embeddings() -> pa.Table:
+    made = [(i, [((i * 37 + d * 11) % 23 - 11) / 16 for d in range(6)], i % 3) for i in range(0, 420, 3)]
+    odd = [
+        (0, [0.5, -0.25, 1.0, 0.0, 0.1, -0.1], 1), (100, None, 1), (200, [1.0, None, 0, 0, 0, 0], 1), (300, [float("nan")] * 6, 0), (300, [float("inf"), 0.0], 0), (7, [0.2] * 6, None), (None, [0.5] * 6, 1), (None, [0.5] * 6, 2),
+        (400, [], 1), (500, [0.5, 0.5], 2), (600, [0.0] * 6, 0), (700, [-0.5] * 6, -3), (101, [0.5, -0.25, 1.0, 0.0, 0.1, -0.1], 1), (102, [0.5, -0.25, 1.0, 0.0, 0.1, -0.1], 2), (102, [0.5, -0.25, 1.0, 0.0, 0.1, -0.1], 2),
+    ]
+    ids, vectors, marks = zip(*made, *odd)
+    clash = {name: pa.array([f"{name} {i}" for i in range(len(ids))]) for name in ("key", "shard", "score", "rank", "anchor", "_id", "codes", "place")}
+    return pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array(marks, pa.int32())} | clash)
+
+
+MAKERS = {"embeddings": embeddings, "documents": documents, "pages": pages, "conversations": conversations, "benchmark": benchmark, "labels": labels}
 
 
 @pytest.fixture(scope="session")
