@@ -21,7 +21,7 @@ from evidencelake.llm.common import materialise
 
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 16 << 20
 CODES, ROUNDS = 16, 12
-SHARD_BYTES, BLOCK_ANCHORS = 16 << 20, 256
+SHARD_BYTES, BLOCK_ANCHORS = 16 << 20, 64
 #: Components are held between these, so that scores stay 64-bit integers.
 LIMIT = 1 << 27
 
@@ -242,21 +242,29 @@ def anchors_of(shards: DataFrame) -> DataFrame:
 
 
 def _meet(anchors: DataFrame, shards: DataFrame) -> DataFrame:
-    """The shards beside each block of at most ``BLOCK_ANCHORS`` rows of ``anchors`` (as arrays named ``a_...``)."""
-    names = anchors.columns
+    """The shards beside each block of at most ``BLOCK_ANCHORS`` rows of ``anchors`` (as arrays named ``a_...``).
+
+    A shard goes to one task; with fewer shards than shuffle partitions, to several that share its blocks.
+    """
+    names, kinds = anchors.columns, dict(anchors.dtypes)
+    partitions = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = (shards.agg(F.max("shard")).first()[0] or 0) + 1
+    spread = max(1, -(-partitions // count))
 
     def pack(batches) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        part = TaskContext.get().partitionId()
         for b in batches:
             for at in range(0, b.num_rows, BLOCK_ANCHORS):
-                some = b.slice(at, BLOCK_ANCHORS)
-                yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist()], pa.list_(c.type)) for c in some.columns], names=[f"a_{n}" for n in names])
+                some, part = b.slice(at, BLOCK_ANCHORS), part + 1
+                yield pa.RecordBatch.from_arrays([pa.array([part % spread], pa.int64()), *(pa.array([c.to_pylist()], pa.list_(c.type)) for c in some.columns)], names=["part", *(f"a_{n}" for n in names)])
 
-    kinds = dict(anchors.dtypes)
-    blocks = anchors.mapInArrow(pack, ", ".join(f"a_{n} array<{kinds[n]}>" for n in names))
-    last = shards.agg(F.max("shard")).first()[0]
-    return blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last or 0).cast("long")))).join(shards.drop("anchors"), "shard")
+    blocks = anchors.mapInArrow(pack, ", ".join(["part long", *(f"a_{n} array<{kinds[n]}>" for n in names)]))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    blocks = blocks.withColumn("shard", every(count)).repartition(partitions, "shard", "part")
+    return blocks.join(shards.drop("anchors").withColumn("part", every(spread)), ["shard", "part"])
 
 
 def hard_negatives(
