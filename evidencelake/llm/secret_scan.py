@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import batches_of
+from evidencelake.llm.common import batches_of, materialise
 
 # The known forms. Alternatives are tried in this order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -64,7 +64,8 @@ def identifier_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES, text_column: str = "text") -> bytes:
     """The identifiers that most texts hold (at least two), up to ``size`` bytes, the commonest last, where a match costs least."""
-    common = identifier_counts(docs, text_column).filter("texts > 1").orderBy(F.desc("texts"), "word").limit(size // 4)
+    # written first: the tasks' best words are merged by a task, not by the driver
+    common = materialise(identifier_counts(docs, text_column).filter("texts > 1").orderBy(F.desc("texts"), "word").limit(size // 4), "identifiers").orderBy(F.desc("texts"), "word")
     words, held = [], 0
     for row in common.collect():
         word = row.word.encode()
