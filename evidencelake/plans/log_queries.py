@@ -341,14 +341,14 @@ def mentioned_tables(t: Tables) -> DataFrame:
     return query_log(t).select("query_id", F.array_join(conversations.mentioned_tables(F.col("query")), ",").alias("tables"))
 
 
-@query("SRC13 RUN2", f"WITH {RUNS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, type, count(*) AS events_n FROM runs GROUP BY 1, 2")
+@query("RUN2", f"WITH {RUNS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, type, count(*) AS events_n FROM runs GROUP BY 1, 2")
 def run_events_by_day(t: Tables) -> DataFrame:
     """Run events as the log partitions them, per day and type."""
     log = runs_log(t)
     return log.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "type").agg(F.count(F.lit(1)).alias("events_n"))
 
 
-@query("STR2 QRY2", f"WITH {LOG} SELECT CAST(epoch(date_trunc('hour', event_time)) AS BIGINT) AS hour_ts, count(*) AS queries, max(ms) AS max_ms FROM log GROUP BY 1")
+@query("QRY2", f"WITH {LOG} SELECT CAST(epoch(date_trunc('hour', event_time)) AS BIGINT) AS hour_ts, count(*) AS queries, max(ms) AS max_ms FROM log GROUP BY 1")
 def hourly_log_counts(t: Tables) -> DataFrame:
     """The batch form of the streaming hourly counts: the same plan reads a static log."""
     from evidencelake.streaming.intake import hourly_counts

@@ -60,6 +60,7 @@ def load_all() -> dict[str, Registered]:
         digest_queries,
         log_queries,
         metric_queries,
+        sink_queries,
         source_queries,
         store_queries,
         text_queries,

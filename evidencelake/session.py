@@ -1,8 +1,14 @@
-"""Session settings."""
+"""Session settings, and the folder for tables that one step writes and the next reads."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import functools
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime-settable: applied to whatever session the caller hands us.
 RUNTIME_CONF = {
@@ -36,3 +42,35 @@ def local_session(cores: int | str = "*", app: str = "evidencelake", partitions:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+@functools.cache
+def _own_folder(app: str) -> str:
+    folder = tempfile.mkdtemp(prefix="evidencelake-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a single-machine session without one (tests) gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder(spark.sparkContext.applicationId)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a table of its own in the shared folder and read it back.
+
+    It cuts the lineage and is computed once; a lost executor costs none of it.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

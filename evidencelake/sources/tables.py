@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidencelake.session import materialise
+
 # How long each kind of table is kept.
 RETENTION = {"events": "interval 1 year", "runs_log": "interval 90 days", "answers": "interval 30 days"}
 
@@ -34,24 +36,63 @@ def load_events(events: DataFrame, event: str, columns: Sequence[tuple[str, str]
     return events.filter(F.col("event") == event).select(*typed_columns(columns))
 
 
+MONTH = "month"
+
+
+def _laid_out(df: DataFrame, sort_keys: Sequence[str], ts: str | None, ranges: int | None) -> tuple[DataFrame, list[str]]:
+    """``df`` with its month, dealt by ranges of (month, sort keys) and sorted, and the partition columns.
+
+    Files of a month thus hold ranges of the sort keys that do not overlap, so that a lookup reads one of them; a hot month
+    is several ranges. Rows without a timestamp are a month of their own. Without ``ranges`` their number follows the data's size.
+    """
+    partition = []
+    if ts and ts in df.columns:
+        df, partition = df.withColumn(MONTH, F.date_format(ts, "yyyyMM")), [MONTH]
+    if sort_keys:
+        count = [ranges] if ranges else []
+        df = df.repartitionByRange(*count, *partition, *sort_keys).sortWithinPartitions(*partition, *sort_keys)
+    return df, partition
+
+
 def write_event_table(
-    df: DataFrame, path: str, sort_keys: Sequence[str] = (), ts: str | None = "timestamp", bloom: Sequence[str] = ()
+    df: DataFrame, path: str, sort_keys: Sequence[str] = (), ts: str | None = "timestamp", bloom: Sequence[str] = (),
+    ranges: int | None = None,
 ) -> None:
-    """Overwrite a table: one partition per month, sorted inside files so min/max statistics prune.
+    """Overwrite a table: one partition per month, sorted by ranges so min/max statistics prune.
 
     Overwriting makes a retried load idempotent. Runs a job.
     """
-    writer_df, partition = df, []
-    if ts and ts in df.columns:
-        writer_df, partition = df.withColumn("month", F.date_format(ts, "yyyyMM")), ["month"]
-    if sort_keys:
-        writer_df = writer_df.sortWithinPartitions(*partition, *sort_keys)
-    writer = writer_df.write.mode("overwrite").option("compression", "zstd")
+    laid_out, partition = _laid_out(df, sort_keys, ts, ranges)
+    writer = laid_out.write.mode("overwrite").option("compression", "zstd")
     for column in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+def save_event_table(df: DataFrame, name: str, sort_keys: Sequence[str] = (), ts: str = "timestamp", ranges: int | None = None) -> None:
+    """The same as a table of the catalog, whose months :func:`expire_months` can drop. Runs a job."""
+    laid_out, partition = _laid_out(df, sort_keys, ts, ranges)
+    laid_out.write.mode("overwrite").option("compression", "zstd").partitionBy(*partition).saveAsTable(name)
+
+
+def file_ranges(table: DataFrame, keys: Sequence[str], partition: str = MONTH) -> DataFrame:
+    """Per file of a written table: its partition, rows and least and greatest sort key, from the key columns alone."""
+    key = F.struct(*keys)
+    return table.groupBy(partition, F.col("_metadata.file_path").alias("file")).agg(
+        F.count(F.lit(1)).alias("rows_n"), F.min(key).alias("low"), F.max(key).alias("high")
+    )
+
+
+def layout_check(files: DataFrame, partition: str = MONTH) -> DataFrame:
+    """Per partition of :func:`file_ranges`: files, rows, key range, and how many files begin before an earlier one ends."""
+    earlier = Window.partitionBy(partition).orderBy("low", "high", "file").rowsBetween(Window.unboundedPreceding, -1)
+    marked = files.withColumn("overlaps", F.coalesce(F.col("low") <= F.max("high").over(earlier), F.lit(False)))
+    return marked.groupBy(partition).agg(
+        F.count(F.lit(1)).alias("files_n"), F.sum("rows_n").alias("rows_n"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.count_if("overlaps").alias("overlapping_n"),
+    )
+
+
 def stage_by_event(events: DataFrame, path: str) -> None:
     """Split a mixed capture by discriminator in one pass, so each typed load reads its own partition only.
 
@@ -79,6 +120,35 @@ def expire(df: DataFrame, ts: str, interval: str, now: Column | None = None) ->
     return df.filter(F.col(ts) >= (now if now is not None else F.current_timestamp()) - F.expr(interval))
 
 
+def expire_months(spark: SparkSession, name: str, ts: str, keep_from: str, sort_keys: Sequence[str] = ()) -> dict[str, list[str]]:
+    """Free what is older than ``keep_from`` (a timestamp literal) in a table of :func:`save_event_table`.
+
+    Months before it are dropped from the catalog with their files; of its own month only, the rows to keep are written anew by an
+    overwrite of that partition; later months keep their files. Rows without a timestamp stay. Run again, it finds nothing to do. The rows to
+    keep are written to the shared folder first, as a table cannot be overwritten while it is read. Returns the months dropped and rewritten.
+    """
+    bound = F.lit(keep_from).cast("timestamp")
+    boundary = spark.range(1).select(F.date_format(bound, "yyyyMM")).first()[0]
+    # one entry for each month of the table
+    months = sorted(p[0].split("=", 1)[1] for p in spark.sql(f"SHOW PARTITIONS {name}").collect())
+    old, rewritten = [m for m in months if m.isdigit() and m < boundary], []
+    if boundary in months:
+        own = spark.table(name).filter(F.col(MONTH) == boundary)
+        count = own.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col(ts) >= bound).alias("kept")).first()
+        if not count.kept:
+            old.append(boundary)
+        elif count.kept < count.all:
+            kept = materialise(own.filter(F.col(ts) >= bound), "kept")
+            if sort_keys:
+                kept = kept.repartitionByRange(*sort_keys).sortWithinPartitions(*sort_keys)
+            columns = ", ".join(f"`{c}`" for c in kept.columns if c != MONTH)
+            spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({MONTH} = '{boundary}') SELECT {columns} FROM {{kept}}", kept=kept)
+            rewritten.append(boundary)
+    if old:
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS " + ", ".join(f"PARTITION ({MONTH} = '{m}')" for m in old))
+    return {"dropped": old, "rewritten": rewritten}
+
+
 def document_table(spark: SparkSession, name: str, comment: str, columns: Mapping[str, str]) -> list[str]:
     """Write table and column comments; columns the table does not have are skipped. Returns those documented."""
     quoted = comment.replace("\\", "\\\\").replace("'", "\\'")

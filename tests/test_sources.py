@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.operators import profiling
 from evidencelake.sources import ndjson, tables, versions
-from evidencelake.streaming.intake import hourly_counts, stream_events
+from evidencelake.streaming.intake import sink_hourly_counts, staged_lines, stream_events, typed_rows
 
 FIXTURE = """{"event":"otp_entered","id":"0123456789abcdef0123456789abcdef","timestamp":"2026-01-02T03:04:05.678Z","otp_success":true,"payment":{"amount":1502.5,"currency":"INR"},"os":""}
 {"event":"otp_entered","id":"fedcba9876543210fedcba9876543210","timestamp":"2026-01-03 03:04","otp_success":false,"payment_amount":7,"payment":{"amount":1e3},"os":null}
@@ -159,13 +159,75 @@ def test_typed_table_round_trip(spark, events, tmp_path):
     assert tables.expire(back, "timestamp", tables.RETENTION["events"], F.lit("2027-01-02 12:00").cast("timestamp")).count() == 1
 
 
-def test_staging_and_run_log(spark, capture, tmp_path):
+def test_staging_by_event(spark, capture, tmp_path):
     tables.stage_by_event(ndjson.read_ndjson(spark, capture), str(tmp_path / "staged"))
     assert spark.read.parquet(str(tmp_path / "staged")).filter("event = 'otp_entered'").count() == 2
-    log = spark.createDataFrame([("r", "s", 1, "status", "running", "{}", "")], "run_id string, spec string, seq int, type string, name string, payload string, phase string").withColumn("ts", F.lit("2026-01-02 03:04:05").cast("timestamp"))
-    for _ in range(2):
-        versions.append_run_events(log, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+RUN_EVENT = "run_id string, spec string, seq int, ts string, type string, name string, payload string, phase string"
+
+
+def run_events(spark, *keys):
+    return spark.createDataFrame([(run, "s", seq, f"2026-01-0{day} 03:04:05", "status", "running", "{}", "") for run, seq, day in keys], RUN_EVENT)
+
+
+def test_run_log_holds_each_event_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert versions.read_run_events(spark, path).count() == 0
+    for batch in ([("r", 1, 2)], [("r", 1, 2)], [("r", 1, 2), ("r", 2, 3), ("r", 2, 3)], [("q", 2, 3)], [("r", 2, 3), ("q", 1, 1)]):
+        versions.append_run_events(run_events(spark, *batch), path)
+    assert sorted((r.run_id, r.seq, str(r.day)) for r in versions.read_run_events(spark, path).collect()) == [("q", 1, "2026-01-01"), ("q", 2, "2026-01-03"), ("r", 1, "2026-01-02"), ("r", 2, "2026-01-03")]
+
+
+def test_run_log_as_a_stream(spark, tmp_path):
+    schema = run_events(spark, ("r", 1, 1)).schema
+    for start, keys in enumerate(([("r", 1, 2), ("r", 2, 2)], [("r", 2, 2), ("r", 3, 3)], [])):
+        if keys:
+            run_events(spark, *keys).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+        versions.sink_run_events(stream, str(tmp_path / "log"), str(tmp_path / "ckpt")).awaitTermination()
+        assert versions.read_run_events(spark, str(tmp_path / "log")).count() == (2, 3, 3)[start]
+
+
+def test_files_of_a_month_do_not_overlap(spark, tmp_path):
+    """A month with most rows is several files; a lookup by month and key reads one."""
+    rows = spark.range(6000).select(F.xxhash64("id").alias("k"), "id", F.when(F.col("id") % 10 == 0, "2026-02-03").otherwise("2026-01-02").cast("timestamp").alias("timestamp"))
+    tables.write_event_table(rows, str(tmp_path / "t"), ["k"], ranges=5)
+    back = spark.read.parquet(str(tmp_path / "t"))
+    files = tables.file_ranges(back, ["k"])
+    check = {r.month: r for r in tables.layout_check(files).collect()}
+    assert {m: (r.rows_n, r.overlapping_n) for m, r in check.items()} == {202601: (5400, 0), 202602: (600, 0)} and check[202601].files_n > 1
+    key = files.filter("month = 202601").orderBy("low").collect()[1].low.k
+    plan = back.filter((F.col("month") == 202601) & (F.col("k") == key))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "PushedFilters: [IsNotNull(k), EqualTo(k," in plan
+    assert files.filter((F.col("month") == 202601) & F.lit(key).between(F.col("low.k"), F.col("high.k"))).count() == 1
+    overlapping = spark.createDataFrame([(1, "a", 1, (1,), (5,)), (1, "b", 1, (2,), (3,)), (1, "c", 1, (4,), (6,)), (1, "d", 1, (7,), (7,))], "month int, file string, rows_n long, low struct<k:int>, high struct<k:int>")
+    assert tables.layout_check(overlapping).first().overlapping_n == 2
+
+
+@pytest.mark.parametrize("keep_from,dropped,rewritten,left", [
+    ("2026-02-10 00:00:00", ["202601"], ["202602"], {"202602": 19, "202603": 31, None: 1}),
+    ("2026-02-01 00:00:00", ["202601"], [], {"202602": 28, "202603": 31, None: 1}),
+    ("2025-01-01 00:00:00", [], [], {"202601": 31, "202602": 28, "202603": 31, None: 1}),
+    ("2026-03-31 12:00:00", ["202601", "202602", "202603"], [], {None: 1}),
+])
+def test_retention_rewrites_one_month(spark, tmp_path, keep_from, dropped, rewritten, left):
+    database = "kept_" + tmp_path.name.replace("-", "_")
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{tmp_path}/db'")
+    try:
+        days = spark.range(90).select((F.lit("2026-01-01").cast("timestamp") + F.make_dt_interval(days=F.col("id").cast("int"))).alias("timestamp"), "id")
+        name = f"{database}.events"
+        tables.save_event_table(days.unionByName(spark.range(1).select(F.lit(None).cast("timestamp").alias("timestamp"), "id")), name, ["id"])
+        held = lambda: {(r.month, r.f) for r in spark.table(name).select("month", F.col("_metadata.file_path").alias("f")).distinct().collect()}
+        before = held()
+        assert tables.expire_months(spark, name, "timestamp", keep_from, ["id"]) == {"dropped": dropped, "rewritten": rewritten}
+        assert {r.month: r["count"] for r in spark.table(name).groupBy("month").count().collect()} == left
+        after = held()
+        assert {m for m, f in after if (m, f) not in before} == set(rewritten) and after - before == {x for x in after if x[0] in rewritten}
+        assert {m for m, _ in before - after} == {*dropped, *rewritten}
+        assert tables.expire_months(spark, name, "timestamp", keep_from) == {"dropped": [], "rewritten": []} and held() == after
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
 
 
 def test_document_table(spark, tmp_path):
@@ -177,19 +239,45 @@ def test_document_table(spark, tmp_path):
         spark.sql("DROP TABLE documented")
 
 
-def test_stream_intake_matches_batch(spark, capture, tmp_path):
-    import shutil
-
-    shutil.copytree(capture, tmp_path / "in")
+def test_stream_intake(spark, tmp_path):
+    """Strict: a malformed line stops the batch before it is written, and once it is mended the batch goes through. Quarantine: it is kept aside."""
+    root, lines = tmp_path / "in", FIXTURE.splitlines()
+    root.mkdir()
+    (root / "1.ndjson").write_text("\n".join(lines[:3]) + "\n")
+    start = lambda out, mode, **more: stream_events(spark, str(root), f"{tmp_path}/{out}", f"{tmp_path}/{out}_checkpoint", mode, **more).awaitTermination(120)
+    start("strict", "fail")
+    assert staged_lines(spark, f"{tmp_path}/strict").count() == 3
+    (root / "2.ndjson").write_text("\n".join(lines[3:]))
+    with pytest.raises(Exception, match="malformed line"):
+        start("strict", "fail")
+    assert staged_lines(spark, f"{tmp_path}/strict").count() == 3
+    (root / "2.ndjson").write_text(lines[3])
     for _ in range(2):  # a second start finds nothing new
-        stream_events(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), "skip").awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
-
-
-def test_hourly_counts_stream(spark, tmp_path):
-    log = spark.range(120).select((F.lit("2026-01-01").cast("timestamp") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("event_time"), F.col("id").alias("query_duration_ms"))
-    log.write.parquet(str(tmp_path / "log"))
-    stream = hourly_counts(spark.readStream.schema(log.schema).parquet(str(tmp_path / "log")))
-    q = stream.writeStream.outputMode("complete").format("memory").queryName("hourly").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted((r.queries, r.max_ms) for r in spark.table("hourly").collect()) == [(60, 59), (60, 119)]
+        start("strict", "fail")
+        assert staged_lines(spark, f"{tmp_path}/strict").groupBy("batch").count().orderBy("batch").collect() == [(0, 3), (1, 1)]
+    (root / "2.ndjson").write_text("\n".join(lines[3:]))
+    start("kept", "keep", typed={"otp_entered": [("id", "string"), ("payment_amount", "int")]}, files_per_batch=1)
+    kept = staged_lines(spark, f"{tmp_path}/kept")
+    assert sorted((r.batch, r.event, r.malformed, r.value) for r in kept.collect() if r.malformed) == [(1, "unknown_event", True, "{malformed")] and kept.count() == 5
+    assert sorted((r.batch, r.payment_amount) for r in typed_rows(spark, f"{tmp_path}/kept", "otp_entered").collect() if r.payment_amount) == [(0, 7)]
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    """An hour is given out once, when the latest time seen is the lateness past its end; what comes for it later is not counted."""
+    at = lambda *times: spark.createDataFrame([(f"2026-01-01 {t}", i) for i, t in enumerate(times)], "t string, query_duration_ms int").select(F.col("t").cast("timestamp").alias("event_time"), "query_duration_ms")
+    given = []
+    for part in (at("01:10", "02:05", "04:30"), at("01:50", "02:59", "03:10", "05:00"), at("09:00")):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in"))
+        sink_hourly_counts(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), "2 hours").awaitTermination()
+        given.append(sorted((r.hour_ts // 3600 % 24, r.queries, r.max_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert given[0] == [(1, 1, 0)] and given[1] == [(1, 1, 0), (2, 2, 1)]
+    assert given[2] == [(1, 1, 0), (2, 2, 1), (3, 1, 2), (4, 1, 2), (5, 1, 3)]
+
+
+def test_late_queries_of_the_given_log_are_dropped(spark):
+    from evidencelake.plans.registry import Tables, load_all
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    counted, sent = (load_all()[n].build(t).agg(F.sum("queries")).first()[0] for n in ("hourly_stream", "hourly_log_counts"))
+    assert 0.9 * sent < counted < sent - 20
