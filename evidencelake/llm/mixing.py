@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import WORD, materialise, running_sums
+from evidencelake.llm.common import WORD, running_sums
+from evidencelake.session import materialise
 
 WEIGHTS = (3, 1, 2)
 

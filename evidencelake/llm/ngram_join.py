@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import WORD, batches_of, materialise, mix64, rolling, small_batches, word_hashes
+from evidencelake.llm.common import WORD, batches_of, mix64, rolling, small_batches, word_hashes
 from evidencelake.llm.components import components
+from evidencelake.session import materialise
 
 BATCH_TOKENS, BATCH_TEXTS = 1_000_000, 60_000
 BLOCK_TOKENS = 2_000_000

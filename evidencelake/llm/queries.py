@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidencelake.llm import bitpack, chat_format, decontaminate, hard_negatives, language_id, lexical_search, line_dedup, lm_scoring, mixing, ngram_join, repetition, secret_scan, url_graph
-from evidencelake.llm.common import shared_folder
-from evidencelake.session import configure
+from evidencelake.session import configure, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
