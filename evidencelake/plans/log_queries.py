@@ -313,17 +313,17 @@ def conversation_turns(t: Tables) -> DataFrame:
 
 
 @query("CNV3 HYG11", r"""
-WITH q AS (SELECT conv_id, turn AS question_id, text, list_slice(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3), 1, 5) AS terms FROM conversations WHERE role = 'user'),
+WITH q AS (SELECT conv_id, turn AS question_id, text, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3) AS terms FROM conversations WHERE role = 'user'),
 c AS (SELECT conv_id, turn AS answer_id, text FROM conversations WHERE role != 'user' OR turn % 2 = 0),
 m AS (SELECT q.conv_id, question_id, answer_id FROM q JOIN c ON q.conv_id = c.conv_id AND c.text != q.text AND len(list_filter(terms, lambda w: contains(lower(c.text), w))) > 0)
 SELECT conv_id, question_id, answer_id FROM m QUALIFY row_number() OVER (PARTITION BY conv_id, question_id ORDER BY answer_id DESC) <= 3""")
 def related_answers(t: Tables) -> DataFrame:
-    """Earlier texts of the same conversation that share one of the first five terms, newest three."""
+    """Earlier texts of the same conversation that share a term, newest three."""
     c = t.conversations
     key = F.struct("conv_id", F.col("turn"))
     asked = c.filter("role = 'user'").select(key.alias("question_id"), "conv_id", F.col("text").alias("question"))
     stored = c.filter("role != 'user' OR turn % 2 = 0").select(F.col("turn").alias("answer_id"), "conv_id", F.col("text").alias("question"), F.col("turn").alias("created_at"))
-    r = conversations.related_answers(asked, stored, terms=5)
+    r = conversations.related_answers(asked, stored)
     return r.select("conv_id", F.col("question_id.turn").alias("question_id"), "answer_id")
 
 

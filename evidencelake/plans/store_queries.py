@@ -260,11 +260,11 @@ WITH {STORE}, {RUNS}, ev AS (SELECT * FROM runs WHERE (type = 'status' AND name
 b AS (SELECT run_id, min(updated_at) AS t0, max(updated_at) AS last FROM store GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY t0, run_id) - 1 AS i, row_number() OVER (ORDER BY last DESC, run_id) AS r, count(*) OVER () AS c FROM b),
 rb AS (SELECT run_id, max(ts) AS last FROM ev GROUP BY 1), ro AS (SELECT *, row_number() OVER (ORDER BY last DESC, run_id) AS r, count(*) OVER () AS c FROM rb),
 su AS (SELECT run_id, max(ts) AS t0, arg_max(payload, seq) AS p FROM ev WHERE type = 'status' AND name = 'succeeded' GROUP BY 1)
-SELECT 'ctx:' || run_id AS id, 'context' AS kind, 'context v' || (1 + i // 10) || '.' || (i % 10) AS title, c > 300 AS truncated FROM o WHERE r <= 300
-UNION ALL SELECT 'tables:' || ro.run_id, 'table', json_extract_string(p, '$.tables[0].name') || ' + 1 more created', c > 500 FROM ro JOIN su USING (run_id) WHERE r <= 500""")
+SELECT 'ctx:' || run_id AS id, 'context' AS kind, 'context v' || (1 + i // 10) || '.' || (i % 10) AS title, false AS truncated FROM o
+UNION ALL SELECT 'tables:' || ro.run_id, 'table', json_extract_string(p, '$.tables[0].name') || ' + 1 more created', false FROM ro JOIN su USING (run_id)""")
 def changelog_entries(t: Tables) -> DataFrame:
-    """The merged changelog of the newest 300 batches and 500 runs, whole ones only."""
-    return changelog.changelog(store(t), runs_log(t), batches=300, runs=500).select("id", "kind", "title", "truncated")
+    """The merged changelog of all batches and runs."""
+    return changelog.changelog(store(t), runs_log(t)).select("id", "kind", "title", "truncated")
 
 
 @query("TOP8", """
