@@ -55,11 +55,9 @@ def drop_boilerplate(pages: DataFrame, site: Column, lines: Column, ratio: float
     10 pages on. ``min_pages`` exempts smaller sites as a whole. A line that a page repeats counts once, and goes everywhere or nowhere. Lines are compared by a 64-bit hash.
     Null texts have no lines, a null site is the empty one, repeated rows are pages of their own. Columns of the new names are replaced.
     """
-    own = pages.withColumns({"_site": F.coalesce(site, F.lit("")), "_lines": lines})
-    bad = materialise(site_lines(own.select(F.col("_site").alias("site"), F.col("_lines").alias("lines")), ratio, min_pages, min_line_pages), "boilerplate")
-    joined = own.join(bad.select(F.col("site").alias("_site"), F.col("boilerplate").alias("_bad")), "_site", "left")
-    joined = joined.withColumn("_kept", F.expr("if(_bad is null, _lines, filter(_lines, x -> not array_contains(_bad, xxhash64(x))))"))
-    others = [c for c in pages.columns if c not in ("site", "n_lines", "n_dropped", "text")]
-    return joined.select(
-        *others, F.col("_site").alias("site"), F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"), F.array_join("_kept", "\n").alias("text")
-    )
+    own = pages.select(F.struct("*").alias("row"), F.coalesce(site, F.lit("")).alias("site"), lines.alias("lines"))
+    bad = materialise(site_lines(own.select("site", "lines"), ratio, min_pages, min_line_pages), "boilerplate")
+    joined = own.join(bad, "site", "left")
+    joined = joined.withColumn("kept", F.expr("if(boilerplate is null, lines, filter(lines, x -> not array_contains(boilerplate, xxhash64(x))))"))
+    others = [F.col("row")[c].alias(c) for c in pages.columns if c not in ("site", "n_lines", "n_dropped", "text")]
+    return joined.select(*others, "site", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))

@@ -84,8 +84,8 @@ WITH pieces AS (
     row_number() OVER () AS page
   FROM pages),
 each AS (SELECT DISTINCT site, page, unnest(lines) AS line FROM pieces),
-totals AS (SELECT site, count(*) AS site_pages FROM pieces GROUP BY site HAVING count(*) >= 10),
-bad AS (SELECT site, line FROM each JOIN totals USING (site) GROUP BY site, line, site_pages HAVING count(*) > 0.1 * site_pages),
+totals AS (SELECT site, count(*) AS site_pages FROM pieces GROUP BY site),
+bad AS (SELECT site, line FROM each JOIN totals USING (site) GROUP BY site, line, site_pages HAVING count(*) >= 2 AND count(*) > 0.1 * site_pages),
 lists AS (SELECT site, list(line) AS bad FROM bad GROUP BY site),
 kept AS (SELECT page_id, pieces.site, lines, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, x)) END AS kept FROM pieces LEFT JOIN lists USING (site))
 SELECT page_id, site, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text FROM kept"""
@@ -93,9 +93,9 @@ SELECT page_id, site, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::B
 
 @query(_LINES_SQL)
 def op9_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages without their host's boilerplate lines: page_id, site, n_lines, n_dropped, text. Hosts of fewer than 10 pages are exempt, as the SQL has it."""
+    """All pages without their host's boilerplate lines: page_id, site, n_lines, n_dropped, text."""
     pages = table(spark, sf_dir, "pages")
-    cleaned = line_dedup.drop_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")), min_pages=10)
+    cleaned = line_dedup.drop_boilerplate(pages, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html")))
     return cleaned.select("page_id", "site", "n_lines", "n_dropped", "text")
 
 
