@@ -262,11 +262,13 @@ def fit(labelled: DataFrame, file: str, smoothing: float = 0.1, rounds: int = 2,
 
 def sampled(docs: DataFrame, wanted: int, id_column: str, lang_column: str = "lang") -> DataFrame:
     """About ``wanted`` rows of each language of ``docs`` (all, if it has fewer), chosen by a hash of their id: other languages do not change what is drawn of one."""
-    large = [(r[lang_column], int(wanted / r["count"] * 1_000_000)) for r in docs.groupBy(lang_column).count().filter(F.col("count") > wanted).collect()]
-    share = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(1_000_000))
-    most = F.lit(1_000_000)
+    # the hash's upper 62 bits as a number below 2**62, so that no share is too small to name
+    scale = 1 << 62
+    large = [(r[lang_column], wanted * scale // r["count"]) for r in docs.groupBy(lang_column).count().filter(F.col("count") > wanted).collect()]
+    share = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(id_column)), 2)
+    most = F.lit(scale)
     for lang, bound in large:
-        most = F.when(F.col(lang_column).eqNullSafe(F.lit(lang)), bound).otherwise(most)
+        most = F.when(F.col(lang_column).eqNullSafe(F.lit(lang)), F.lit(bound)).otherwise(most)
     return docs.filter(share < most) if large else docs
 
 
