@@ -10,7 +10,7 @@ from evidencelake.session import materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """From edges (a, b) of longs: (node, label) for every node, label being the smallest node of its component.
+    """From edges (a, b) of longs, or of any type that has an order: (node, label) for every node, label being the smallest node of its component.
 
     Large-star and small-star rounds by turns: each node's larger, then its smaller neighbours are hung onto the smallest one, until nothing
     changes (a number of rounds that grows with the logarithm of the component sizes). Minima are reduced before the shuffle, so a node with

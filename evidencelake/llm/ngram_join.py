@@ -18,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.llm.common import WORD, batches_of, mix64, rolling, small_batches, word_hashes
@@ -29,6 +30,8 @@ BATCH_TOKENS, BATCH_TEXTS = 1_000_000, 60_000
 BLOCK_TOKENS = 2_000_000
 #: Bytes of text table for each bucket of the hash range.
 BUCKET_BYTES = 4 << 20
+#: Tasks that the copies of one text are spread over when they learn their class, and what stands for a missing doc_id there.
+SALTS, NO_ID = 8, (1 << 63) - 1
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -166,8 +169,11 @@ def joined(sets: list[list[int]], sizes: list[int], first: list[bool], within: b
 
 
 def _table_bytes(df: DataFrame) -> int:
-    """Spark's estimate for the scan; it only chooses how many buckets there are."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's estimate for the scan, 0 on a session that does not give it; it only chooses how many buckets there are."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except (AttributeError, PySparkException):  # a remote session has no plan to ask
+        return 0
 
 
 def shared_sets(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -321,10 +327,20 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 3, den: int =
     """
     every = materialise(shared_sets(docs, width, num, den, id_column, text_column), "sets")
     sets = every.filter("tokens is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("prefix").alias("prefix"))
-    classes = components(trie_links(materialise(sets, "candidates"), num, den))
-    rooted = every.select("doc_id", "text_hash", "n", "node").join(classes, "node", "left").withColumn("root", F.coalesce("label", "node"))
-    smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(smallest, "root", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.expr("if(root is null, doc_id, component_id)").alias("component_id"), F.col("root").alias("class_id"))
+    links = trie_links(materialise(sets, "candidates"), num, den)
+    # a set goes by its smallest doc_id (null last) and its hash, so that a component's label names its smallest doc_id
+    own = every.filter("node is not null").groupBy("node").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("least"), F.count(F.lit(1)).alias("texts"))
+    named = own.select("node", F.struct("least", "node").alias("name"))
+    ends = links.join(named.withColumnsRenamed({"node": "a", "name": "of_a"}), "a").join(named.withColumnsRenamed({"node": "b", "name": "of_b"}), "b")
+    classes = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select("node.node", "label")
+    # sets of one text without links are their own class: nothing to look up. The others are there for each salt, so that many copies of a text are several tasks
+    shared = own.join(classes, "node", "left").filter("texts > 1 or label is not null").select("node", F.coalesce("label", F.struct("least", "node")).alias("label"))
+    shared = shared.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = every.select("doc_id", "text_hash", "n", "node", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = salted.join(materialise(shared, "classes"), ["node", "salt"], "left")
+    return found.select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.expr(f"if(label is null, doc_id, nullif(label.least, {NO_ID}))").alias("component_id"), F.coalesce("label.node", "node").alias("class_id")
+    )
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -332,9 +348,9 @@ def one_of_each(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, id_
     classes = materialise(similarity_classes(docs, width, num, den, id_column, text_column), "classes")
     kept = classes.filter("class_id is not null").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
     kept = kept.select("r.doc_id", "r.text_hash").unionByName(classes.filter("class_id is null").select("doc_id", "text_hash")).distinct()
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    own = docs.withColumns({"_row_id": F.col(id_column).cast("long"), "_row_hash": F.xxhash64(text_column)})
-    own = own.join(kept, F.col("_row_hash").eqNullSafe(F.col("_hash")) & F.col("_row_id").eqNullSafe(F.col("_id")), "left_semi")
     words = F.regexp_like(F.coalesce(F.col(text_column), F.lit("")), F.lit(WORD))
-    first = F.expr("row_number() over (partition by _row_hash, _row_id order by _row_hash) = 1")
-    return own.withColumn("_first", first).filter(F.col("_first") | ~words).select(*docs.columns)
+    own = docs.select(F.struct("*").alias("row"), F.col(id_column).cast("long").alias("id"), F.xxhash64(text_column).alias("hash"), F.when(words, 0).otherwise(F.monotonically_increasing_id() + 1).alias("apart"))
+    own = own.join(kept, F.col("hash").eqNullSafe(F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    # of rows alike in id and text one stays: each task hands on one of them at most
+    first = F.row_number().over(Window.partitionBy("hash", "id", "apart").orderBy("hash"))
+    return own.withColumn("place", first).filter("place = 1").select(*[F.col("row")[c].alias(c) for c in docs.columns])
