@@ -7,15 +7,15 @@
 3. That stretch is cut into blocks of equal words. A tree halves the shards; at each node the blocks for the left half
    are a draw without replacement from the node's blocks, so their counts by source follow the multivariate
    hypergeometric law and every quota comes out exactly. A source's blocks are permuted and dealt to its shards' quotas in turn.
+4. A copy of a document goes to its block's shard and has a place there, drawn anew.
 
-Everything is DataFrame and SQL expressions. Only step 2 orders documents, by ranges, so a source with a third of them is
-many ranges. The tree is one row that holds a number for each source, and takes about ``blocks_per_shard * shards`` steps
-a level: the list of mixed sources must fit a row.
+Everything is DataFrame and SQL expressions, and draws are md5 orders, so any engine gets the same mix. Only step 2 orders
+documents, by ranges, so a source with a third of them is many ranges. The tree's work follows ``blocks_per_shard * shards``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidencelake.llm.common import WORD, running_sums
@@ -24,12 +24,12 @@ from evidencelake.session import materialise
 WEIGHTS = (3, 1, 2)
 
 
-def document_sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """doc_id, source, size (words of the whole text, null: 0) and a hash of the text."""
+def document_sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", mark: Column | None = None) -> DataFrame:
+    """doc_id, source, size (words of the whole text, null: 0) and mark (default: a hash of the text)."""
     text = F.col(text_column)
     return docs.select(
         F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.xxhash64(text) if mark is None else mark).alias("mark"),
     )
 
 
@@ -59,84 +59,89 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return filled.select("source", "source_size", "rank", "source_start", "weight", target.alias("target"))
 
 
-_DRAW = """aggregate(quotas,
-    named_struct('total', total, 'need', need, 'drawn', cast(array() as array<bigint>)),
-    (s, x) -> transform(array(aggregate(
-        if(x.q > 0L, sequence(1L, x.q), cast(array() as array<bigint>)),
-        named_struct('total', s.total, 'need', s.need, 'k', 0L),
-        (t, i) -> if(pmod(xxhash64({seed}, lo, width, x.rank, i), t.total) < t.need,
-            named_struct('total', t.total - 1L, 'need', t.need - 1L, 'k', t.k + 1L),
-            named_struct('total', t.total - 1L, 'need', t.need, 'k', t.k)))),
-        r -> named_struct('total', r.total, 'need', r.need, 'drawn', concat(s.drawn, array(r.k))))[0],
-    s -> s.drawn)"""
+def drawn_by(*parts: str | Column) -> Column:
+    """The order in which things are drawn: the md5 of the parts with colons between; nulls are empty."""
+    return F.md5(F.concat_ws(":", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]))
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
-    """One row (quotas: array of rank and q) to one row (shard, quotas) per shard, by the splitting tree.
+    """From (rank, q), the number of blocks of each source, to (shard, rank, token): the tree's leaves, one row for each block a shard gets of a source.
 
-    A node's left half gets its share of the node's blocks, rounded down. Each block in turn is drawn with the
-    probability needed / left, which makes the counts of all sources together multivariate hypergeometric.
+    A node stands for ``width`` shards from ``lo`` on. Its left half gets its share of the node's blocks, rounded down, drawn without replacement: all of them in the
+    order of an md5, the first ones to the left. That makes the counts of all sources together multivariate hypergeometric, and every quota exact. A level's work is a window over the node's blocks,
+    whose number follows shards and blocks a shard, not documents.
     """
-    nodes = quotas.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("width"), "quotas")
+    nodes = quotas.filter("q > 0").select("rank", F.explode(F.sequence(F.lit(1).cast("long"), "q")).alias("token"), F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("width"))
     for _ in range(max(0, (shards - 1).bit_length())):
-        nodes = nodes.withColumns({"left": F.expr("width div 2"), "total": F.expr("aggregate(quotas, 0L, (s, x) -> s + x.q)")})
-        nodes = nodes.withColumn("need", F.expr("total * left div width"))
-        nodes = nodes.withColumn("drawn", F.expr(f"if(left = 0L, cast(array() as array<bigint>), {_DRAW.format(seed=f'{seed}L')})"))
-        half = "named_struct('lo', {lo}, 'width', {width}, 'quotas', transform(quotas, (x, i) -> named_struct('rank', x.rank, 'q', {q})))"
-        left, right = half.format(lo="lo", width="left", q="drawn[i]"), half.format(lo="lo + left", width="width - left", q="x.q - drawn[i]")
-        nodes = nodes.select(F.explode(F.expr(f"if(left = 0L, array(named_struct('lo', lo, 'width', width, 'quotas', quotas)), array({left}, {right}))")).alias("n")).select("n.*")
-    return nodes.select(F.col("lo").alias("shard"), "quotas")
-
-
-def _block_shards(targets: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
-    """Per source rank the shard of each of its blocks, as an array."""
+        node = Window.partitionBy("lo")
+        nodes = nodes.withColumns({
+            "left": F.expr("width div 2"), "total": F.count(F.lit(1)).over(node),
+            "place": F.row_number().over(node.orderBy(drawn_by(F.lit(seed), "lo", "width", "rank", "token"), "rank", "token")),
+        })
+        left = F.col("place") <= F.expr("total * left div width")
+        nodes = nodes.select(
+            "rank", "token", F.when((F.col("left") == 0) | left, F.col("lo")).otherwise(F.col("lo") + F.col("left")).alias("lo"),
+            F.when(F.col("left") == 0, F.col("width")).when(left, F.col("left")).otherwise(F.col("width") - F.col("left")).alias("width"),
+        )
+    return nodes.select(F.col("lo").alias("shard"), "rank", "token")
+
+
+def deal_blocks(targets: DataFrame, block: int, shards: int, seed: int) -> DataFrame:
+    """(rank, block, shard): each source's blocks, in a permutation of their own, dealt to the shards' quotas in turn."""
     quotas = targets.select("rank", F.ceil(F.col("target") / block).cast("long").alias("q"))
-    one = quotas.agg(F.array_sort(F.collect_list(F.struct("rank", "q"))).alias("quotas"))
-    leaves = split_quotas(one, shards, seed).select("shard", F.explode("quotas").alias("x")).select("shard", "x.rank", "x.q")
-    dealt = leaves.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "q"))).alias("dealt"))
-    slots = dealt.select("rank", F.expr("flatten(transform(dealt, x -> array_repeat(x.shard, cast(x.q as int))))").alias("slots"))
-    order = f"array_sort(transform(sequence(0, size(slots) - 1), b -> named_struct('h', xxhash64({seed}L, rank, b), 'b', b)))"
-    pairs = f"if(size(slots) = 0, cast(array() as array<struct<b:int,shard:bigint>>), transform({order}, (x, i) -> named_struct('b', x.b, 'shard', slots[i])))"
-    return slots.select("rank", F.expr(f"transform(array_sort({pairs}), p -> p.shard)").alias("shard_of_block"))
+    source = Window.partitionBy("rank")
+    leaves = split_quotas(quotas, shards, seed).withColumn("turn", F.row_number().over(source.orderBy("shard", "token")))
+    blocks = quotas.filter("q > 0").select("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("block"))
+    permuted = blocks.withColumn("turn", F.row_number().over(source.orderBy(drawn_by(F.lit(seed), "rank", "block"), "block")))
+    return permuted.join(leaves, ["rank", "turn"]).select("rank", "block", "shard")
 
 
 def plan_mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, shards: int | None = None, blocks_per_shard: int = 64, seed: int = 0,
-    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", mark: Column | None = None,
 ) -> DataFrame:
-    """Per document: doc_id, source, size, text_hash, source_size, target (its source's) and shards: one for each time that it is taken.
+    """Per document: doc_id, source, size, mark, source_size, target (its source's), and shards and places: one of each for each time that it is taken.
 
-    ``shards`` defaults to the session's number of shuffle partitions; it has no influence on what is taken. The same
-    rows give the same mix in every run. Null texts and texts without words have size 0 and are taken when their place is before the target; a
-    null source is a source; repeated rows are rows of their own; other columns are ignored. No rows give no rows.
+    A block is the documents that begin in one of the equal stretches of a source's target; the tree decides which shard it goes to, and so do all copies of its documents. A copy's place orders it within
+    its shard. ``shards`` defaults to the session's number of shuffle partitions. ``mark`` tells rows of equal id and source apart (default: the text's hash). The same rows give the same mix in every run.
+    Null texts and texts without words have size 0 and are taken when their place is before the target; a null source is a source; repeated rows are rows of their own; other columns are ignored.
+    No rows give no rows.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = materialise(document_sizes(docs, id_column, text_column, source_column), "sizes")
+    sizes = materialise(document_sizes(docs, id_column, text_column, source_column, mark), "sizes")
     targets = materialise(source_targets(sizes, weights, share, most), "targets")
-    taken = targets.agg(F.sum("target")).first()[0] or 0.0
+    taken = targets.agg(F.round(F.sum("target"), 3)).first()[0] or 0.0
     block = max(1, -int(-taken // (shards * blocks_per_shard)))
-    sources = materialise(targets.join(_block_shards(targets, block, shards, seed), "rank"), "mixture").withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source", "rank", "weight")
-    shuffled = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    placed = running_sums(sizes, [*_by_source(), shuffled, F.col("doc_id"), F.col("size"), F.col("text_hash")], {"place": "size"})
-    placed = placed.withColumn("_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).join(sources, "_key")
+    dealt = deal_blocks(targets, block, shards, seed).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("block", "shard"))).alias("b")).select("rank", F.col("b.shard").alias("shard_of_block"))
+    sources = targets.join(dealt, "rank", "left").select(source_key(F.col("source")).alias("key"), "source_start", "source_size", "target", "shard_of_block")
+    placed = running_sums(sizes, [*_by_source(), drawn_by("doc_id", F.lit(seed)), F.col("doc_id"), F.col("size"), F.col("mark")], {"place": "size"})
+    placed = placed.withColumn("key", source_key(F.col("source"))).join(materialise(sources, "mixture"), "key")
     start = "(place - source_start + e * source_size)"
-    copies = f"transform(filter(sequence(0, {most - 1}), e -> {start} + size / 2 < target), e -> shard_of_block[cast({start} div {block} as int)])"
-    return placed.select("doc_id", "source", "size", "text_hash", "source_size", "target", F.expr(copies).alias("shards"))
+    copies = F.expr(f"transform(filter(sequence(0, {most - 1}), e -> {start} + size / 2 < target), e -> named_struct('e', e, 'shard', shard_of_block[cast({start} div {block} as int)]))")
+    placed = placed.select("doc_id", "source", "size", "mark", "source_size", "target", copies.alias("copies"))
+    places = F.transform("copies", lambda c: drawn_by(F.lit(seed), c["shard"], "doc_id", c["e"]))
+    return placed.select("doc_id", "source", "size", "mark", "source_size", "target", F.col("copies.shard").alias("shards"), places.alias("places"))
+
+
+def source_key(source: Column) -> Column:
+    """A source as a text that joins, null too."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **plan) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, each as often as it is taken, dealt to the shards and shuffled within each.
+    """The rows of ``docs`` that the mix takes, each as often as it is taken, dealt to the shards and shuffled within each: partitions, and files written from them, hold the shards in order.
 
-    All columns stay. Rows alike in id, source and text share their copies between them in any order.
+    All columns stay, whatever their names. Rows alike in all columns share their copies between them. What null, empty and repeated rows do is said at :func:`plan_mix`; an empty table stays empty.
     """
-    seed = plan.get("seed", 0)
-    drawn = plan_mix(docs, id_column=id_column, text_column=text_column, source_column=source_column, **plan)
-    keys = {"_k0": F.coalesce(F.col(id_column).cast("string"), F.lit("")), "_k1": F.coalesce(F.concat(F.lit("="), F.col(source_column)), F.lit("")), "_k2": F.xxhash64(text_column)}
-    of_plan = {"_k0": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_k1": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), "_k2": F.col("text_hash")}
-    # rows alike in all three: the i-th of them gets the i-th list
-    drawn = drawn.select(*[c.alias(k) for k, c in of_plan.items()], "shards").groupBy(*of_plan).agg(F.sort_array(F.collect_list("shards")).alias("_lists"))
-    numbered = docs.withColumns(keys).join(drawn, list(keys)).withColumn("_i", F.expr("row_number() over (partition by _k0, _k1, _k2 order by _k2)"))
-    copies = numbered.withColumn("_shard", F.explode(F.expr("_lists[_i - 1]")))
-    local = F.xxhash64(F.lit(seed), "_shard", "_k0", "_k1", "_k2")
-    return copies.withColumn("_local", local).repartitionByRange("_shard", "_local").sortWithinPartitions("_shard", "_local").select(*docs.columns)
+    every = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    drawn = plan_mix(docs, id_column=id_column, text_column=text_column, source_column=source_column, mark=every, **plan)
+    copies = drawn.select(F.col("doc_id").cast("string").alias("id"), "mark", F.explode(F.arrays_zip("shards", "places")).alias("c"))
+    counted = copies.groupBy(F.coalesce("id", F.lit("")).alias("id"), "mark", F.col("c.shards").alias("shard"), F.col("c.places").alias("place")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    lists = counted.groupBy("id", "mark").agg(F.collect_list(F.struct("shard", "place", "n")).alias("copies"))
+    own = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), every.alias("mark"))
+    # of rows alike in all columns, one carries the copies of all: each task hands on one of them at most
+    one = own.withColumn("first", F.row_number().over(Window.partitionBy("id", "mark").orderBy("mark"))).filter("first = 1")
+    taken = one.join(lists, ["id", "mark"]).select("row", F.explode("copies").alias("c"))
+    taken = taken.select("row", F.col("c.shard").alias("shard"), F.col("c.place").alias("place"), F.explode(F.sequence(F.lit(1), F.col("c.n"))).alias("i"))
+    return taken.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select(*[F.col("row")[c].alias(c) for c in docs.columns])

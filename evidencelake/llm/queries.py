@@ -38,25 +38,46 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_MIX_SQL = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+#: Output shards of the mix, and blocks in each.
+MIX_SHARDS, MIX_BLOCKS = 64, 64
+
+
+def _mix_sql() -> str:
+    """The targets by water filling, then the tree, a table for each level."""
+    levels = ""
+    for level in range((MIX_SHARDS - 1).bit_length()):
+        levels += f"""
+drawn{level} AS (SELECT *, width // 2 AS half, row_number() OVER (PARTITION BY lo ORDER BY md5('0:' || lo || ':' || width || ':' || rank || ':' || token), rank, token) <= count(*) OVER (PARTITION BY lo) * (width // 2) // width AS goes_left FROM nodes{level}),
+nodes{level + 1} AS (SELECT rank, token, CASE WHEN half = 0 OR goes_left THEN lo ELSE lo + half END AS lo, CASE WHEN half = 0 THEN width WHEN goes_left THEN half ELSE width - half END AS width FROM drawn{level}),"""
+    copy = lambda e, column: f"SELECT row, {e} AS e, {column} AS place FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source WHERE {column} + placed.size / 2.0::DOUBLE < target"
+    return rf"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, row_number() OVER () AS row FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM sized GROUP BY source),
 weighted AS (SELECT *, 2 * source_size AS cap, CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, sum(source_size) OVER () * 1.5::DOUBLE AS budget, sum(CASE rank % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END) OVER () AS weights FROM sources),
 filled AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS caps_before, coalesce(sum(weight) OVER w, 0) AS weights_before FROM weighted WINDOW w AS (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 judged AS (SELECT *, cap * (weights - weights_before)::DOUBLE <= weight * (budget - caps_before) AS whole FROM filled),
 level AS (SELECT (max(budget) - coalesce(sum(cap) FILTER (whole), 0)) / sum(weight) FILTER (NOT whole) AS level FROM judged),
-targets AS (SELECT source, source_size, CASE WHEN whole THEN cap::DOUBLE ELSE least(cap::DOUBLE, weight * level) END AS target FROM judged, level),
-placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || ':0'), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM sized)
-SELECT p.doc_id, p.size, t.source_size, t.target,
-  (p.size * ((p.place + p.size / 2.0::DOUBLE < t.target)::BIGINT + (p.place + t.source_size + p.size / 2.0::DOUBLE < t.target)::BIGINT))::BIGINT AS taken
-FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source"""
-
-
-@query(_MIX_SQL)
+targets AS (SELECT source, source_size, rank, CASE WHEN whole THEN cap::DOUBLE ELSE least(cap::DOUBLE, weight * level) END AS target FROM judged, level),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':0'), doc_id NULLS FIRST, size, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM sized),
+stretch AS (SELECT greatest(1, ceil(round(sum(target), 3) / {MIX_SHARDS * MIX_BLOCKS}))::BIGINT AS words FROM targets),
+quotas AS (SELECT rank, ceil(target / words)::BIGINT AS q FROM targets, stretch),
+nodes0 AS (SELECT rank, unnest(range(1, q + 1)) AS token, 0::BIGINT AS lo, {MIX_SHARDS}::BIGINT AS width FROM quotas),{levels}
+leaves AS (SELECT rank, lo AS shard, row_number() OVER (PARTITION BY rank ORDER BY lo, token) AS turn FROM nodes{(MIX_SHARDS - 1).bit_length()}),
+permuted AS (SELECT rank, block, row_number() OVER (PARTITION BY rank ORDER BY md5('0:' || rank || ':' || block), block) AS turn FROM (SELECT rank, unnest(range(0, q)) AS block FROM quotas)),
+dealt AS (SELECT rank, block, shard FROM permuted JOIN leaves USING (rank, turn)),
+copies AS ({copy(0, "before")} UNION ALL {copy(1, "before + source_size")}),
+given AS (SELECT c.row, e, shard FROM copies c JOIN placed p USING (row) JOIN targets t ON p.source IS NOT DISTINCT FROM t.source CROSS JOIN stretch JOIN dealt d ON d.rank = t.rank AND d.block = c.place // words),
+listed AS (SELECT row, count(*) AS n, string_agg(shard || '/' || left(md5('0:' || shard || ':' || coalesce(doc_id::VARCHAR, '') || ':' || e), 8), ',' ORDER BY e) AS placed_in FROM given JOIN placed USING (row) GROUP BY row)
+SELECT p.doc_id, p.size, t.source_size, t.target, (p.size * coalesce(n, 0))::BIGINT AS taken, coalesce(placed_in, '') AS placed_in
+FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source LEFT JOIN listed USING (row)"""
+
+
+@query(_mix_sql())
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed to weights 3, 1, 2 by source: doc_id, size, source_size, target, taken."""
-    drawn = mixing.plan_mix(table(spark, sf_dir, "documents"))
-    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
+    """All documents mixed to weights 3, 1, 2 by source: doc_id, size, source_size, target, taken, and placed_in: shard and place there of each copy."""
+    drawn = mixing.plan_mix(table(spark, sf_dir, "documents"), shards=MIX_SHARDS, blocks_per_shard=MIX_BLOCKS)
+    spots = F.array_join(F.transform(F.arrays_zip("shards", "places"), lambda c: F.concat(c["shards"].cast("string"), F.lit("/"), F.left(c["places"], F.lit(8)))), ",")
+    return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), spots.alias("placed_in"))
 
 
 #: Of the public tokenizer ``word_bpe_49k.json``: ids are below this, and the id that closes a document.

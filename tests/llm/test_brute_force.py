@@ -343,21 +343,52 @@ def test_mix_repeated_rows(spark, messy):
 
 
 def test_split_quotas(spark):
-    one = spark.sql("select array(named_struct('rank', 0L, 'q', 40L), named_struct('rank', 1L, 'q', 0L), named_struct('rank', 2L, 'q', 25L)) as quotas")
-    halves = [r for seed in range(60) for r in [mixing.split_quotas(one, 2, seed)]]
-    left = []
-    for df in halves[:1]:
-        rows = df.collect()
-        assert [sum(r.quotas[k].q for r in rows) for k in range(3)] == [40, 0, 25] and sum(x.q for x in rows[0].quotas) == 32
-    # the mean of a hypergeometric draw: 32 * 40 / 65
+    quotas = spark.createDataFrame([(0, 40), (1, 0), (2, 25)], "rank long, q long")
+    halves = [mixing.split_quotas(quotas, 2, seed).withColumn("seed", F.lit(seed)) for seed in range(60)]
     union = halves[0]
     for df in halves[1:]:
         union = union.unionByName(df)
-    left = [r.quotas[0].q for r in union.filter("shard = 0").collect()]
+    counts = {(r.seed, r.shard, r["rank"]): r["count"] for r in union.groupBy("seed", "shard", "rank").count().collect()}
+    for seed in range(60):
+        assert counts[seed, 0, 0] + counts[seed, 1, 0] == 40 and counts[seed, 0, 2] + counts[seed, 1, 2] == 25 and counts[seed, 0, 0] + counts[seed, 0, 2] == 32
+    # the mean of a hypergeometric draw: 32 * 40 / 65
+    left = [counts[seed, 0, 0] for seed in range(60)]
     assert abs(np.mean(left) - 32 * 40 / 65) < 1.2 and len(set(left)) > 3
-    shards = mixing.split_quotas(one, 5).collect()
-    sizes = [sum(x.q for x in r.quotas) for r in shards]
-    assert [r.shard for r in shards] == list(range(5)) and sum(sizes) == 65 and max(sizes) - min(sizes) <= 1
+    leaves = mixing.split_quotas(quotas, 5).collect()
+    sizes = Counter(r.shard for r in leaves)
+    assert sorted(sizes) == list(range(5)) and sum(sizes.values()) == 65 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert len({(r["rank"], r.token) for r in leaves}) == 65
+
+
+def test_blocks_decide_shards(spark):
+    """Every block goes to one shard, a shard gets its exact quotas, and all copies of a block's documents are there; places order them anew."""
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    sizes = mixing.document_sizes(docs)
+    targets = mixing.source_targets(sizes)
+    total = sum(r.target for r in targets.collect())
+    block = -int(-round(total, 3) // (6 * 8))
+    dealt = {(r["rank"], r.block): r.shard for r in mixing.deal_blocks(targets, block, 6, 0).collect()}
+    quotas = {r["rank"]: math.ceil(r.target / block) for r in targets.collect()}
+    assert sorted(dealt) == sorted((k, b) for k, q in quotas.items() for b in range(q))
+    leaves = Counter((r.shard, r["rank"]) for r in mixing.split_quotas(targets.select("rank", F.ceil(F.col("target") / block).cast("long").alias("q")), 6).collect())
+    assert Counter((s, k) for (k, _), s in dealt.items()) == leaves
+    by_source = {}
+    for r in mixing.plan_mix(docs, shards=6, blocks_per_shard=8).collect():
+        by_source.setdefault(r.source, []).append(r)
+    ranks = {r.source: (r["rank"], r.target, r.source_size) for r in targets.collect()}
+    import hashlib
+
+    for source, rows in by_source.items():
+        rank, target, words = ranks[source]
+        place = 0
+        for r in sorted(rows, key=lambda r: (hashlib.md5(f"{r.doc_id}:0".encode()).hexdigest(), r.doc_id)):
+            starts = [place + e * words for e in (0, 1) if place + e * words + r.size / 2 < target]
+            assert r.shards == [dealt[rank, s // block] for s in starts]
+            assert r.places == [hashlib.md5(f"0:{s}:{r.doc_id}:{e}".encode()).hexdigest() for e, s in enumerate(r.shards)]
+            place += r.size
+    mixed = [r.doc_id for r in mixing.mix(docs, shards=6, blocks_per_shard=8).collect()]
+    want = sorted((s, p, r.doc_id) for rows in by_source.values() for r in rows for s, p in zip(r.shards, r.places))
+    assert mixed == [d for _, _, d in want]
 
 
 def test_running_sums(spark):
