@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # A key holding a third of the rows is split by AQE even if a later stage wants the same partitioning.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Texts can be long: what Python is handed at a time is bounded by bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
