@@ -80,6 +80,79 @@ def test_tiles(doc, item):
     assert (found[0][2] if found else 0) == tiling(doc, item, 3)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=60), st.lists(st.sampled_from("abc"), min_size=2, max_size=25), st.integers(1, 4))
+def test_tiles_in_order(doc, item, tile):
+    """The very tiles of the definition, one by one, with and without seeds."""
+    a, b, want = [False] * len(doc), [False] * len(item), []
+    while True:
+        best = (tile - 1, 0, 0)
+        for i, j in itertools.product(range(len(doc)), range(len(item))):
+            k = 0
+            while i + k < len(doc) and j + k < len(item) and doc[i + k] == item[j + k] and not a[i + k] and not b[j + k]:
+                k += 1
+            best = max(best, (k, -i, -j))
+        k, i, j = best[0], -best[1], -best[2]
+        if k < tile:
+            break
+        a[i : i + k] = b[j : j + k] = [True] * k
+        want.append((i, j, k))
+    own, other = (word_hashes(decontaminate.folded).of(" ".join(x).encode()) for x in (doc, item))
+    assert decontaminate.tiles(own, other, tile) == want
+    if len(item) >= tile:
+        assert decontaminate.tiles(own, other, tile, decontaminate.rolling(own, tile)) == want
+
+
+@pytest.mark.parametrize("item", ["x " * 1000, ("x " * 40 + "y ") * 24, " ".join(f"w{i}" for i in range(50)) + " x" * 500, "x y z " * 300])
+def test_tiles_of_repetitive_texts(item):
+    """A million equal words, or equal phrases, against a long item: linear memory, a few seconds."""
+    import time
+    import tracemalloc
+
+    hashes = word_hashes(decontaminate.folded)
+    block = decontaminate.Block([(7, hashes.of(item.encode()))], 5)
+    for phrase in ("x ", "x y z ", " ".join(f"w{i}" for i in range(50)) + " "):
+        text = (phrase * (1_000_000 // len(phrase.split()))).encode()
+        words = hashes.of(text)
+        started = time.time()
+        decontaminate.tiles(words, block.words[0], 5, decontaminate.rolling(words, 5))
+        assert time.time() - started < 10
+        words = words[:200_000]
+        tracemalloc.start()  # tracing makes it several times slower
+        decontaminate.tiles(words, block.words[0], 5, decontaminate.rolling(words, 5))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6
+
+
+def brute_matches(docs, items, tile=5, coverage=0.5):
+    """Every document against every item, by the definition."""
+    fold = lambda t: [w for w in (decontaminate.folded(w) for w in (t or "").encode().split()) if w]
+    out = []
+    for doc, text in docs:
+        words = fold(text)
+        seeds = {tuple(words[i : i + tile]) for i in range(len(words) - tile + 1)}
+        for item_id, item in items:
+            own = fold(item)
+            if not any(tuple(own[j : j + tile]) in seeds for j in range(len(own) - tile + 1)):
+                continue
+            n = tiling(words, own, tile)
+            if n >= coverage * len(own):
+                out.append((doc, item_id, n / len(own)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("fixture", ["messy", "given"])
+def test_whole_decontamination(spark, messy, fixture):
+    """The whole query against brute force, but for the longest texts, where the definition takes too long."""
+    root = messy if fixture == "messy" else ROOT
+    docs = [(r.doc_id, r.text) for r in texts_of(spark, root) if len(r.text or "") < 6_000]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{root}/benchmark.parquet").collect()]
+    short = spark.read.parquet(f"{root}/documents.parquet").filter("text is null or length(text) < 6000")
+    got = [(r.doc_id, r.item_id, r.coverage) for r in decontaminate.benchmark_matches(short, spark.read.parquet(f"{root}/benchmark.parquet")).collect()]
+    assert sorted(got, key=repr) == brute_matches(docs, items) and got
+
+
 def test_decontamination(spark, messy):
     docs, bench = spark.read.parquet(f"{messy}/documents.parquet"), spark.read.parquet(f"{messy}/benchmark.parquet")
     words = PHRASE.split()
