@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import batches_of, held, small_batches
+from evidencelake.llm.common import batches_of, held
 
 FILE_SCHEMA = "shard int, block int, first long, width int, doc_ids array<long>, ends array<long>, payload binary"
 #: Ids after which a block is closed at the end of a document.
@@ -130,7 +130,6 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, vocabular
     """
     width = width_of(max(vocabulary, end_id + 1))
     end = np.array([end_id], dtype="<u4").tobytes()
-    small_batches(docs.sparkSession)
 
     def encode(batches) -> Iterator:
         import pyarrow as pa
@@ -185,7 +184,6 @@ def document_digests(blocks: DataFrame) -> DataFrame:
                     "n_tokens": pa.array(ends - starts, pa.int64()), "ids_crc32": pa.array([zlib.crc32(data[4 * i : 4 * j]) for i, j in zip(starts.tolist(), ends.tolist())], pa.int64()),
                 })
 
-    small_batches(blocks.sparkSession, 8)
     # one row per shard: as many as the writer had tasks
     sizes = blocks.groupBy("shard").agg(F.max(F.col("first") + F.element_at("ends", -1)).alias("ids"))
     before = sizes.select("shard", F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -15,11 +15,6 @@ from evidencelake.session import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts can be long: hand Python few rows at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def hash_bits(spark: SparkSession, times: float) -> int:
     """Leading bits of a hash that deal it to at least ``times`` buckets per shuffle partition of the session."""
     return min(24, max(1, (math.ceil(times * int(spark.conf.get("spark.sql.shuffle.partitions"))) - 1).bit_length()))

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import batches_of, held, small_batches
+from evidencelake.llm.common import batches_of, held
 from evidencelake.llm.decontaminate import folded
 from evidencelake.session import materialise
 
@@ -231,7 +231,6 @@ def fit(labelled: DataFrame, file: str, smoothing: float = 0.1, rounds: int = 2,
         return [], np.zeros((0, 0))
     vocabulary = pieces_of(file).unknown + 1
     probs = np.full((vocabulary, len(langs)), 1 / vocabulary)
-    small_batches(words.sparkSession, 5_000)
     for _ in range(rounds):
         sent = words.sparkSession.sparkContext.broadcast((langs, probs))
 
@@ -256,7 +255,6 @@ def fit(labelled: DataFrame, file: str, smoothing: float = 0.1, rounds: int = 2,
         mass = np.full((vocabulary, len(langs)), smoothing)
         mass[found.piece, found.lang] += found.mass
         probs = mass / mass.sum(axis=0)
-    small_batches(words.sparkSession)
     return langs, probs
 
 
@@ -280,7 +278,6 @@ def identify(docs: DataFrame, langs: list[str], probs: np.ndarray, file: str, id
     """
     own = docs.select(F.col(id_column).alias("doc_id"), *[c.alias(n) for n, c in (extra or {}).items()], F.col(text_column).alias("_text"))
     spark = docs.sparkSession
-    small_batches(spark)
     key = f"{spark.sparkContext.applicationId}-{id(probs)}-{hash(probs.tobytes())}"
     sent = spark.sparkContext.broadcast((key, langs, probs))
     keep, columns = len(own.columns) - 1, own.columns[:-1]

@@ -22,7 +22,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import WORD, batches_of, mix64, rolling, small_batches, word_hashes
+from evidencelake.llm.common import WORD, batches_of, mix64, rolling, word_hashes
 from evidencelake.llm.components import components
 from evidencelake.session import materialise
 
@@ -182,7 +182,6 @@ def shared_sets(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, id_
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash"))
     least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _table_bytes(own) // BUCKET_BYTES)
     bits = max(1, min(20, (least - 1).bit_length()))
-    small_batches(spark)
 
     def send(batches) -> Iterator:
         import pyarrow as pa

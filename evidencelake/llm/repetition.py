@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidencelake.llm.common import batches_of, mix64, small_batches, word_hashes
+from evidencelake.llm.common import batches_of, mix64, word_hashes
 
 BLANKS, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Words of texts that are sorted together; a longer text is sorted alone.
@@ -146,7 +146,6 @@ def repetition(docs: DataFrame, text_column: str = "text", limits: Limits = Limi
     made = [c.split()[0] for c in schema.split(", ")]
     keep = [c for c in (columns if columns is not None else docs.columns) if c not in made]
     carried = docs.select(*keep, F.col(text_column).alias("_text"))
-    small_batches(docs.sparkSession)
 
     def measure(batches) -> Iterator:
         import pyarrow as pa
@@ -161,7 +160,6 @@ def repetition(docs: DataFrame, text_column: str = "text", limits: Limits = Limi
 def drop_repetitive(docs: DataFrame, text_column: str = "text", limits: Limits = Limits()) -> DataFrame:
     """The rows that ``repetition`` keeps, with their columns as they are."""
     at = docs.columns.index(text_column)
-    small_batches(docs.sparkSession)
 
     def clean(batches) -> Iterator:
         import pyarrow as pa
