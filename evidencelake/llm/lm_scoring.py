@@ -1,10 +1,11 @@
 """Cross-entropy difference: how much more like a target set than like the rest a text is, by two matched n-gram models.
 
 Both models are bigram models over one shared vocabulary, the pieces of a public tokenizer: P(w | v) = (c(v, w) + k * P(w)) / (c(v) + k) with
-P(w) = (c(w) + a) / (c + a * vocabulary). One counts the target texts, the other all other texts. A text's score is the mean over its pieces of
-target loss - background loss, in bits: the lower, the more like the target.
+P(w) = (c(w) + a) / (c + a * vocabulary). One counts the target texts, the other all other texts. They are matched: the background's k and a are greater by as much as
+it has more pieces, so both trust their counts alike, as if the background had been scaled to the target's size. No text is scored by its own counts: they are taken out of
+its model first. A text's score is the mean over its pieces of target loss - background loss, in bits: the lower, the more like the target.
 
-Neither model is ever in one place. Texts are dealt to batches by a hash of their id. A batch sends each of its different n-grams once, with its own
+Neither model is ever in one place. Texts are dealt to batches. A batch sends each of its different n-grams once, with its own
 counts, to buckets of the n-gram hash; a bucket adds up what all batches sent and answers every batch, in the order asked; then the batch scores its texts.
 """
 
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 
 from evidencelake.llm.bitpack import encoder
 from evidencelake.llm.common import batches_of, hash_bits, mix64
-from evidencelake.llm.ngram_join import from_planes, to_planes
+from evidencelake.llm.ngram_join import from_planes, table_bytes, to_planes
 
-#: Batches of texts, and buckets of n-grams, for each shuffle partition: each is handled in memory. A batch sends a row to each bucket, so there are few buckets.
-BATCHES, BUCKETS = 4, 0.25
+#: Bytes of the text table for each batch of texts and each bucket of n-grams: each is handled in memory. A batch sends a row to each bucket, so there are fewer buckets.
+BATCH_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: At least so many for each shuffle partition, and batches that texts of one id are spread over.
+BATCHES, BUCKETS, SPREAD = 4, 0.25, 8
 _BITS = 20
 _CONTEXT, _WORD, _ALL = (np.uint64(k << 2 * _BITS) for k in (1, 2, 3))
 
@@ -57,6 +60,17 @@ def asked(rows, file: str, direct: bool, opening: int):
     return [np.concatenate(x) for x in zip(*every)]
 
 
+def own_counts(owner: np.ndarray, key: np.ndarray, keys: int) -> np.ndarray:
+    """For each piece, how often its text holds its key; keys are numbered, texts follow one another."""
+    both = owner * keys + key
+    order = np.argsort(both, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(both[order]) != 0]))[: len(both)]
+    runs = np.diff(np.append(starts, len(both)))
+    out = np.empty(len(both), np.int64)
+    out[order] = np.repeat(runs, runs)
+    return out
+
+
 def bucketed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of keys by bucket and then key, and where the buckets' parts begin."""
     bucket = mix64(keys) >> np.uint64(64 - bits)
@@ -70,13 +84,18 @@ def cross_entropy_difference(
     """Per text: doc_id, n_tokens, target_bits and background_bits (mean loss per piece) and score, their difference.
 
     ``targets`` has the ids of the target texts in ``id_column``; ids that no text has, nulls and repeats do nothing. ``opening`` is the piece before a text's first; ``prior`` is k and ``add`` is a above. Whole texts
-    are counted and scored; a text's own counts are part of its model. Null texts and texts without pieces have 0 tokens and null figures. Repeated rows count as often as they occur. Without
-    target texts the target model is even. Other columns are ignored.
+    are counted and scored, each without its own counts. Null texts and texts without pieces have 0 tokens and null figures. Repeated rows count as often as they occur and are texts of their own. Without
+    target texts the target model is even; without any or without others, the models are not matched. Other columns are ignored. An empty table gives no rows.
     """
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    batch_bits, bits = hash_bits(docs.sparkSession, BATCHES), hash_bits(docs.sparkSession, BUCKETS)
-    marked = targets.select(F.col(id_column).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("kind")).filter("id is not null")
-    rows = own.withColumn("kind", F.lit(0)).unionByName(marked).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(1 << batch_bits)).cast("int"))
+    size = table_bytes(own)
+    batches, bits = max(1 << hash_bits(docs.sparkSession, BATCHES), size // BATCH_BYTES), max(hash_bits(docs.sparkSession, BUCKETS), min(20, (size // BUCKET_BYTES).bit_length()))
+    # a target id is told to all batches that texts of this id may be in
+    parts, spread = max(1, batches // SPREAD), F.pmod(F.xxhash64("text"), F.lit(SPREAD))
+    part = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text", F.lit("part")), F.lit(parts))).otherwise(F.pmod(F.xxhash64("id"), F.lit(parts)))
+    marked = targets.select(F.col(id_column).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("kind")).filter("id is not null").distinct()
+    marked = marked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("spread"))
+    rows = own.withColumns({"kind": F.lit(0), "spread": spread}).unionByName(marked).select("id", "text", "kind", (part * SPREAD + F.col("spread")).cast("int").alias("batch"))
 
     def send(key, table):
         import pyarrow as pa
@@ -105,18 +124,26 @@ def cross_entropy_difference(
     def score(table, replies):
         import pyarrow as pa
 
-        ids, sizes, _, owner, bigram, context, word = keys_of(table, tokenizer_file, direct, opening)
+        ids, sizes, target, owner, bigram, context, word = keys_of(table, tokenizer_file, direct, opening)
         parts = [np.unique(k, return_inverse=True) for k in (bigram, context, word)]
         keys = np.concatenate([*(p[0] for p in parts), np.array([_ALL])])
         order, _ = bucketed(keys, bits)
         replies = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-        means = []
+        totals, held = [], []
         for name in ("hits", "others"):
             counts = np.zeros(len(keys))
             counts[order] = np.concatenate([np.frombuffer(r[name], np.uint64) for r in replies]) if replies else 0
-            pair, before, single = np.split(counts[:-1], np.cumsum([len(p[0]) for p in parts])[:-1])
-            even = (single + add) / (counts[-1] + add * vocabulary)
-            loss = -np.log2((pair[parts[0][1]] + prior * even[parts[2][1]]) / (before[parts[1][1]] + prior))
+            totals.append(counts[-1])
+            held.append(np.split(counts[:-1], np.cumsum([len(p[0]) for p in parts])[:-1]))
+        matched = totals[1] / totals[0] if min(totals) > 0 else 1.0
+        of_text = [own_counts(owner, p[1], len(p[0])) for p in parts]
+        means = []
+        for side, scale in ((True, 1.0), (False, matched)):
+            mine = (target if side else ~target)[owner]
+            pair, before, single = (h[p[1]] - n * mine for h, p, n in zip(held[not side], parts, of_text))
+            total = totals[not side] - (sizes * (target if side else ~target))[owner]
+            even = (single + add * scale) / (total + add * scale * vocabulary)
+            loss = -np.log2((pair + prior * scale * even) / (before + prior * scale))
             means.append(np.bincount(owner, loss, len(ids)) / np.maximum(sizes, 1))
         empty = sizes == 0
         figures = [pa.array(m, pa.float64(), mask=empty) for m in (means[0], means[1], means[0] - means[1])]

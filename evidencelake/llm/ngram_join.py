@@ -168,19 +168,20 @@ def joined(sets: list[list[int]], sizes: list[int], first: list[bool], within: b
             yield from trie.link(x)
 
 
-def _table_bytes(df: DataFrame) -> int:
-    """Spark's estimate for the scan, 0 on a session that does not give it; it only chooses how many buckets there are."""
+def table_bytes(df: DataFrame) -> int:
+    """Spark's estimate for the scan, 0 where there is none (Spark then names a size beyond any table, a remote session nothing); it only chooses how many buckets there are."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except (AttributeError, PySparkException):  # a remote session has no plan to ask
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except (AttributeError, PySparkException):
         return 0
+    return size if size < 1 << 56 else 0
 
 
 def shared_sets(docs: DataFrame, width: int = 5, num: int = 3, den: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per text: doc_id, text_hash, n (n-grams), node (hash of its set, null if empty) and, if it may have a partner, tokens (its shared n-grams, rarest first) and prefix (those that a partner must share one of)."""
     spark = docs.sparkSession
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_hash"))
-    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _table_bytes(own) // BUCKET_BYTES)
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table_bytes(own) // BUCKET_BYTES)
     bits = max(1, min(20, (least - 1).bit_length()))
 
     def send(batches) -> Iterator:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evidencelake.llm import bitpack, decontaminate, language_id, mixing, ngram_join, repetition
+from evidencelake.llm import bitpack, decontaminate, language_id, lm_scoring, mixing, ngram_join, repetition
 from evidencelake.llm.common import running_sums, word_hashes
 from evidencelake.llm.components import components
 from evidencelake.llm.queries import QUERIES, tokenizer_file
@@ -46,14 +46,44 @@ def test_language_model(spark, messy, fixture):
                     before[a] += 1
                     word[b] += 1
         models.append((pair, before, word, sum(word.values())))
+    sizes = [m[3] for m in models]
+    matched = sizes[1] / sizes[0] if min(sizes) else 1
     want = []
     for doc, s in ids:
-        loss = [sum(-math.log2((p[a, b] + 5 * (w[b] + 0.5) / (n + 0.5 * 49_408)) / (c[a] + 5)) for a, b in zip([49_406, *s], s)) / len(s) if s else None for p, c, w, n in models]
+        own = (Counter(zip([49_406, *s], s)), Counter([49_406, *s][: len(s)]), Counter(s))
+        loss = []
+        for side, scale, (pair, before, word, n) in ((True, 1, models[0]), (False, matched, models[1])):
+            p, c, w, n = (pair - own[0], before - own[1], word - own[2], n - len(s)) if (doc in good) == side else (pair, before, word, n)
+            k, even = 5 * scale, lambda b: (w[b] + 0.5 * scale) / (n + 0.5 * scale * 49_408)
+            loss.append(sum(-math.log2((p[a, b] + k * even(b)) / (c[a] + k)) for a, b in zip([49_406, *s], s)) / len(s) if s else None)
         want.append((doc, len(s), *(None if x is None else round(x, 6) for x in loss)))
     got = [(r.doc_id, r.n_tokens, *(None if x is None else round(x, 6) for x in (r.target_bits, r.background_bits))) for r in QUERIES["op1_lm_difference"](spark, root).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_score_does_not_depend_on_being_a_target(spark):
+    """Good documents score alike whether they are among the targets or not, and better than the others."""
+    root = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    half = F.xxhash64("doc_id") % 2 == 0
+    means = []
+    for used in (good.filter(half), good.filter(~half)):
+        scored = lm_scoring.cross_entropy_difference(docs, used, tokenizer_file(), 49_408, opening=49_406, direct=True).filter("n_tokens > 0")
+        kind = F.when(F.col("doc_id").isin([r.doc_id for r in used.collect()]), "used").when(F.col("doc_id").isin([r.doc_id for r in good.collect()]), "unused").otherwise("rest")
+        means.append({r.kind: r.m for r in scored.groupBy(kind.alias("kind")).agg((F.sum(F.col("score") * F.col("n_tokens")) / F.sum("n_tokens")).alias("m")).collect()})
+    for m in means:
+        assert abs(m["used"] - m["unused"]) < 0.2 and max(m["used"], m["unused"]) < m["rest"]
+
+
+def test_one_id_in_many_batches(spark):
+    """Texts of one id are spread over batches and are all targets."""
+    rows = [(1, f"alpha beta gamma number {i} text") for i in range(40)] + [(None, f"other words {i} here") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_scoring.cross_entropy_difference(docs, docs.filter("doc_id = 1").select("doc_id"), tokenizer_file(), 49_408, opening=49_406, direct=True).collect()
+    assert len(got) == 80 and max(r.score for r in got if r.doc_id == 1) < 0 < min(r.score for r in got if r.doc_id is None)
+
+
 def tiling(doc, item, least):
     """Greedy string tiling as it is defined: scan all pairs of places for the longest unmarked match, mark it, again."""
     a, b, total = [False] * len(doc), [False] * len(item), 0
