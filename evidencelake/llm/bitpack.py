@@ -7,13 +7,15 @@ shard      position of the shard; all ids of shard s come before those of shard
 block      position of the block within its shard
 first      ids of the shard before the block
 width      bits per id
+least      the smallest of the block's document ids
+greatest   the greatest of them
 doc_ids    the block's documents in order
 ends       for each of them, ids of the block up to and with its last one
 payload    the ids, ``width`` bits each, highest bit first, the last byte filled with zeros
 =========  ==========================================================================
 
 Id i of a block starts at bit ``i * width``, so a document, or any run of ids, is read without unpacking the rest;
-Parquet's statistics on shard, block and first lead to the block.
+Parquet's statistics on shard, block, first, least and greatest lead to the block.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidencelake.llm.common import batches_of, held
 
-FILE_SCHEMA = "shard int, block int, first long, width int, doc_ids array<long>, ends array<long>, payload binary"
+FILE_SCHEMA = "shard int, block int, first long, width int, least long, greatest long, doc_ids array<long>, ends array<long>, payload binary"
 #: Ids after which a block is closed at the end of a document.
 BLOCK_IDS = 1 << 17
 
@@ -119,13 +121,16 @@ def encoder(file: str, direct: bool) -> Encoder:
     return held(("ids", file, direct), lambda: Encoder(file, direct))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, vocabulary: int, end_id: int, id_column: str = "doc_id", text_column: str = "text", direct: bool = False) -> None:
-    """Encode every whole text and write the ids in ascending order of the id column to ``path`` in the format above.
+def write_token_files(
+    docs: DataFrame, path: str, tokenizer_file: str, vocabulary: int, end_id: int, id_column: str = "doc_id", text_column: str = "text", direct: bool = False,
+    order: Sequence[str | Column] | None = None,
+) -> None:
+    """Encode every whole text and write the ids to ``path`` in the format above, in ascending order of the id column, or in the order given.
 
     ``tokenizer_file`` is a ``tokenizers`` file whose tokens never span white space and which yields none for it;
     ``direct`` says that it is a byte-level BPE over lower-cased runs of letters, single digits and runs of signs.
     ``vocabulary`` bounds all ids, ``end_id`` closes each document. Null texts count as empty; documents of equal id
-    follow one another in the order of their texts, and null ids come first. Other columns are ignored. Texts are dealt by ranges of id, so a
+    follow one another in the order of their texts, and null ids come first. Other columns are ignored; an empty table gives no blocks. Texts are dealt by ranges of the order, so a
     shard is one range, and are encoded after that: ids would take more room in the shuffle than the texts do.
     """
     width = width_of(max(vocabulary, end_id + 1))
@@ -138,10 +143,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, vocabular
         shard, block, first, doc_ids, parts, sizes, held = 0, 0, 0, [], [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids, known = np.frombuffer(b"".join(parts), "<u4"), [i for i in doc_ids if i is not None]
             return pa.RecordBatch.from_pydict({
                 "shard": pa.array([shard], pa.int32()), "block": pa.array([block], pa.int32()), "first": pa.array([first], pa.int64()), "width": pa.array([width], pa.int32()),
-                "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "ends": pa.array([np.cumsum(sizes).tolist()], pa.list_(pa.int64())), "payload": pa.array([pack(ids, width)], pa.binary()),
+                "least": pa.array([min(known, default=None)], pa.int64()), "greatest": pa.array([max(known, default=None)], pa.int64()), "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "ends": pa.array([np.cumsum(sizes).tolist()], pa.list_(pa.int64())), "payload": pa.array([pack(ids, width)], pa.binary()),
             })
 
         for b in batches:
@@ -158,8 +163,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, vocabular
         if doc_ids:
             yield flush()
 
-    ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    ordered = ordered.repartitionByRange("id").sortWithinPartitions("id", "text").withColumn("shard", F.spark_partition_id())
+    keys = {f"order{k}": F.col(o) if isinstance(o, str) else o for k, o in enumerate(order or [id_column])}
+    ordered = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *[c.alias(n) for n, c in keys.items()])
+    ordered = ordered.repartitionByRange(*keys).sortWithinPartitions(*keys, "id", "text").select("id", "text", F.spark_partition_id().alias("shard"))
     ordered.mapInArrow(encode, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
@@ -192,8 +198,8 @@ def document_digests(blocks: DataFrame) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray:
-    """Ids of one document (the first of that id): its block alone is fetched, and only its bits are unpacked."""
-    row = read_token_files(spark, path).filter(F.array_contains("doc_ids", F.lit(doc_id))).orderBy("shard", "block").first()
+    """Ids of one document (the first of that id): the statistics on least and greatest id leave few blocks to look at, one if the files are ordered by id, and only its bits are unpacked."""
+    row = read_token_files(spark, path).filter((F.col("least") <= doc_id) & (F.col("greatest") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id))).orderBy("shard", "block").first()
     if row is None:
         raise KeyError(doc_id)
     at = row.doc_ids.index(doc_id)

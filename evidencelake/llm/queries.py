@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidencelake.llm import bitpack, chat_format, decontaminate, hard_negatives, language_id, lexical_search, line_dedup, lm_scoring, mixing, ngram_join, repetition, secret_scan, url_graph
-from evidencelake.session import configure, shared_folder
+from evidencelake.session import configure, fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,13 +84,23 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY, END_ID = 49_408, 2
 
 
-def token_file_digests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def token_file_digests(spark: SparkSession, docs: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and digest what is read back from them."""
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    bitpack.write_token_files(docs, path, tokenizer_file(), VOCABULARY, END_ID, direct=True)
+    path = fresh_path(spark, "tokens")
+    bitpack.write_token_files(docs, path, tokenizer_file(), VOCABULARY, END_ID, direct=True, order=order)
     return bitpack.document_digests(bitpack.read_token_files(spark, path))
 
 
+def file_order(docs: DataFrame) -> list[Column] | None:
+    """The order in which the files of a written table hold its rows; None for a frame that is not one."""
+    order = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*order).schema  # noqa: B018 - resolves the columns
+    except AnalysisException:
+        return None
+    return order
+
+
 @query()
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed-width bit-packed token files of all documents: doc_id, start, n_tokens, ids_crc32, read back from the files."""
