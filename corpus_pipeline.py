@@ -5,34 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evidencelake.llm import decontaminate, mixing, ngram_join, repetition
-from evidencelake.llm.common import materialise
-from evidencelake.llm.queries import token_file_digests
-from evidencelake.session import configure
+from evidencelake.llm.queries import file_order, token_file_digests
+from evidencelake.session import configure, materialise
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words do not mostly repeat one another; null and short texts go."""
+    """Documents whose words do not mostly repeat one another; null, empty and short texts go. Repeated rows are judged alike; an empty table stays empty, here and in all stages."""
     return repetition.drop_repetitive(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each class that three quarters of common 5-word shingles link."""
+    """One document, the smallest doc_id, of each class that three quarters of common 5-word shingles link; of repeated rows one. Null and empty texts are like no other and stay; rows of null or equal id are documents of their own."""
     return ngram_join.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than half of every benchmark item."""
+    """Documents that hold less than half of every benchmark item; null and empty texts hold nothing, and an empty benchmark drops nothing."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix to weights 3, 1, 2 takes them, dealt to shards and shuffled there."""
+    """Documents as often as the mix to weights 3, 1, 2 takes them, in the order of their shards and shuffled within each; a null source is a source, null texts have no words."""
     return mixing.mix(docs)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bit-packed token files of all that is left, digested per document from the files."""
-    return token_file_digests(spark, docs)
+    """Bit-packed token files of all that is left, in the order of the files that the mix was written to, digested per document from the token files; null texts are empty documents."""
+    return token_file_digests(spark, docs, file_order(docs))
 
 
 STAGES = [
