@@ -55,10 +55,10 @@ def in_scope(log: DataFrame, database: str, now: Column, hours: int = WINDOW_HOU
 
 
 def window_stats(log: DataFrame) -> DataFrame:
-    """Totals, hours and query shapes from one scan, told apart by ``grouping``.
+    """Totals, hours and query shapes from one scan, told apart by ``grouping``; a query without a duration is not counted.
 
-    The log is first folded to (hour, shape, duration): the three groupings and their exact p95 re-read that fold, so
-    no text is parsed twice, and a shape holding a third of the log is ranked by many tasks.
+    The log is first folded to (hour, shape, duration): the three groupings, their exact p95 and their other figures come from that
+    fold, so no text is parsed twice, and a shape holding a third of the log is ranked by many tasks.
     """
     touched = F.greatest("read_rows", "written_rows")
     base = log.select(
@@ -72,28 +72,21 @@ def window_stats(log: DataFrame) -> DataFrame:
     folded = base.groupBy("hour_ts", "shape", "ms").agg(
         F.count(F.lit(1)).alias("queries"), F.sum("read_rows").alias("rows_read"), F.max("touched").alias("max_rows"), F.max("slowest").alias("slowest"),
     )
+    no_hour, no_shape = F.lit(None).cast("long").alias("hour_ts"), F.lit(None).cast("string").alias("shape")
     groupings = F.array(
-        F.struct(F.lit("total").alias("grouping"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("string").alias("s")),
-        F.struct(F.lit("hour").alias("grouping"), F.col("hour_ts").alias("h"), F.lit(None).cast("string").alias("s")),
-        F.struct(F.lit("shape").alias("grouping"), F.lit(None).cast("long").alias("h"), F.col("shape").alias("s")),
-    )
-    stats = folded.select("*", F.inline(groupings)).groupBy("grouping", "h", "s").agg(
-        F.sum("queries").alias("queries"), F.sum("rows_read").alias("rows_read"), F.max("ms").alias("max_ms"),
-        F.max("max_rows").alias("max_rows"), F.max("slowest").alias("slowest"),
-    )
-    ranked = exact_quantiles(
-        folded.select("ms", "queries", F.inline(groupings)), ["grouping", "h", "s"], "ms", {"p95": ("interpolated", 0.95)}, "queries"
-    ).select(F.col("grouping").alias("_g"), F.col("h").alias("_h"), F.col("s").alias("_s"), "p95")
-    joined = stats.join(
-        ranked,
-        (F.col("grouping") == F.col("_g")) & F.col("h").eqNullSafe(F.col("_h")) & F.col("s").eqNullSafe(F.col("_s")),
-        "left",
-    )
-    return joined.select(
-        "grouping", F.col("h").alias("hour_ts"), F.col("s").alias("shape"), "queries",
-        whole_ms(F.col("p95")).alias("p95_ms"), "rows_read", "max_ms", "max_rows",
-        F.col("slowest.query_kind").alias("top_kind"), F.col("slowest.touched").alias("top_rows"),
-        F.col("slowest.log_comment").alias("top_log_comment"),
+        F.struct(F.lit("total").alias("grouping"), no_hour, no_shape),
+        F.struct(F.lit("hour").alias("grouping"), F.col("hour_ts"), no_shape),
+        F.struct(F.lit("shape").alias("grouping"), no_hour, F.col("shape")),
+    )
+    measures = ["queries", "rows_read", "max_rows", "slowest"]
+    stats = exact_quantiles(
+        folded.select("ms", *measures, F.inline(groupings)), ["grouping", "hour_ts", "shape"], "ms", {"p95": ("interpolated", 0.95)}, "queries",
+        {"rows_read": ("sum", "rows_read"), "max_rows": ("max", "max_rows"), "slowest": ("max", "slowest")},
+    )
+    return stats.select(
+        "grouping", "hour_ts", "shape", F.col("n").alias("queries"), whole_ms(F.col("p95")).alias("p95_ms"), "rows_read",
+        F.col("slowest.query_duration_ms").alias("max_ms"), "max_rows", F.col("slowest.query_kind").alias("top_kind"),
+        F.col("slowest.touched").alias("top_rows"), F.col("slowest.log_comment").alias("top_log_comment"),
     )
 
 
