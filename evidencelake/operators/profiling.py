@@ -38,7 +38,7 @@ def value_text(v: Column) -> Column:
 
 
 def explode_fields(events: DataFrame, by: str = "event", fields: str = "fields") -> DataFrame:
-    """``(by, position, field, json_type, text, number)`` per present field; a missing key yields no row.
+    """``(by, position, field, json_type, text)`` per present field; a missing key yields no row.
 
     A record without any field yields one row with a NULL field, so records stay countable.
     """
@@ -53,7 +53,6 @@ def explode_fields(events: DataFrame, by: str = "event", fields: str = "fields")
         .withColumn("json_type", F.when(F.col("field").isNotNull(), json_type))
         .select(
             by, "position", "field", "json_type", value_text(F.col("v")).alias("text"),
-            F.when(F.col("json_type") == "number", F.try_variant_get("v", "$", "double")).alias("number"),
         )
     )
 
@@ -65,17 +64,21 @@ def profile_cells(cells: DataFrame, by: str = "event") -> DataFrame:
     # NULL is a value too; the same printed text under two JSON types is one value
     value = F.when(json_type != "null", text).otherwise(NULL_TEXT).alias("t")
     of = lambda condition: F.count_if(condition & ~nullish)
-    is_time = (json_type == "string") & text.rlike(TIMESTAMP_TEXT)
-    folded = cells.groupBy(by, "field", value).agg(
+    counted = cells.groupBy(by, "field", value).agg(
         F.min("position").alias("position"), F.count_if(nullish).alias("nullish_n"), of(F.lit(True)).alias("present_n"),
         of(json_type == "boolean").alias("booleans"), of(json_type == "number").alias("numbers"),
-        of(is_time).alias("timestamps"), of(json_type == "json").alias("objects"),
-        of(F.col("number") != F.floor("number")).alias("fraction_n"), of(text.rlike(HEX_ID)).alias("hex_n"),
-        F.max(F.when(~nullish, F.length(text))).alias("longest"),
-        F.min("number").alias("lowest"), F.max("number").alias("highest"),
+        of(json_type == "string").alias("strings"), of(json_type == "json").alias("objects"),
         # the first field of a record, or the stand-in of an empty one, counts the record
         F.count_if(F.coalesce("position", F.lit(0)) == 0).alias("records"),
     )
+    # what a text looks like is asked once for each different one
+    number = F.when(F.col("numbers") > 0, F.col("t").try_cast("double"))
+    folded = counted.withColumn("number", number).select(
+        "*", F.when(F.col("t").rlike(TIMESTAMP_TEXT), F.col("strings")).otherwise(0).alias("timestamps"),
+        F.when(F.col("number") != F.floor("number"), F.col("numbers")).otherwise(0).alias("fraction_n"),
+        F.when(F.col("t").rlike(HEX_ID), F.col("present_n")).otherwise(0).alias("hex_n"),
+        F.when(F.col("present_n") > 0, F.length("t")).alias("longest"), F.col("number").alias("lowest"), F.col("number").alias("highest"),
+    )
     sums = ("nullish_n", "present_n", "booleans", "numbers", "timestamps", "objects", "fraction_n", "hex_n", "records")
     # as many rows per event as it has fields
     of_event = Window.partitionBy(by)

@@ -90,7 +90,8 @@ def exact_quantiles(
         .withColumn("_skipped", F.col("_off") - F.coalesce(F.sum("_bc").over(before), F.lit(0)))
         .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_hb"), "_n", "_skipped", *kept)
     )
-    on = F.col("_b") == F.col("_hb")
+    # null-safe, though no bucket is null: an equality would filter one side only, and the counts would be made twice
+    on = F.col("_b").eqNullSafe(F.col("_hb"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     running = group.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)

@@ -16,6 +16,7 @@ from evidencelake.operators.knowledge import INTERNAL_TABLES, origin
 from evidencelake.operators.metrics import share_of_total
 from evidencelake.operators.quantiles import exact_quantiles
 from evidencelake.operators.topk import severity_rank
+from evidencelake.session import materialise
 
 # Fixed values.
 WINDOW_HOURS, READS_HOURS = 24, 720
@@ -57,8 +58,8 @@ def in_scope(log: DataFrame, database: str, now: Column, hours: int = WINDOW_HOU
 def window_stats(log: DataFrame) -> DataFrame:
     """Totals, hours and query shapes from one scan, told apart by ``grouping``; a query without a duration is not counted.
 
-    The log is first folded to (hour, shape, duration): the three groupings, their exact p95 and their other figures come from that
-    fold, so no text is parsed twice, and a shape holding a third of the log is ranked by many tasks.
+    The log is first folded to (hour, shape, duration), and the fold is written to the shared folder: the three groupings, their exact p95 and
+    their other figures come from it, so no text is parsed twice, and a shape holding a third of the log is ranked by many tasks. Runs a job.
     """
     touched = F.greatest("read_rows", "written_rows")
     base = log.select(
@@ -72,6 +73,7 @@ def window_stats(log: DataFrame) -> DataFrame:
     folded = base.groupBy("hour_ts", "shape", "ms").agg(
         F.count(F.lit(1)).alias("queries"), F.sum("read_rows").alias("rows_read"), F.max("touched").alias("max_rows"), F.max("slowest").alias("slowest"),
     )
+    folded = materialise(folded, "log")
     no_hour, no_shape = F.lit(None).cast("long").alias("hour_ts"), F.lit(None).cast("string").alias("shape")
     groupings = F.array(
         F.struct(F.lit("total").alias("grouping"), no_hour, no_shape),

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidencelake.session import materialise
+
 # Fixed values.
 FILLER = (
-    "the and for all any with from into over per are was were use used using only both each that this than then "
-    "data rows row value values applied apply assumed assume set include included including"
-).split()
+    "the", "and", "for", "all", "any", "with", "from", "into", "over", "per", "are", "was", "were", "use", "used", "using", "only", "both", "each",
+    "that", "this", "than", "then", "data", "rows", "row", "value", "values", "applied", "apply", "assumed", "assume", "set", "include", "included",
+    "including",
+)
 EXCLUDE_FORMS = (
-    "excludes excluded excluding omits omitted omitting ignores ignored ignoring without drops dropping"
-).split()
+    "excludes", "excluded", "excluding", "omits", "omitted", "omitting", "ignores", "ignored", "ignoring", "without", "drops", "dropping",
+)
 DIMENSION_MENU = r"(?i)\b(cut|split|slice|segment|grouped?|break)\s+(it\s+)?by\b"
 
 
@@ -20,8 +23,9 @@ def named_metrics(questions: DataFrame, metrics: DataFrame) -> DataFrame:
     """``(question_id, metric)`` for every stored metric a question names, the most specific only.
 
     ``questions(question_id, question)``, ``metrics(entity)`` with ``metric:<id>`` entities. A metric is named
-    when all words of its id occur as whole words, or the id itself does. Candidates meet on one word per
-    metric - the one fewest metrics use, the longest among those - and are then checked word by word.
+    when all words of its id occur as whole words, or the id itself does. The metrics are an inverted index: each is looked up by one
+    word - the one fewest metrics use, the longest among those - and then checked against the other words of the question.
+    The index is written to the shared folder. Runs jobs.
     """
     ids = (
         metrics.filter(F.startswith(F.lower("entity"), F.lit("metric:")))
@@ -30,77 +34,56 @@ def named_metrics(questions: DataFrame, metrics: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("words", F.array_distinct(F.filter(F.split("metric", "_"), lambda w: w != "")))
         .filter(F.size("words") > 0)
+        .withColumn("plain", F.col("metric").rlike("^[a-z0-9_]+$"))
     )
-    pieces = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
-    parts = ids.select("metric", F.explode(pieces(F.col("metric"))).alias("word"))
-    frequency = parts.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
-    anchors = (
-        parts.join(frequency, "word")
-        .groupBy("metric")
-        .agg(F.min(F.struct("f", (-F.length("word")).alias("l"), "word")).alias("a"))
-        .select("metric", F.col("a.word").alias("anchor"))
-        .join(ids, "metric")
-    )
-    plain = anchors.filter(F.col("metric").rlike("^[a-z0-9_]+$"))
-    odd = anchors.filter(~F.col("metric").rlike("^[a-z0-9_]+$"))
-
-    texts = questions.select("question_id", F.lower("question").alias("q"))
-    # texts stay behind: only the words some metric uses travel
-    tokens = texts.select("question_id", F.explode_outer(F.array_distinct(F.split("q", "[^a-z0-9_]+"))).alias("token"))
-    vocabulary = plain.select(F.explode("words").alias("token")).distinct()
-    known = tokens.join(vocabulary, "token", "left_semi")
-    every = (
-        known.join(plain, F.col("token") == F.col("anchor"))
-        .select("question_id", "metric", F.size("words").alias("words_n"), F.explode("words").alias("token"))
-        .join(known, ["question_id", "token"])
-        .groupBy("question_id", "metric", "words_n")
-        .agg(F.count(F.lit(1)).alias("found_n"))
-        .filter("found_n = words_n")
-        .select("question_id", "metric")
-    )
-    # an id written out: a plain one lies within one token that holds an underscore, any other is sought in the text
-    literally = lambda c: F.expr(rf"regexp({c}, concat('(^|[^a-z0-9])\\Q', metric, '\\E(?![a-z0-9])'))")
-    spelled = (
-        tokens.filter(F.contains("token", F.lit("_")))
-        .select("question_id", "token", F.explode_outer(pieces(F.col("token"))).alias("anchor"))
-        .join(plain, "anchor").filter(literally("token")).select("question_id", "metric")
-    )
-    delimited = F.expr(r"forall(words, w -> regexp(q, concat('(^|[^a-z0-9_])\\Q', w, '\\E(?![a-z0-9_])')))")
-    others = (
-        texts.select("question_id", F.explode_outer(pieces(F.col("q"))).alias("anchor"))
-        .join(odd, "anchor").join(texts, "question_id").filter(delimited | literally("q")).select("question_id", "metric")
+    index = materialise(metric_index(ids), "metrics")
+    found = index.filter("plain").drop("plain")
+
+    pieces = lambda c: F.array_distinct(F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != ""))
+    entry = lambda word, spelled: F.struct(word.alias("word"), spelled.cast("string").alias("spelled"))
+    # one pass over the texts: their tokens, and the pieces of those that hold an underscore, in which an id may be spelled out; texts stay behind
+    entries = F.transform(
+        F.array(F.array_distinct(F.split(F.lower("question"), "[^a-z0-9_]+"))),
+        lambda tokens: F.concat(
+            F.transform(tokens, lambda t: entry(t, F.lit(None))),
+            F.flatten(F.transform(F.filter(tokens, lambda t: F.contains(t, F.lit("_"))), lambda t: F.transform(pieces(t), lambda p: entry(p, t)))),
+        ),
     )
-    matched = every.unionByName(spelled).unionByName(others).withColumnRenamed("metric", "wider")
-    # a named metric speaks for itself and against every metric its words contain
-    effects = ids.select(F.col("metric").alias("wider"), "metric", F.lit(False).alias("against")).unionByName(
-        metric_subsets(ids).withColumn("against", F.lit(True))
-    )
-    return (
-        matched.join(effects, "wider")
-        .groupBy("question_id", "metric")
-        .agg(F.max(~F.col("against")).alias("named"), F.max("against").alias("covered"))
-        .filter("named AND NOT covered")
-        .select("question_id", "metric")
+    asked = questions.select("question_id", F.inline(F.get(entries, F.lit(0)))).join(found, "word")
+    # what meets per question are the words of it that some metric uses
+    gathered = asked.groupBy("question_id").agg(
+        F.collect_set(F.when(F.col("spelled").isNull(), F.col("word"))).alias("known"),
+        F.collect_list(F.when(F.size("anchored") > 0, F.struct("spelled", "anchored"))).alias("candidates"),
     )
+    named = gathered.select("question_id", F.expr(r"""array_distinct(flatten(transform(candidates, c -> filter(c.anchored, m ->
+        if(c.spelled is null, forall(m.words, w -> array_contains(known, w)), regexp(c.spelled, concat('(^|[^a-z0-9])\\Q', m.metric, '\\E(?![a-z0-9])')))))))""").alias("named"))
+    odd = index.filter("not plain").drop("plain")
+    if not odd.isEmpty():  # ids with other characters are sought in the text itself
+        texts = questions.select("question_id", F.lower("question").alias("q"))
+        delimited = F.expr(r"forall(m.words, w -> regexp(q, concat('(^|[^a-z0-9_])\\Q', w, '\\E(?![a-z0-9_])')))")
+        literally = F.expr(r"regexp(q, concat('(^|[^a-z0-9])\\Q', m.metric, '\\E(?![a-z0-9])'))")
+        others = (
+            texts.select("question_id", F.explode(pieces(F.col("q"))).alias("word")).join(odd, "word").select("question_id", F.explode("anchored").alias("m")).distinct()
+            .join(texts, "question_id").filter(delimited | literally).select("question_id", "m")
+        )
+        named = others.unionByName(named.select("question_id", F.explode("named").alias("m"))).groupBy("question_id").agg(F.collect_set("m").alias("named"))
+    # a metric whose words another named one holds and exceeds is covered by it
+    specific = F.expr("filter(named, m -> not exists(named, o -> size(o.words) > size(m.words) and size(array_except(m.words, o.words)) = 0))")
+    return named.select("question_id", F.explode(specific).alias("m")).select("question_id", "m.metric")
 
 
-def metric_subsets(ids: DataFrame) -> DataFrame:
-    """``(metric, wider)`` where the words of one metric are a strict subset of another's."""
-    words = ids.select("metric", F.array_distinct("words").alias("words"))
-    exploded = words.select(F.col("metric").alias("wider"), F.col("words").alias("wider_words"), F.explode("words").alias("word"))
-    frequency = exploded.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
-    anchor = (
-        words.select("metric", "words", F.explode("words").alias("word"))
-        .join(frequency, "word")
-        .groupBy("metric")
-        .agg(F.min(F.struct("f", "word")).alias("a"), F.first("words").alias("words"))
-        .select("metric", "words", F.col("a.word").alias("word"))
-    )
-    return (
-        anchor.join(exploded, "word")
-        .filter((F.size("wider_words") > F.size("words")) & (F.size(F.array_except("words", "wider_words")) == 0))
-        .select("metric", "wider")
+def metric_index(ids: DataFrame) -> DataFrame:
+    """(word, plain, anchored): for each word of a metric's id, the metrics that are looked up by it, the others none."""
+    pieces = F.array_distinct(F.filter(F.split("metric", "[^a-z0-9]+"), lambda w: w != ""))
+    parts = ids.select("metric", "words", "plain", F.explode(pieces).alias("word"))
+    frequency = parts.groupBy("word").agg(F.count(F.lit(1)).alias("f"))
+    anchors = (
+        parts.join(frequency, "word").groupBy("metric", "words", "plain")
+        .agg(F.min(F.struct("f", (-F.length("word")).alias("l"), "word")).alias("a"))
+        .select(F.col("a.word").alias("word"), "plain", F.struct("metric", "words").alias("m"))
     )
+    every = parts.select("word", "plain", F.lit(None).cast("struct<metric:string,words:array<string>>").alias("m"))
+    return anchors.unionByName(every).groupBy("word", "plain").agg(F.collect_list("m").alias("anchored"))
 
 
 def clean_assumptions(raw: Column) -> Column:
@@ -113,9 +96,8 @@ def split_assumptions(text: Column) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9_.-]+", " "), F.lit(" "))
-    trimmed = F.regexp_replace(spaced, r"(?<= )[.-]+|[.-]+(?= )", "")
-    words = F.array_distinct(F.filter(F.split(trimmed, " +"), lambda w: w != ""))
+    """Different runs of letters, digits, ``_``, ``.`` and ``-`` without the dots and dashes at their ends."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_](?:[a-z0-9_.-]*[a-z0-9_])?"), 0))
     return F.transform(words, lambda w: F.when(w.isin(*EXCLUDE_FORMS), "exclude").otherwise(w))
 
 
@@ -135,15 +117,17 @@ def unstated_assumptions(question: Column, assumptions: Column, definitions: Col
         pinned = F.array_join(F.transform(F.coalesce(definitions, F.array().cast("array<string>")), _without_menu), " ")
         stated_text = F.concat_ws(" ", stated_text, pinned)
 
-    def form_stated(stated: Column, form: Column) -> Column:
-        return F.array_contains(stated, form) | F.exists(
-            stated,
-            lambda t: F.startswith(t, F.concat(form, F.lit("_"))) | F.endswith(t, F.concat(F.lit("_"), form)),
-        )
+    def with_affixes(tokens: Column) -> Column:
+        """The tokens, and what stands before or after each underscore of one."""
+        parts = lambda t: F.sequence(F.lit(1), F.length(t) - F.length(F.replace(t, F.lit("_"))))
+        joined = F.filter(tokens, lambda t: F.contains(t, F.lit("_")))
+        before = F.flatten(F.transform(joined, lambda t: F.transform(parts(t), lambda i: F.call_function("substring_index", t, F.lit("_"), i))))
+        after = F.flatten(F.transform(joined, lambda t: F.transform(parts(t), lambda i: F.call_function("substring_index", t, F.lit("_"), -i))))
+        return F.concat(tokens, before, after)
 
     def is_stated(stated: Column, word: Column) -> Column:
         plural = F.endswith(word, F.lit("s")) & (F.length(word) >= 5)
-        return form_stated(stated, word) | (plural & form_stated(stated, F.regexp_replace(word, "s$", "")))
+        return F.array_contains(stated, word) | (plural & F.array_contains(stated, F.regexp_replace(word, "s$", "")))
 
     def charged(stated: Column, assumption: Column) -> Column:
         at = F.instr(assumption, F.lit(" = "))
@@ -153,7 +137,7 @@ def unstated_assumptions(question: Column, assumptions: Column, definitions: Col
 
     listed = F.coalesce(assumptions, F.array().cast("array<string>"))
     # bound as a lambda variable, the stated words are split from the text once per row
-    kept = F.transform(F.array(_tokens(stated_text)), lambda stated: F.filter(listed, lambda a: charged(stated, a)))
+    kept = F.transform(F.transform(F.array(_tokens(stated_text)), with_affixes), lambda stated: F.filter(listed, lambda a: charged(stated, a)))
     return F.get(kept, F.lit(0))
 
 
