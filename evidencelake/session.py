@@ -23,6 +23,9 @@ RUNTIME_CONF = {
 }
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators assume to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -73,6 +76,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     It cuts the lineage and is computed once; a lost executor costs none of it.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    # what was shuffled for the table is of no use once it is written
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
