@@ -60,15 +60,20 @@ def asked(rows, file: str, direct: bool, opening: int):
     return [np.concatenate(x) for x in zip(*every)]
 
 
-def own_counts(owner: np.ndarray, key: np.ndarray, keys: int) -> np.ndarray:
-    """For each piece, how often its text holds its key; keys are numbered, texts follow one another."""
-    both = owner * keys + key
-    order = np.argsort(both, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(both[order]) != 0]))[: len(both)]
-    runs = np.diff(np.append(starts, len(both)))
-    out = np.empty(len(both), np.int64)
-    out[order] = np.repeat(runs, runs)
-    return out
+def numbered(keys: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the different keys in order, the number of each piece's key among them, how often the piece's text holds it), by one sort of key and text together."""
+    bits = np.uint64(max(1, texts.bit_length()))
+    both = (keys << bits) | owner.astype(np.uint64)
+    order = np.argsort(both)
+    both = both[order]
+    pairs = np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]
+    both >>= bits
+    fresh = np.concatenate([[True], both[1:] != both[:-1]])[: len(both)]
+    number, own = np.empty(len(both), np.int64), np.empty(len(both), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    runs = np.diff(np.append(np.flatnonzero(pairs), len(both)))
+    own[order] = np.repeat(runs, runs)
+    return both[fresh], number, own
 
 
 def bucketed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +130,7 @@ def cross_entropy_difference(
         import pyarrow as pa
 
         ids, sizes, target, owner, bigram, context, word = keys_of(table, tokenizer_file, direct, opening)
-        parts = [np.unique(k, return_inverse=True) for k in (bigram, context, word)]
+        parts = [numbered(k, owner, len(ids)) for k in (bigram, context, word)]
         keys = np.concatenate([*(p[0] for p in parts), np.array([_ALL])])
         order, _ = bucketed(keys, bits)
         replies = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
@@ -136,15 +141,21 @@ def cross_entropy_difference(
             totals.append(counts[-1])
             held.append(np.split(counts[:-1], np.cumsum([len(p[0]) for p in parts])[:-1]))
         matched = totals[1] / totals[0] if min(totals) > 0 else 1.0
-        of_text = [own_counts(owner, p[1], len(p[0])) for p in parts]
         means = []
         for side, scale in ((True, 1.0), (False, matched)):
-            mine = (target if side else ~target)[owner]
-            pair, before, single = (h[p[1]] - n * mine for h, p, n in zip(held[not side], parts, of_text))
-            total = totals[not side] - (sizes * (target if side else ~target))[owner]
-            even = (single + add * scale) / (total + add * scale * vocabulary)
-            loss = -np.log2((pair + prior * scale * even) / (before + prior * scale))
-            means.append(np.bincount(owner, loss, len(ids)) / np.maximum(sizes, 1))
+            mine = target == side
+            flags, found = mine[owner], held[not side]
+            pair, before, single = (h[number] for h, (_, number, _) in zip(found, parts))
+            if flags.any():
+                for counts, (_, _, own) in zip((pair, before, single), parts):
+                    counts -= own * flags
+            total = (totals[not side] - sizes * mine + add * scale * vocabulary)[owner]
+            single += add * scale
+            single *= prior * scale / total
+            pair += single
+            before += prior * scale
+            pair /= before
+            means.append(np.bincount(owner, -np.log2(pair), len(ids)) / np.maximum(sizes, 1))
         empty = sizes == 0
         figures = [pa.array(m, pa.float64(), mask=empty) for m in (means[0], means[1], means[0] - means[1])]
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *figures], names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"])
