@@ -5,7 +5,7 @@ P(w) = (c(w) + a) / (c + a * vocabulary). One counts the target texts, the other
 it has more pieces, so both trust their counts alike, as if the background had been scaled to the target's size. No text is scored by its own counts: they are taken out of
 its model first. A text's score is the mean over its pieces of target loss - background loss, in bits: the lower, the more like the target.
 
-Neither model is ever in one place. Texts are dealt to batches. A batch sends each of its different n-grams once, with its own
+Neither model is ever in one place. Texts are taken apart once and dealt to batches. A batch sends each of its different n-grams once, with its own
 counts, to buckets of the n-gram hash; a bucket adds up what all batches sent and answers every batch, in the order asked; then the batch scores its texts.
 """
 
@@ -25,15 +25,30 @@ BATCH_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 BATCHES, BUCKETS, SPREAD = 4, 0.25, 8
 _BITS = 20
 _CONTEXT, _WORD, _ALL = (np.uint64(k << 2 * _BITS) for k in (1, 2, 3))
+#: A key's bits, and the most that its bucket may have beside them and the kind of text.
+_WIDTH, _KEY, _MOST = np.uint64(2 * _BITS + 2), np.uint64((1 << 2 * _BITS + 2) - 1), 20
 
 
-def keys_of(rows, file: str, direct: bool, opening: int):
-    """The texts of a batch: (row numbers, pieces in each, which are target, and for all pieces on end: text, bigram, context, word)."""
-    ids, texts, kinds = rows.column("id").to_pylist(), batches_of(rows.column("text")), rows.column("kind").to_pylist()
-    wanted = {i for i, kind in zip(ids, kinds) if kind == 1}
-    at = [k for k, kind in enumerate(kinds) if kind == 0]
-    own = encoder(file, direct)
-    parts = [np.frombuffer(own.of(texts[k]), "<u4") for k in at]
+def encoded(own: DataFrame, file: str, direct: bool, kind: str) -> DataFrame:
+    """(id, pieces, batch) of (id, text, batch): each text is taken apart once, before it is dealt to its batch. Null texts have no pieces."""
+
+    def encode(tables):
+        import pyarrow as pa
+
+        words = encoder(file, direct)
+        for t in tables:
+            pieces = [np.frombuffer(words.of(text), "<u4").astype(kind).tobytes() for text in batches_of(t.column("text"))]
+            yield pa.RecordBatch.from_arrays([t.column("id"), pa.array(pieces, pa.binary()), t.column("batch")], names=["id", "pieces", "batch"])
+
+    return own.mapInArrow(encode, "id long, pieces binary, batch int")
+
+
+def keys_of(rows, kind: str, opening: int):
+    """The texts of a batch: (ids, pieces in each, which are target, and for all pieces on end: text, bigram, context, word)."""
+    ids, pieces = rows.column("id").to_pylist(), rows.column("pieces").to_pylist()
+    wanted = {i for i, p in zip(ids, pieces) if p is None}
+    at = [k for k, p in enumerate(pieces) if p is not None]
+    parts = [np.frombuffer(pieces[k], kind) for k in at]
     sizes = np.array([len(p) for p in parts], np.int64)
     words = np.concatenate(parts).astype(np.uint64) if parts else np.empty(0, np.uint64)
     before = np.roll(words, 1)
@@ -43,21 +58,22 @@ def keys_of(rows, file: str, direct: bool, opening: int):
     return [ids[k] for k in at], sizes, np.array([ids[k] in wanted for k in at], bool), owner, (before << np.uint64(_BITS)) | words, before | _CONTEXT, words | _WORD
 
 
-def counted(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys in order, with their counts in target and other texts."""
-    found, at = np.unique(keys, return_inverse=True)
-    hits = np.bincount(at, target, len(found))
-    return found, hits.astype(np.uint64), (np.bincount(at, minlength=len(found)) - hits).astype(np.uint64)
+def asked(rows, kind: str, opening: int, bits: int):
+    """A batch's n-grams, contexts, words and the total by bucket and key, what the batch's target and other texts hold of each, and where the buckets' parts begin.
 
-
-def asked(rows, file: str, direct: bool, opening: int):
-    """A batch's n-grams, contexts, words and the total, and what the batch holds of each."""
-    _, _, target, owner, bigram, context, word = keys_of(rows, file, direct, opening)
-    flags = target[owner]
-    every = [counted(k, flags) for k in (bigram, context, word)]
-    hits = int(flags.sum())
-    every.append((np.array([_ALL]), np.array([hits], np.uint64), np.array([len(flags) - hits], np.uint64)))
-    return [np.concatenate(x) for x in zip(*every)]
+    One sort of bucket, key and kind of text counts them all.
+    """
+    _, _, target, owner, *keys = keys_of(rows, kind, opening)
+    flags = np.tile(target[owner].astype(np.uint64), 3)
+    marked = np.sort((placed(np.concatenate(keys), bits) << np.uint64(1)) | flags)
+    every = marked >> np.uint64(1)
+    starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)])
+    sizes = np.diff(np.append(starts, len(every)))
+    hits = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
+    whole, mine = placed(np.array([_ALL]), bits), int(target[owner].sum())
+    every, at = every[starts], np.searchsorted(every[starts], whole)
+    every, hits, others = np.insert(every, at, whole), np.insert(hits, at, mine), np.insert(sizes - hits, at, len(owner) - mine)
+    return every & _KEY, hits.astype(np.uint64), others.astype(np.uint64), np.searchsorted(every >> _WIDTH, np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
 def numbered(keys: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,11 +92,9 @@ def numbered(keys: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarra
     return both[fresh], number, own
 
 
-def bucketed(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of keys by bucket and then key, and where the buckets' parts begin."""
-    bucket = mix64(keys) >> np.uint64(64 - bits)
-    order = np.lexsort((keys, bucket))
-    return order, np.searchsorted(bucket[order], np.arange((1 << bits) + 1, dtype=np.uint64))
+def placed(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys with their bucket before them, so that they sort by both."""
+    return ((mix64(keys) >> np.uint64(64 - bits)) << _WIDTH) | keys
 
 
 def cross_entropy_difference(
@@ -93,21 +107,21 @@ def cross_entropy_difference(
     target texts the target model is even; without any or without others, the models are not matched. Other columns are ignored. An empty table gives no rows.
     """
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    size = table_bytes(own)
-    batches, bits = max(1 << hash_bits(docs.sparkSession, BATCHES), size // BATCH_BYTES), max(hash_bits(docs.sparkSession, BUCKETS), min(20, (size // BUCKET_BYTES).bit_length()))
+    size, kind = table_bytes(own), "<u2" if max(vocabulary, opening + 1) <= 1 << 16 else "<u4"
+    batches = max(1 << hash_bits(docs.sparkSession, BATCHES), size // BATCH_BYTES)
+    bits = min(_MOST, max(hash_bits(docs.sparkSession, BUCKETS), (size // BUCKET_BYTES).bit_length()))
     # a target id is told to all batches that texts of this id may be in
     parts, spread = max(1, batches // SPREAD), F.pmod(F.xxhash64("text"), F.lit(SPREAD))
     part = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text", F.lit("part")), F.lit(parts))).otherwise(F.pmod(F.xxhash64("id"), F.lit(parts)))
-    marked = targets.select(F.col(id_column).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("kind")).filter("id is not null").distinct()
-    marked = marked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("spread"))
-    rows = own.withColumns({"kind": F.lit(0), "spread": spread}).unionByName(marked).select("id", "text", "kind", (part * SPREAD + F.col("spread")).cast("int").alias("batch"))
+    dealt = (part * SPREAD + F.col("spread")).cast("int").alias("batch")
+    marked = targets.select(F.col(id_column).cast("long").alias("id"), F.lit(None).cast("binary").alias("pieces")).filter("id is not null").distinct()
+    marked = marked.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("spread"), F.lit("").alias("text")).select("id", "pieces", dealt)
+    rows = encoded(own.withColumn("spread", spread).select("id", "text", dealt), tokenizer_file, direct, kind).unionByName(marked)
 
     def send(key, table):
         import pyarrow as pa
 
-        keys, hits, others = asked(table, tokenizer_file, direct, opening)
-        order, cuts = bucketed(keys, bits)
-        keys, hits, others = keys[order], hits[order], others[order]
+        keys, hits, others, cuts = asked(table, kind, opening, bits)
         out = [(b, key[0].as_py(), to_planes(keys[i:j]), hits[i:j].tobytes(), others[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if i < j]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["bucket", "batch", "keys", "hits", "others"])
@@ -129,10 +143,10 @@ def cross_entropy_difference(
     def score(table, replies):
         import pyarrow as pa
 
-        ids, sizes, target, owner, bigram, context, word = keys_of(table, tokenizer_file, direct, opening)
+        ids, sizes, target, owner, bigram, context, word = keys_of(table, kind, opening)
         parts = [numbered(k, owner, len(ids)) for k in (bigram, context, word)]
         keys = np.concatenate([*(p[0] for p in parts), np.array([_ALL])])
-        order, _ = bucketed(keys, bits)
+        order = np.argsort(placed(keys, bits))
         replies = sorted(replies.to_pylist(), key=lambda r: r["bucket"])
         totals, held = [], []
         for name in ("hits", "others"):
