@@ -206,7 +206,9 @@ own AS (SELECT *, {verdict} AS ruled FROM ruled),
 hosts AS (SELECT host, count(*) AS pages, count(*) FILTER (ruled = 'allow') AS allowed, count(*) FILTER (ruled = 'block') AS blocked FROM own WHERE host <> '' GROUP BY host),
 whole AS (SELECT sum(pages)::DOUBLE AS pages, greatest(sum(allowed), 1)::DOUBLE AS allowed, greatest(sum(blocked), 1)::DOUBLE AS blocked FROM hosts),
 linked AS (SELECT DISTINCT page, host, unnest(links) AS dst FROM own WHERE host <> ''),
-pairs AS (SELECT a.host, b.host AS parent FROM hosts a JOIN hosts b ON b.host = regexp_extract(a.host, '^[^.]*\.(.*)$', 1) WHERE b.host <> ''),
+parts AS (SELECT host, string_split(host, '.') AS p FROM hosts),
+nodes AS (SELECT host FROM hosts UNION SELECT unnest(list_transform(range(2, len(p)), lambda i: array_to_string(p[i:], '.'))) FROM parts WHERE length(host) <= {url_graph.LONGEST_HOST} AND NOT regexp_matches(host, '^[0-9.]+(:[0-9]*)?$')),
+pairs AS (SELECT a.host, b.host AS parent FROM nodes a JOIN nodes b ON b.host = regexp_extract(a.host, '^[^.]*\.(.*)$', 1) WHERE b.host <> ''),
 edges AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT host AS src, dst, count(*)::DOUBLE AS weight FROM linked WHERE host <> dst GROUP BY host, dst
   UNION ALL SELECT host, parent, 1.0::DOUBLE FROM pairs UNION ALL SELECT parent, host, 1.0::DOUBLE FROM pairs) GROUP BY src, dst),
 directed AS (SELECT 'trust' AS kind, src AS spot, dst, weight FROM edges UNION ALL SELECT 'distrust', dst, src, weight FROM edges),

@@ -20,6 +20,9 @@ from evidencelake.session import materialise
 #: Hosts of absolute links.
 LINK = r"(?i)href\s*=\s*[\"']?(?:https?:)?//([^/?#\"'> ]+)"
 
+#: Characters of the longest name a host can have.
+LONGEST_HOST = 253
+
 #: (verdict, rule): a rule is a host and the start of a path.
 Rules = Sequence[tuple[str, str]]
 
@@ -45,14 +48,24 @@ def verdict_of(rule: Column, rules: Rules) -> Column:
     return out
 
 
+def ancestors_of(host: Column) -> Column:
+    """The parent domains of a host that have a dot themselves. Numeric addresses, and names too long to be a host's, have none."""
+    parts = F.split(host, r"\.")
+    size = F.size(parts)
+    named = (size > 2) & (F.length(host) <= LONGEST_HOST) & ~host.rlike(r"^[0-9.]+(:[0-9]*)?$")
+    return F.when(named, F.transform(F.sequence(F.lit(2), size - 1), lambda i: F.array_join(F.slice(parts, i, size), "."))).otherwise(F.array().cast("array<string>"))
+
+
 def host_edges(pages: DataFrame, site_weight: float = 1.0) -> DataFrame:
     """(src, dst, weight) between different hosts, from (host, links): pages of src that link to dst. A host and its parent host link to each other
-    with ``site_weight`` when both have pages."""
+    with ``site_weight``, so that the hosts of one site are connected; a parent with a dot in its name takes part whether it has pages or not, any other
+    only if it has pages."""
     linked = pages.select("host", F.explode(F.array_distinct("links")).alias("dst")).filter("host <> '' and host <> dst")
     by_link = linked.groupBy(F.col("host").alias("src"), "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     hosts = pages.select("host").filter("host <> ''").distinct()
+    nodes = hosts.select(F.explode(F.concat(F.array("host"), ancestors_of(F.col("host")))).alias("host")).distinct()
     parent = F.regexp_extract("host", r"^[^.]*\.(.*)$", 1)
-    pairs = hosts.withColumn("parent", parent).join(hosts.select(F.col("host").alias("parent")), "parent")
+    pairs = nodes.withColumn("parent", parent).join(nodes.select(F.col("host").alias("parent")), "parent").filter("parent <> ''")
     both = F.explode(F.array(F.struct(F.col("host").alias("src"), F.col("parent").alias("dst")), F.struct(F.col("parent").alias("src"), F.col("host").alias("dst"))))
     by_site = pairs.select(both.alias("e")).select("e.src", "e.dst", F.lit(float(site_weight)).alias("weight"))
     return by_link.unionByName(by_site).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))

@@ -23,10 +23,22 @@ def test_verdicts_change_through_edges(spark):
     assert linked == alone | {"fan.com": "block", "shop.fan.com": "block"}  # backwards over the link, then to the host below
 
 
-def test_given_pages_have_no_edges(spark):
-    """What the README says of them."""
+def test_parents_without_pages_connect_the_hosts_of_a_site(spark):
+    urls = ["http://a.site.com/bad/1", "http://b.site.com/1", "http://c.d.site.com/1", "http://other.com/1", "http://10.0.0.1/1", "http://10.0.0.2:80/1", "http://" + "x." * 200 + "site.com/1", "http://a..com/", None]
+    pages = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.host: r for r in url_graph.judge_urls(pages, (("block", "a.site.com/bad/"),)).collect()}
+    reached = {h for h, r in got.items() if r.distrust > 0}
+    assert reached == {"a.site.com", "b.site.com", "c.d.site.com"}
+    assert got["a.site.com"].distrust > got["b.site.com"].distrust > got["c.d.site.com"].distrust and len(got) == len(urls)
+
+
+def test_given_pages_are_connected_by_site(spark):
+    """Their links are relative, so all edges are between hosts and the parents that have no pages."""
     pages = spark.read.parquet(f"{ROOT}/pages.parquet").select(line_dedup.host_of(F.col("url")).alias("host"), F.regexp_extract_all("html", F.lit(url_graph.LINK), F.lit(1)).alias("links"))
-    assert pages.filter("host <> ''").count() == 50 and url_graph.host_edges(pages).count() == 0
+    edges = {(r.src, r.dst) for r in url_graph.host_edges(pages).collect()}
+    hosts = {r.host for r in pages.filter("host <> ''").distinct().collect()}
+    above = {h.split(".", i)[i] for h in hosts for i in range(1, h.count("."))}
+    assert edges == {e for h in hosts | above if "." in (p := h.split(".", 1)[1]) for e in ((h, p), (p, h))} and {"example.com", "example.net", "example.org"} <= above - hosts
 
 
 def dropped(spark, pages: int, **options) -> int:
