@@ -245,12 +245,13 @@ def anchors_of(shards: DataFrame) -> DataFrame:
 def _meet(anchors: DataFrame, shards: DataFrame) -> DataFrame:
     """The shards beside each block of at most ``BLOCK_ANCHORS`` rows of ``anchors`` (as arrays named ``a_...``).
 
-    A shard goes to one task; with fewer shards than shuffle partitions, to several that share its blocks.
+    A shard goes to one task; with fewer shards than twice the shuffle partitions, to several that share its blocks. The two meet by a merge join: as a broadcast, the
+    blocks would all be searched by the few tasks that read the shards.
     """
     names, kinds = anchors.columns, dict(anchors.dtypes)
     partitions = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = (shards.agg(F.max("shard")).first()[0] or 0) + 1
-    spread = max(1, -(-partitions // count))
+    spread = max(1, -(-2 * partitions // count))
 
     def pack(batches) -> Iterator:
         import pyarrow as pa
@@ -264,7 +265,7 @@ def _meet(anchors: DataFrame, shards: DataFrame) -> DataFrame:
 
     blocks = anchors.mapInArrow(pack, ", ".join(["part long", *(f"a_{n} array<{kinds[n]}>" for n in names)]))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    blocks = blocks.withColumn("shard", every(count)).repartition(partitions, "shard", "part")
+    blocks = blocks.withColumn("shard", every(count)).repartition(partitions, "shard", "part").hint("merge")
     return blocks.join(shards.drop("anchors").withColumn("part", every(spread)), ["shard", "part"])
 
 
