@@ -2,16 +2,20 @@
 
 Values are folded to distinct (event, field, text) first; every statistic is then a sum over that, so a field
 with one value in every row of a huge event costs one row per task.
+
+A profile can also be kept as a state of each file (:func:`save_profile_states`): sums and least texts per field, and a digest of every different value.
+States merge to the very profile of all files together (:func:`read_profile`), so that a new file is profiled alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidencelake.functions.names import IDENTIFIER_NAME, MONEY_NAME
 from evidencelake.functions.stats import ratio
 from evidencelake.operators.joins import first_per_key
+from evidencelake.session import materialise
 
 # Fixed values.
 SAMPLES = 5
@@ -37,8 +41,8 @@ def value_text(v: Column) -> Column:
     return F.when(kind.isin("DOUBLE", "FLOAT"), whole).otherwise(text)
 
 
-def explode_fields(events: DataFrame, by: str = "event", fields: str = "fields") -> DataFrame:
-    """``(by, position, field, json_type, text)`` per present field; a missing key yields no row.
+def explode_fields(events: DataFrame, by: str = "event", fields: str = "fields", *also: str) -> DataFrame:
+    """``(by, position, field, json_type, text)`` per present field, after the columns ``also``; a missing key yields no row.
 
     A record without any field yields one row with a NULL field, so records stay countable.
     """
@@ -48,23 +52,26 @@ def explode_fields(events: DataFrame, by: str = "event", fields: str = "fields")
         .when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), "json").otherwise("number")
     )
     return (
-        events.select(by, F.posexplode_outer(F.map_entries(fields)).alias("position", "e"))
-        .select(by, "position", F.col("e.key").alias("field"), F.col("e.value").alias("v"))
+        events.select(*also, by, F.posexplode_outer(F.map_entries(fields)).alias("position", "e"))
+        .select(*also, by, "position", F.col("e.key").alias("field"), F.col("e.value").alias("v"))
         .withColumn("json_type", F.when(F.col("field").isNotNull(), json_type))
         .select(
-            by, "position", "field", "json_type", value_text(F.col("v")).alias("text"),
+            *also, by, "position", "field", "json_type", value_text(F.col("v")).alias("text"),
         )
     )
 
 
-def profile_cells(cells: DataFrame, by: str = "event") -> DataFrame:
-    """Profile from :func:`explode_fields` rows. Every statistic covers all values; samples are the smallest texts."""
+SUMS = ("nullish_n", "present_n", "booleans", "numbers", "timestamps", "objects", "fraction_n", "hex_n", "records")
+
+
+def fold_values(cells: DataFrame, *keys: str) -> DataFrame:
+    """One row per key, field and different value ``t``, with what a profile adds up of it."""
     text, json_type = F.col("text"), F.col("json_type")
     nullish = (json_type == "null") | (text == "")
     # NULL is a value too; the same printed text under two JSON types is one value
     value = F.when(json_type != "null", text).otherwise(NULL_TEXT).alias("t")
     of = lambda condition: F.count_if(condition & ~nullish)
-    counted = cells.groupBy(by, "field", value).agg(
+    counted = cells.groupBy(*keys, "field", value).agg(
         F.min("position").alias("position"), F.count_if(nullish).alias("nullish_n"), of(F.lit(True)).alias("present_n"),
         of(json_type == "boolean").alias("booleans"), of(json_type == "number").alias("numbers"),
         of(json_type == "string").alias("strings"), of(json_type == "json").alias("objects"),
@@ -73,30 +80,35 @@ def profile_cells(cells: DataFrame, by: str = "event") -> DataFrame:
     )
     # what a text looks like is asked once for each different one
     number = F.when(F.col("numbers") > 0, F.col("t").try_cast("double"))
-    folded = counted.withColumn("number", number).select(
+    return counted.withColumn("number", number).select(
         "*", F.when(F.col("t").rlike(TIMESTAMP_TEXT), F.col("strings")).otherwise(0).alias("timestamps"),
         F.when(F.col("number") != F.floor("number"), F.col("numbers")).otherwise(0).alias("fraction_n"),
         F.when(F.col("t").rlike(HEX_ID), F.col("present_n")).otherwise(0).alias("hex_n"),
         F.when(F.col("present_n") > 0, F.length("t")).alias("longest"), F.col("number").alias("lowest"), F.col("number").alias("highest"),
     )
-    sums = ("nullish_n", "present_n", "booleans", "numbers", "timestamps", "objects", "fraction_n", "hex_n", "records")
-    # as many rows per event as it has fields
-    of_event = Window.partitionBy(by)
-    stats = (
-        folded.groupBy(by, "field")
-        .agg(
-            F.min("position").alias("position"), F.count(F.lit(1)).alias("distinct_n"), *[F.sum(c).alias(c) for c in sums],
-            F.max("longest").alias("longest"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
-        )
-        .withColumn("rows_n", F.sum("records").over(of_event))
-        .filter(F.col("field").isNotNull())
-    )
+
+
+def _totals() -> list[Column]:
+    return [F.min("position").alias("position"), *[F.sum(c).alias(c) for c in SUMS], F.max("longest").alias("longest"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest")]
+
+
+def _least_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """The smallest of the different texts ``t`` per key, as an array."""
+    return first_per_key(texts, keys, [F.col("t")], SAMPLES).groupBy(*keys).agg(F.array_sort(F.collect_list("t")).alias("samples"))
+
+
+def profile_cells(cells: DataFrame, by: str = "event") -> DataFrame:
+    """Profile from :func:`explode_fields` rows. Every statistic covers all values; samples are the smallest texts."""
+    folded = fold_values(cells, by)
+    stats = folded.groupBy(by, "field").agg(*_totals(), F.count(F.lit(1)).alias("distinct_n"))
     present = folded.filter("present_n > 0 AND field IS NOT NULL").select(by, "field", "t")
-    samples = (
-        first_per_key(present, [by, "field"], [F.col("t")], SAMPLES)
-        .groupBy(by, "field")
-        .agg(F.array_sort(F.collect_list("t")).alias("samples"))
-    )
+    return _described(stats, _least_texts(present, [by, "field"]), by)
+
+
+def _described(stats: DataFrame, samples: DataFrame, by: str) -> DataFrame:
+    """The profile of (by, field) totals and samples."""
+    # as many rows per event as it has fields
+    stats = stats.withColumn("rows_n", F.sum("records").over(Window.partitionBy(by))).filter(F.col("field").isNotNull())
     n = F.col("present_n")
     kind = (
         F.when(n == 0, "string").when(F.col("booleans") == n, "boolean").when(F.col("numbers") == n, "number")
@@ -125,6 +137,40 @@ def profile_events(events: DataFrame, by: str = "event", fields: str = "fields")
     return profile_cells(explode_fields(events, by, fields), by)
 
 
+def save_profile_states(events: DataFrame, folder: str, part: str = "file", by: str = "event", fields: str = "fields") -> None:
+    """Add to the states in ``folder`` one for each ``part`` of ``events``, from these events alone. A part that is saved again replaces its own state.
+
+    ``fields/`` holds a row per (part, by, field): totals and the least texts. ``values/`` holds the MD5 digest of each of its different values, so that different
+    values are counted exactly over parts without keeping texts. Without events nothing is written. NULL is a part of its own.
+    """
+    keys = [part, by, "field"]
+    folded = materialise(fold_values(explode_fields(events, by, fields, part), part, by), "folded")
+    samples = _least_texts(folded.filter("present_n > 0 AND field IS NOT NULL").select(*keys, "t"), keys)
+    named = lambda c: c.withColumnRenamed("field", "_f").withColumnRenamed(part, "_p").withColumnRenamed(by, "_b")
+    same = F.col(part).eqNullSafe(F.col("_p")) & F.col(by).eqNullSafe(F.col("_b")) & (F.col("field") == F.col("_f"))
+    totals = folded.groupBy(*keys).agg(*_totals()).join(named(samples), same, "left").drop("_p", "_b", "_f")
+    values = folded.filter("field IS NOT NULL").select(*keys, F.unhex(F.md5("t")).alias("digest"))
+    # values first: a part counts by its fields
+    for rows, name in ((values, "values"), (totals, "fields")):
+        laid = rows.repartitionByRange(*[F.col(c) for c in rows.columns if c in (*keys, "digest")])
+        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{folder}/{name}")
+
+
+def merged_profile(totals: DataFrame, values: DataFrame, by: str = "event") -> DataFrame:
+    """The profile of all parts together from their states; the same as :func:`profile_events` over all their events."""
+    keys = [by, "field"]
+    stats = totals.groupBy(*keys).agg(*_totals())
+    different = values.select(*keys, "digest").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct_n"))
+    texts = totals.select(*keys, F.explode("samples").alias("t")).distinct()
+    matched = stats.alias("s").join(different.alias("d"), F.col(f"s.{by}").eqNullSafe(F.col(f"d.{by}")) & (F.col("s.field") == F.col("d.field")), "left")
+    return _described(matched.select("s.*", "distinct_n"), _least_texts(texts, keys), by)
+
+
+def read_profile(spark: SparkSession, folder: str, by: str = "event") -> DataFrame:
+    """The profile of all parts whose states are in ``folder``; a folder without any raises."""
+    return merged_profile(spark.read.parquet(f"{folder}/fields"), spark.read.parquet(f"{folder}/values"), by)
+
+
 def new_fields(profile: DataFrame, envelope: DataFrame | None = None, by: str = "event") -> DataFrame:
     """Fields outside the known envelope."""
     if envelope is None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidencelake.operators import profiling
 from evidencelake.plans.registry import Tables, query
+from evidencelake.session import fresh_path
 from evidencelake.sources import ndjson, tables
 
 
@@ -125,6 +126,20 @@ def field_profile(t: Tables) -> DataFrame:
     return profiling.profile_events(good_events(t)).drop("samples", "position")
 
 
+@query("PRO8 PRO5", f"""
+WITH {PROFILE_SQL}, d AS (SELECT DISTINCT event, field, v FROM cells WHERE v != ''),
+least AS (SELECT event, field, string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY event, field ORDER BY v) <= 5) GROUP BY 1, 2)
+SELECT event, field, inferred_type, null_rate, CAST(distinct_n AS BIGINT) AS distinct_n, present_n, fraction_n, hex_n, rows_n, coalesce(samples, '') AS samples,
+ CAST(CASE WHEN inferred_type IN ('string', 'timestamp') THEN coalesce(longest, 0) END AS INTEGER) AS max_length, lo AS min_value, hi AS max_value FROM prof LEFT JOIN least USING (event, field)""")
+def incremental_profile(t: Tables) -> DataFrame:
+    """The profile of five files from the states of each: three saved together, two that came later saved alone, the last of them twice."""
+    folder, events = fresh_path(t.spark, "profile"), good_events(t)
+    for files in (("file_0", "file_1", "file_2"), ("file_3",), ("file_4",), ("file_4",)):
+        profiling.save_profile_states(events.filter(F.col("file").isin(*files)), folder)
+    p = profiling.read_profile(t.spark, folder).drop("position")
+    return p.withColumn("samples", F.array_join("samples", "|"))
+
+
 @query("PRO5", f"""
 WITH {PROFILE_SQL}, d AS (SELECT DISTINCT event, field, v FROM cells WHERE v != '')
 SELECT event, field, string_agg(v, '|' ORDER BY v) AS samples FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY event, field ORDER BY v) <= 5) GROUP BY 1, 2""")

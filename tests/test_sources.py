@@ -97,6 +97,25 @@ def test_distinct_values_are_all_counted(spark):
     assert p == {"k": 5200, "j": 4999}
 
 
+def test_states_merge_to_the_whole_profile(spark, tmp_path):
+    """Values in several files, a file with nothing but blanks, empty records, null and repeated files, fractions and long texts in one file only."""
+    rows = [("a", '{"event":"e","n":1,"s":"x","m":null}'), ("a", '{"event":"e","n":1.5,"s":"%s"}' % ("y" * 300)), ("b", '{"event":"e","n":1,"s":"x"}'), ("b", '{"event":"f"}'), ("b", '{"event":"f"}'),
+            ("c", '{"event":"e","n":null,"s":""}'), ("c", '{"event":"e","t":"2026-01-01 10:00:00","n":7}'), ("d", '{"event":"f","ok":true,"l":[1],"s":"2"}'), ("d", '{"event":"f","s":2}'), (None, '{"event":"f","s":"z"}'),
+            *(("b", '{"event":"g","k":%d}' % i) for i in range(9)), *(("d", '{"event":"g","k":%d}' % i) for i in range(5, 20))]
+    events = ndjson.flatten_events(ndjson.parse_lines(spark.createDataFrame(rows, "file string, value string")))
+    whole = {(r.event, r.field): r for r in profiling.profile_events(events).collect()}
+    folder, at = str(tmp_path / "states"), F.col("file")
+    parts = (at.isin("a", "b"), at == "c", at == "c", at == "d", at.isNull(), at == "none")
+    written = lambda: {f: f.stat().st_mtime_ns for f in (tmp_path / "states").rglob("*.parquet")}
+    for part in parts:
+        before = written()
+        profiling.save_profile_states(events.filter(part), folder)
+        # only the own files are written
+        assert not before or {f for f in before if "file=a" in str(f) or "file=b" in str(f)} <= {f for f, m in written().items() if before.get(f) == m}
+    merged = {(r.event, r.field): r for r in profiling.read_profile(spark, folder).collect()}
+    assert merged == whole and whole["g", "k"].distinct_n == 20 and whole["e", "n"].samples == ["1", "1.5", "7"]
+
+
 TYPES = "event string, field string, position int, inferred_type string, null_rate double, distinct_n long, present_n long, fraction_n long, hex_n long, rows_n long, samples array<string>, max_length int, min_value double, max_value double"
 
 
