@@ -103,7 +103,7 @@ PROFILE_SQL = f"""
 cells AS (SELECT event, 'id' AS field, 'string' AS ty, md5(CAST(event_id AS VARCHAR)) AS v, NULL::DOUBLE AS num FROM good
  UNION ALL SELECT event, 'timestamp', 'timestamp', strftime(ts, '%Y-%m-%d %H:%M:%S'), NULL FROM good
  UNION ALL SELECT event, 'user_id', 'string', 'u' || user_id, NULL FROM good
- UNION ALL SELECT event, 'amount', 'number', CAST(value AS VARCHAR), value FROM good
+ UNION ALL SELECT event, 'amount', 'number', regexp_replace(CAST(value AS VARCHAR), '\\.0$', ''), value FROM good
  UNION ALL SELECT event, 'ok', 'number', CASE WHEN event_id % 2 = 0 THEN '1' ELSE '0' END, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END FROM good
  UNION ALL SELECT event, 'os', 'string', CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'iOS' END, NULL FROM good
  UNION ALL SELECT event, 'device_type', 'string', CASE WHEN event_id % 4 = 0 THEN 'web' ELSE 'ios' END, NULL FROM good
