@@ -1,21 +1,29 @@
 """Is every number quoted in an answer backed by its results?
 
-Figures are matched to the pool of an answer by an equi-join on tolerance bands, so an answer with very many
-figures or quoted numbers is spread over tasks. Differences and ratios are met on the same bands.
+The figures of an answer are kept in sorted blocks of bounded size, and so are its open numbers. What is shuffled are
+blocks, never a row per number and figure; an answer with very many figures or quoted numbers is many blocks and is
+spread over tasks. Blocks whose bounds rule out a difference or ratio are not compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from evidencelake.functions.text import normalised, numbers_in, to_number
+from evidencelake.session import materialise
 
 # Fixed values.
 ABSOLUTE_TOLERANCE = 0.06
 RELATIVE_TOLERANCE = 0.015
 SMALL_INTEGER = 12
 YEARS = (2020, 2030)
+BLOCK = 1024
 MIN_WHY = 60
 MIN_ACTION = 25
 DATE_IN_TEXT = r"\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?"
@@ -38,7 +46,7 @@ def band(x: Column) -> Column:
 
 
 def near_bands(n: Column) -> Column:
-    """Every band a figure near the number can fall in; one more on either side absorbs rounding at the edges."""
+    """Every band a figure near the number can fall in, for joins by equality; one more on either side absorbs rounding at the edges."""
     r = _near_range(n)
     return F.sequence(band(r["lo"]) - 1, band(r["hi"]) + 1)
 
@@ -144,40 +152,144 @@ def quoted_numbers(texts: DataFrame) -> DataFrame:
     )
 
 
-def _bands_between(low: Column, high: Column) -> Column:
-    """Every band of the interval; one more on either side absorbs rounding at the edges."""
-    return F.sequence(band(low) - 1, band(high) + 1)
+def sorted_blocks(df: DataFrame, column: str) -> DataFrame:
+    """``(answer_id, block, first, last, members)``: the different numbers of every answer, sorted and cut into blocks of at most ``BLOCK``.
 
+    Answers are dealt by ranges of their numbers, so none passes through one task. A block's id tells it from others of
+    this run only: write the blocks before they are read twice.
+    """
+    numbers = df.select("answer_id", F.col(column).alias("v")).dropna().distinct()
+    placed = numbers.repartitionByRange("answer_id", "v").sortWithinPartitions("answer_id", "v").withColumn("i", F.monotonically_increasing_id())
+    members = placed.groupBy("answer_id", F.shiftright("i", BLOCK.bit_length() - 1).alias("block")).agg(F.array_sort(F.collect_list("v")).alias("members"))
+    return members.select("answer_id", "block", F.element_at("members", 1).alias("first"), F.element_at("members", -1).alias("last"), "members")
 
-def derivable(open_: DataFrame, pool: DataFrame) -> DataFrame:
-    """``(answer_id, n)`` of the open numbers that are a difference or ratio of two different figures, or a percentage of two counts.
 
-    An open number and one figure of its answer leave an interval for the other figure, which is met on its bands - so
-    figures are never paired with one another.
-    """
-    values = pool.select("answer_id", F.col("value").alias("b")).distinct()
-    b, lo, hi = F.col("b"), F.col("r.lo"), F.col("r.hi")
-    whole = b == F.floor(b)
-    times = lambda scale: (F.least(lo / scale * b, hi / scale * b), F.greatest(lo / scale * b, hi / scale * b))
-    wanted = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"))
-    asks = F.array_compact(F.array(
-        wanted("difference", lo + b, hi + b), F.when(b != 0, wanted("ratio", *times(1.0))), F.when((b != 0) & whole, wanted("percent", *times(100.0)))
-    ))
-    asked = (
-        open_.select("answer_id", "n").distinct().withColumn("r", _near_range(F.col("n"))).join(values, "answer_id")
-        .select("answer_id", "n", "r", "b", F.inline(asks))
-        .select("*", F.explode(_bands_between(F.col("low"), F.col("high"))).alias("_band"))
+def figure_blocks(pool: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """The blocks of all citable figures, written once; ``derives`` says whether they are usable in arithmetic, which asked numbers are not."""
+    blocks = sorted_blocks(pool, "value").withColumn("derives", F.lit(True))
+    if asked is not None:
+        blocks = blocks.unionByName(sorted_blocks(asked.withColumn("value", F.col("value").cast("double")), "value").withColumn("derives", F.lit(False)))
+    return materialise(blocks, "figures")
+
+
+def meeting_blocks(open_: DataFrame, figures: DataFrame) -> DataFrame:
+    """``(answer_id, ns, bs, xs)``: open numbers with every two blocks of figures that a difference, ratio or percentage among them can come from."""
+    numbers = sorted_blocks(open_, "n").select(
+        "answer_id", F.col("members").alias("ns"), _near_range(F.col("first"))["lo"].alias("lo"), _near_range(F.col("last"))["hi"].alias("hi")
     )
-    figures = values.select(F.col("answer_id").alias("_a"), F.col("b").alias("a"), band(F.col("b")).alias("_b"))
-    a = F.col("a")
-    share = a / F.nullif(b, F.lit(0.0))
-    inside = lambda x, scale=1.0: (x >= lo / scale) & (x <= hi / scale)
-    test = (
-        F.when(F.col("kind") == "difference", inside(a - b)).when(F.col("kind") == "ratio", inside(share))
-        .otherwise((a == F.floor(a)) & inside(share, 100.0) & (F.abs(share) <= 1))
+    figures = figures.filter("derives")
+    bounds = lambda x: figures.select("answer_id", F.col("block").alias(f"{x}_block"), F.col("first").alias(f"{x}_first"), F.col("last").alias(f"{x}_last"))
+    members = lambda x: figures.select("answer_id", F.col("block").alias(f"{x}_block"), F.col("members").alias(f"{x}s"))
+    lo, hi, b_first, b_last = (F.col(c) for c in ("lo", "hi", "b_first", "b_last"))
+    corners = [x * y for x in (lo, hi) for y in (b_first, b_last)]
+    slack = sum((F.abs(x) for x in (lo, hi, b_first, b_last)), F.lit(0.0)) * 1e-6
+
+    def reaches(low: Column, high: Column) -> Column:
+        more = slack + (F.abs(low) + F.abs(high)) * 1e-6
+        return (F.col("x_last") >= low - more) & (F.col("x_first") <= high + more)
+
+    ratios = F.least(*corners), F.greatest(*corners)
+    can = reaches(lo + b_first, hi + b_last) | reaches(*ratios) | reaches(*[x / 100 for x in ratios])
+    return (
+        numbers.join(bounds("b"), "answer_id").join(bounds("x"), "answer_id").filter(can).select("answer_id", "ns", "b_block", "x_block")
+        .join(members("b"), ["answer_id", "b_block"]).join(members("x"), ["answer_id", "x_block"]).select("answer_id", "ns", "bs", "xs")
     )
-    met = (F.col("answer_id") == F.col("_a")) & (F.col("_band") == F.col("_b"))
-    return asked.join(figures, met).filter((a != b) & test).select("answer_id", "n").distinct()
+
+
+def _lower_bounds(xs: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Per interval the first index in ``start..end`` of a figure of at least ``low``; every such stretch of ``xs`` is sorted."""
+    start, end = start.copy(), end.copy()
+    while (open_ := start < end).any():
+        middle = (start + end) // 2
+        less = open_ & (xs[np.where(open_, middle, 0)] < low)
+        start, end = np.where(less, middle + 1, start), np.where(open_ & ~less, middle, end)
+    return start
+
+
+def _any_between(xs: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, test) -> np.ndarray:
+    """Per interval whether ``test(figures, intervals)`` holds of a figure in it, looked up in ``start..end`` of ``xs``."""
+    found = np.zeros(len(low), bool)
+    k = np.nonzero(start < end)[0]
+    # NaN is the greatest figure and in no interval
+    k = k[~(xs[start[k]] > high[k]) & ~(xs[end[k] - 1] < low[k])]
+    at = _lower_bounds(xs, start[k], end[k], low[k])
+    while len(k):
+        inside = at < end[k]
+        inside[inside] = xs[at[inside]] <= high[k[inside]]
+        k, at = k[inside], at[inside]
+        passed = test(xs[at], k)
+        found[k[passed]] = True
+        k, at = k[~passed], at[~passed] + 1
+    return found
+
+
+def _derived(ns: np.ndarray, n_at: np.ndarray, bs: np.ndarray, b_at: np.ndarray, xs: np.ndarray, x_at: np.ndarray) -> np.ndarray:
+    """Which of ``ns`` are a difference or ratio of a figure of ``xs`` and another of ``bs``, or a percentage of two counts.
+
+    Unit u has the numbers ``ns[n_at[u]:n_at[u + 1]]``, and so on; its ``xs`` are sorted.
+    """
+    found = np.zeros(len(ns), bool)
+    inward, outward = ns / (1 + RELATIVE_TOLERANCE), ns / (1 - RELATIVE_TOLERANCE)
+    los = np.minimum(np.minimum(ns - ABSOLUTE_TOLERANCE, inward), outward)
+    his = np.maximum(np.maximum(ns + ABSOLUTE_TOLERANCE, inward), outward)
+    # every number of a unit with every one of its bs
+    width = np.diff(b_at)
+    cells = np.diff(n_at) * width
+    unit = np.repeat(np.arange(len(cells)), cells)
+    nth = np.arange(len(unit)) - np.repeat(np.cumsum(cells) - cells, cells)
+    i, j = n_at[unit] + nth // width[unit], b_at[unit] + nth % width[unit]
+    lo, hi, b = los[i], his[i], bs[j]
+
+    def difference(x, k):
+        return (x != b[k]) & (x - b[k] >= lo[k]) & (x - b[k] <= hi[k])
+
+    # the bounds are a little wider than the test, which decides
+    slack = (np.abs(lo) + np.abs(hi) + np.abs(b)) * 1e-9
+    found[i[_any_between(xs, x_at[unit], x_at[unit + 1], lo + b - slack, hi + b + slack, difference)]] = True
+
+    whole = xs == np.floor(xs)
+    before = np.concatenate([[0], np.cumsum(whole)])
+    for scale, figures, at, usable in ((1.0, xs, x_at, b != 0), (100.0, xs[whole], before[x_at], (b != 0) & (b == np.floor(b)))):
+        c = np.nonzero(usable & ~found[i])[0]
+        u, ci, cb = unit[c], i[c], b[c]
+        low, high = los[ci] / scale, his[ci] / scale
+
+        def share(x, k):
+            s = x / cb[k]
+            return (x != cb[k]) & (s >= low[k]) & (s <= high[k]) & ((scale == 1.0) | (np.abs(s) <= 1))
+
+        one, other = low * cb, high * cb
+        slack = (np.abs(one) + np.abs(other)) * 1e-9 + 1e-300
+        least, most = np.minimum(one, other), np.maximum(one, other)
+        if scale != 1.0:
+            least, most = np.maximum(least, -np.abs(cb)), np.minimum(most, np.abs(cb))
+        found[ci[_any_between(figures, at[u], at[u + 1], least - slack, most + slack, share)]] = True
+    return found
+
+
+def _derived_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (ns, n_at), (bs, b_at), (xs, x_at) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy().astype(np.int64)) for c in (batch.column(n) for n in ("ns", "bs", "xs")))
+        cells = np.cumsum(np.diff(n_at) * np.diff(b_at))
+        # as many units at a time as fill one pair of whole blocks
+        for rows in np.split(np.arange(len(cells)), np.unique(np.searchsorted(cells, np.arange(BLOCK**2, cells[-1] if len(cells) else 0, BLOCK**2), "right"))):
+            if len(rows):
+                of = slice(rows[0], rows[-1] + 2)
+                first, last = n_at[rows[0]], n_at[rows[-1] + 1]
+                with np.errstate(all="ignore"):
+                    hits = _derived(ns[first:last], n_at[of] - first, bs, b_at[of], xs, x_at[of])
+                row = np.repeat(rows, np.diff(n_at[of]))[hits]
+                yield pa.RecordBatch.from_arrays([batch.column("answer_id").take(pa.array(row)), pa.array(ns[first:last][hits])], ["answer_id", "n"])
+
+
+def derivable(open_: DataFrame, figures: DataFrame) -> DataFrame:
+    """``(answer_id, n)`` of the open numbers that are a difference or ratio of two different figures, or a percentage of two counts.
+
+    ``figures`` are :func:`figure_blocks`. An open number and one figure leave an interval for the other, which is looked
+    up in the sorted blocks - so figures are never paired with one another.
+    """
+    units = meeting_blocks(open_, figures)
+    return units.mapInArrow(_derived_in, StructType([units.schema["answer_id"], StructField("n", DoubleType())])).distinct()
 
 
 def uncited_numbers(
@@ -190,23 +302,16 @@ def uncited_numbers(
     """
     if dates is not None:
         texts = without_known_dates(texts, dates)
-    # a text quotes few numbers beside its pool, so the numbers are spread over bands and the pool stays single
-    numbers = quoted_numbers(texts).withColumn("_band", F.explode_outer(near_bands(F.col("n"))))
-    citable = pool.select("answer_id", "value")
-    if asked is not None:
-        citable = citable.unionByName(asked.select("answer_id", F.col("value").cast("double").alias("value")))
-    figures = citable.distinct().select(
-        F.col("answer_id").alias("_a"), F.col("value").alias("_v"), band(F.col("value")).alias("_b")
+    figures = figure_blocks(pool, asked)
+    n, r = F.col("n"), _near_range(F.col("n"))
+    slack = F.abs(n) * 1e-6 + 1e-6
+    met = (
+        (F.col("answer_id") == F.col("_a")) & (F.col("last") >= r["lo"] - slack) & (F.col("first") <= r["hi"] + slack)
+        & F.exists("members", lambda v: near(n, v))
     )
-    match = (F.col("answer_id") == F.col("_a")) & (F.col("_band") == F.col("_b")) & near(F.col("n"), F.col("_v"))
-    open_ = (
-        numbers.join(figures, match, "left")
-        .groupBy("answer_id", "raw", "n")
-        .agg(F.max(F.col("_v").isNotNull()).alias("_cited"))
-        .filter(~F.col("_cited"))
-    )
-
-    return open_.join(derivable(open_, pool), ["answer_id", "n"], "left_anti").select("answer_id", "raw").distinct()
+    # read twice
+    open_ = materialise(quoted_numbers(texts).join(figures.withColumnRenamed("answer_id", "_a"), met, "left_anti"), "open")
+    return open_.join(derivable(open_, figures), ["answer_id", "n"], "left_anti").select("answer_id", "raw").distinct()
 
 
 def asked_numbers(questions: DataFrame) -> DataFrame:

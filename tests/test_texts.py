@@ -57,6 +57,27 @@ def test_band_join_agrees_with_the_predicate(spark):
     assert got == {(x, f) for x in numbers for f in figures if abs(x - f) <= max(0.06, abs(f) * 0.015)}
 
 
+def test_derived_numbers_cost_no_row_per_figure(spark, monkeypatch):
+    """Answers of many blocks of figures and numbers find what a full comparison finds, and blocks meet only where a result can come from."""
+    monkeypatch.setattr(citations, "BLOCK", 16)
+    many = [float(i * i) if i % 3 else i * 7.31 for i in range(1, 200)]
+    numbers = {"few": [5.2, 43.0, 33.3, 61.4, 7e5], "many": [round(13.7 * i, 2) for i in range(1, 40)] + [2e6, 0.02, 9e-9], "none": [50.0]}
+    figures = {"few": [10.0, 15.2, 100.0, 43.0, 0.0, -3.0], "many": many}
+    frame = lambda d, c: spark.createDataFrame([(a, float(x)) for a, v in d.items() for x in v], f"answer_id string, {c} double")
+    blocks, open_ = citations.figure_blocks(frame(figures, "value")), frame(numbers, "n")
+
+    def derived(n, a, b):
+        near = lambda x, scale=1.0: min(n - 0.06, n / 1.015, n / 0.985) / scale <= x <= max(n + 0.06, n / 1.015, n / 0.985) / scale
+        return a != b and (near(a - b) or b != 0 and (near(a / b) or a == int(a) and b == int(b) and abs(a / b) <= 1 and near(a / b, 100.0)))
+
+    got = {(r.answer_id, r.n) for r in citations.derivable(open_, blocks).collect()}
+    assert got == {(k, n) for k, v in figures.items() for n in numbers[k] if any(derived(n, a, b) for a in v for b in v)} and 10 < len(got) < 46
+    sizes = {r.answer_id: r.n for r in blocks.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("members")).alias("most")).filter("most <= 16").collect()}
+    units = citations.meeting_blocks(open_, blocks).groupBy("answer_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    # an open number and a figure are no row: 42 numbers of 199 figures are at most 5 blocks with 15 times 15
+    assert sizes["many"] < 16 and {r.answer_id for r in units} == {"few", "many"} and all(r.n <= 5 * sizes[r.answer_id] ** 2 for r in units)
+
+
 def test_pool_puts_shown_rows_before_profiles(spark):
     cell = "answer_id string, task_position int, row_id int, position int, value double"
     cells = spark.createDataFrame([("a", 0, 0, 0, 0.5), ("a", 0, 30, 0, 77.0), ("a", 1, 0, 0, 0.31)], cell)
