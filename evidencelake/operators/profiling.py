@@ -33,9 +33,8 @@ ENVELOPE = (
 )
 
 
-def value_text(v: Column) -> Column:
-    """A value as it would be printed: numbers without a trailing ``.0``, objects and arrays as JSON."""
-    kind = F.schema_of_variant(v)
+def value_text(v: Column, kind: Column) -> Column:
+    """A value of a variant type as it would be printed: numbers without a trailing ``.0``, objects and arrays as JSON."""
     text = F.try_variant_get(v, "$", "string")
     whole = F.regexp_replace(text, r"\.0$", "")
     return F.when(kind.isin("DOUBLE", "FLOAT"), whole).otherwise(text)
@@ -46,17 +45,17 @@ def explode_fields(events: DataFrame, by: str = "event", fields: str = "fields",
 
     A record without any field yields one row with a NULL field, so records stay countable.
     """
-    kind = F.schema_of_variant("v")
+    kind = F.col("kind")
     json_type = (
         F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string")
         .when(F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY")), "json").otherwise("number")
     )
     return (
         events.select(*also, by, F.posexplode_outer(F.map_entries(fields)).alias("position", "e"))
-        .select(*also, by, "position", F.col("e.key").alias("field"), F.col("e.value").alias("v"))
+        .select(*also, by, "position", F.col("e.key").alias("field"), F.col("e.value").alias("v"), F.schema_of_variant("e.value").alias("kind"))
         .withColumn("json_type", F.when(F.col("field").isNotNull(), json_type))
         .select(
-            *also, by, "position", "field", "json_type", value_text(F.col("v")).alias("text"),
+            *also, by, "position", "field", "json_type", value_text(F.col("v"), kind).alias("text"),
         )
     )
 

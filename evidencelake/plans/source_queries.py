@@ -24,7 +24,9 @@ def raw_lines(t: Tables) -> DataFrame:
         s(i % 7), F.lit("}"),
     )
     value = F.when(i % 101 == 0, "   ").when(i % 103 == 0, F.concat(F.lit("{broken "), s(i))).otherwise(body)
-    return t.events.select(F.concat(F.lit("file_"), s(i % 5)).alias("file"), value.alias("value"), "event_id")
+    # a small file makes few tasks, and a line costs far more than the row it is made of
+    events = t.events.repartition("event_id", "ts")
+    return events.select(F.concat(F.lit("file_"), s(i % 5)).alias("file"), value.alias("value"), "event_id")
 
 
 LINES = """

@@ -19,8 +19,9 @@ def parse_lines(lines: DataFrame, mode: str = "skip", text: str = "value") -> Da
     # read as the only element of a list: text after the object then breaks the list instead of being ignored
     listed = F.from_json(F.concat(F.lit("["), F.col(text), F.lit("]")), "array<map<string,variant>>", STRICT_JSON)
     record = F.transform(F.array(listed), lambda r: F.when(F.size(r) == 1, last_of_repeated(F.get(r, F.lit(0)))))
-    # taken out by a generator, which filters are not pushed through: the text is parsed once
-    parsed = lines.filter(F.col(text).rlike(r"\S")).select("*", F.explode_outer(record).alias("record"))
+    # taken out by a generator, which filters are not pushed through: the text is made and parsed once
+    read = F.explode_outer(F.array(F.struct(F.col(text).rlike(r"\S").alias("written"), F.get(record, F.lit(0)).alias("record"))))
+    parsed = lines.select("*", read.alias("_read")).filter("_read.written").select(*lines.columns, "_read.record")
     if mode == "skip":
         parsed = parsed.filter(F.col("record").isNotNull())
     elif mode == "fail":
@@ -74,10 +75,20 @@ def _unique_names(names: Column) -> Column:
         free = F.get(F.filter(numbered, lambda c: ~F.array_contains(taken, c)), F.lit(0))
         return F.when(F.array_contains(taken, name), free).otherwise(name)
 
-    suffixed = F.aggregate(
-        names, F.array().cast("array<string>"), lambda taken, name: F.concat(taken, F.array(free_name(taken, name)))
-    )
-    return F.when(F.size(F.array_distinct(names)) < F.size(names), suffixed).otherwise(names)
+    def suffixed(ns: Column) -> Column:
+        one_by_one = F.aggregate(
+            ns, F.array().cast("array<string>"), lambda taken, name: F.concat(taken, F.array(free_name(taken, name)))
+        )
+        # no written name can be a numbered one: the number is how often the name came before
+        before = lambda name, i: F.size(F.filter(F.slice(ns, 1, i), lambda n: n == name))
+        counted = F.transform(
+            ns, lambda name, i: F.when(F.array_position(ns, name) <= i, F.concat(name, F.lit("__"), (before(name, i) + 1).cast("string"))).otherwise(name)
+        )
+        return F.when(F.exists(ns, lambda n: F.contains(n, F.lit("__"))), one_by_one).otherwise(counted)
+
+    # bound as a variable: the names are taken out once
+    bound = F.transform(F.array(names), lambda ns: F.when(F.size(F.array_distinct(ns)) < F.size(ns), suffixed(ns)).otherwise(ns))
+    return F.get(bound, F.lit(0))
 
 
 def _zero_one(v: Column) -> Column:

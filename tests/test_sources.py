@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencelake.operators import profiling
+from evidencelake.plans.registry import Tables
+from evidencelake.plans.source_queries import good_events
 from evidencelake.sources import ndjson, tables, versions
 from evidencelake.streaming.intake import sink_hourly_counts, staged_lines, stream_events, typed_rows
 
@@ -69,6 +71,18 @@ def test_name_collisions(spark, line, names):
     assert df.select(F.map_keys("fields")).first()[0] == names
 
 
+def test_a_name_taken_several_times_is_counted(spark, tmp_path):
+    """Without written ``__`` names the number is how often the name came before; the line is made once and spread over tasks before it is parsed."""
+    line = '{"a":{"b_c":1},"x":0,"a_b":{"c":2},"a_b_c":3,"x_y":4,"x_":5}'
+    df = ndjson.flatten_events(ndjson.parse_lines(spark.createDataFrame([(line,)], "value string")))
+    assert df.select(F.map_keys("fields")).first()[0] == ["a_b_c", "x", "a_b_c__2", "a_b_c__3", "x_y", "x_"]
+    rows = spark.sql("SELECT id AS event_id, TIMESTAMP_NTZ'2026-01-01 10:00:00' AS ts, id AS user_id, 'view' AS event_type, 1.5D AS value FROM range(1, 4)")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    events = good_events(Tables(spark, str(tmp_path)))
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert events.count() == 3 and plan.count("date_format(") == 1 and "RepartitionByExpression" in plan
+
+
 def test_profile(events):
     p = {(r.event, r.field): r for r in profiling.profile_events(events).collect()}
     os = p["otp_entered", "os"]
