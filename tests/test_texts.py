@@ -78,6 +78,16 @@ def test_derived_numbers_cost_no_row_per_figure(spark, monkeypatch):
     assert sizes["many"] < 16 and {r.answer_id for r in units} == {"few", "many"} and all(r.n <= 5 * sizes[r.answer_id] ** 2 for r in units)
 
 
+def test_audit_over_many_blocks(spark, monkeypatch):
+    """An answer whose figures fill several blocks, one without figures and one without numbers are counted alike."""
+    monkeypatch.setattr(citations, "BLOCK", 4)
+    texts = spark.createDataFrame([("a", "s", "from 400 to 4,100, a gap of 3,700, not 77,000"), ("b", "s", "over 55 and 66.5"), ("c", "s", "none"), ("d", "s", "nearly 55")], "answer_id string, section string, text string")
+    pool = spark.createDataFrame([("a", float(100 * i)) for i in range(1, 42)] + [("c", 1.0), ("d", 55.2)], "answer_id string, value double")
+    assert citations.figure_blocks(pool).filter("answer_id = 'a'").count() > 10
+    audit = citations.citation_audit(texts, citations.uncited_numbers(texts, pool)).collect()
+    assert {(r.answer_id, r.uncited_n, r.passes) for r in audit} == {("a", 1, False), ("b", 2, False), ("c", 0, True), ("d", 0, True)}
+
+
 def test_pool_puts_shown_rows_before_profiles(spark):
     cell = "answer_id string, task_position int, row_id int, position int, value double"
     cells = spark.createDataFrame([("a", 0, 0, 0, 0.5), ("a", 0, 30, 0, 77.0), ("a", 1, 0, 0, 0.31)], cell)
