@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from evidencelake.functions.text import normalised, numbers_in, to_number
 from evidencelake.session import materialise
@@ -165,37 +165,120 @@ def sorted_blocks(df: DataFrame, column: str) -> DataFrame:
 
 
 def figure_blocks(pool: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """The blocks of all citable figures, written once; ``derives`` says whether they are usable in arithmetic, which asked numbers are not."""
+    """The blocks of all citable figures, written once; ``derives`` says whether they are usable in arithmetic, which asked numbers are not.
+
+    ``first_count`` and ``last_count`` are the least and the greatest whole number of a block, null without one.
+    """
     blocks = sorted_blocks(pool, "value").withColumn("derives", F.lit(True))
     if asked is not None:
         blocks = blocks.unionByName(sorted_blocks(asked.withColumn("value", F.col("value").cast("double")), "value").withColumn("derives", F.lit(False)))
-    return materialise(blocks, "figures")
+    counts = F.filter("members", lambda v: (F.rint(v) == v) & ~F.isnan(v))
+    return materialise(blocks.withColumns({"first_count": F.array_min(counts), "last_count": F.array_max(counts)}), "figures")
 
 
 def meeting_blocks(open_: DataFrame, figures: DataFrame) -> DataFrame:
-    """``(answer_id, ns, bs, xs)``: open numbers with every two blocks of figures that a difference, ratio or percentage among them can come from."""
-    numbers = sorted_blocks(open_, "n").select(
-        "answer_id", F.col("members").alias("ns"), _near_range(F.col("first"))["lo"].alias("lo"), _near_range(F.col("last"))["hi"].alias("hi")
-    )
+    """``(answer_id, ns, bs, xs)``: open numbers with every two blocks of figures that a difference, ratio or percentage among them can come from.
+
+    Numbers that come from first and last figures of blocks alone are found already: their ``bs`` and ``xs`` are null. For any other
+    number no such figure lies in the interval that another leaves, so of an answer's blocks each meets few others, not all.
+    An answer's index, one row of bounds for ``BLOCK`` figures, is passed to the task that deals its pairs of blocks.
+    """
     figures = figures.filter("derives")
-    bounds = lambda x: figures.select("answer_id", F.col("block").alias(f"{x}_block"), F.col("first").alias(f"{x}_first"), F.col("last").alias(f"{x}_last"))
+    index = figures.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("first", "last", "first_count", "last_count", "block"))).alias("blocks"))
     members = lambda x: figures.select("answer_id", F.col("block").alias(f"{x}_block"), F.col("members").alias(f"{x}s"))
-    lo, hi, b_first, b_last = (F.col(c) for c in ("lo", "hi", "b_first", "b_last"))
-    corners = [x * y for x in (lo, hi) for y in (b_first, b_last)]
-    slack = sum((F.abs(x) for x in (lo, hi, b_first, b_last)), F.lit(0.0)) * 1e-6
-
-    def reaches(low: Column, high: Column) -> Column:
-        more = slack + (F.abs(low) + F.abs(high)) * 1e-6
-        return (F.col("x_last") >= low - more) & (F.col("x_first") <= high + more)
-
-    ratios = F.least(*corners), F.greatest(*corners)
-    can = reaches(lo + b_first, hi + b_last) | reaches(*ratios) | reaches(*[x / 100 for x in ratios])
+    numbers = sorted_blocks(open_, "n").select("answer_id", F.col("members").alias("ns"))
+    ids = [StructField(c, LongType()) for c in ("b_block", "x_block")]
+    pairs = numbers.join(index, "answer_id").mapInArrow(_pairs_in, StructType([numbers.schema["answer_id"], numbers.schema["ns"], *ids]))
     return (
-        numbers.join(bounds("b"), "answer_id").join(bounds("x"), "answer_id").filter(can).select("answer_id", "ns", "b_block", "x_block")
-        .join(members("b"), ["answer_id", "b_block"]).join(members("x"), ["answer_id", "x_block"]).select("answer_id", "ns", "bs", "xs")
+        pairs.join(members("b"), ["answer_id", "b_block"], "left").join(members("x"), ["answer_id", "x_block"], "left")
+        .select("answer_id", "ns", "bs", "xs")
     )
 
 
+def _intervals(ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_near_range` of many numbers."""
+    inward, outward = ns / (1 + RELATIVE_TOLERANCE), ns / (1 - RELATIVE_TOLERANCE)
+    return np.minimum(np.minimum(ns - ABSOLUTE_TOLERANCE, inward), outward), np.maximum(np.maximum(ns + ABSOLUTE_TOLERANCE, inward), outward)
+
+
+def _found_at_ends(ns: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of ``ns`` are derived from two of the sorted ``ends``, as many of them at a time as fill one pair of whole blocks."""
+    found = np.zeros(len(ns), bool)
+    step = max(1, BLOCK**2 // len(ns))
+    for k in range(0, len(ends), step):
+        rest, bs = np.nonzero(~found)[0], ends[k : k + step]
+        found[rest[_derived(ns[rest], np.array([0, len(rest)]), bs, np.array([0, len(bs)]), ends, np.array([0, len(ends)]))]] = True
+    return found
+
+
+def _stretches(lo: np.ndarray, hi: np.ndarray, first: np.ndarray, last: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Per number (row) and block (column) the blocks ``start..end`` that hold the other figures of a derivation of this kind."""
+    lo, hi = lo[:, None], hi[:, None]
+    if kind == "difference":
+        low, high = lo + first, hi + last
+    else:
+        corners = np.stack([x * y for x in (lo, hi) for y in (first, last)])
+        low, high = corners.min(axis=0), corners.max(axis=0)
+        if kind == "percentage":
+            most = np.maximum(np.abs(first), np.abs(last))
+            low, high = np.maximum(low / 100, -most), np.minimum(high / 100, most)
+    # a little wider than the test of the figures, which decides
+    slack = (np.abs(lo) + np.abs(hi) + np.abs(first) + np.abs(last) + np.abs(low) + np.abs(high)) * 1e-9 + 1e-300
+    low, high = low - slack, high + slack
+    low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+    return np.searchsorted(last, low, "left"), np.searchsorted(first, high, "right")
+
+
+def _block_pairs(ns: np.ndarray, first: np.ndarray, last: np.ndarray, first_count: np.ndarray, last_count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(number, b, x)`` positions: the blocks of one answer that some of its open numbers can come from."""
+    lo, hi = _intervals(ns)
+    counts = np.nonzero(~np.isnan(first_count))[0]
+    # NaN is the greatest figure
+    bounds = first, np.where(np.isnan(last), np.inf, last), np.arange(len(first))
+    kinds = [("difference", *bounds), ("ratio", *bounds), ("percentage", first_count[counts], last_count[counts], counts)]
+    step = max(1, BLOCK**2 // 8 // len(first))
+    for k in range(0, len(ns), step):
+        keys = []
+        for kind, low, high, block in kinds:
+            start, end = (c.ravel() for c in _stretches(lo[k : k + step], hi[k : k + step], low, high, kind))
+            width = np.maximum(end - start, 0)
+            cell = np.repeat(np.arange(len(width)), width)
+            x = block[start[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(width) - width, width)]
+            n, b = k + cell // max(1, len(block)), block[cell % max(1, len(block))]
+            keys.append((b * len(first) + x) * len(ns) + n)
+        pair, n = np.divmod(np.unique(np.concatenate(keys)), len(ns))
+        yield n, *np.divmod(pair, len(first))
+
+
+def _pairs_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["answer_id", "ns", "b_block", "x_block"]
+    for batch in batches:
+        answers, numbers, blocks = (batch.column(c) for c in ("answer_id", "ns", "blocks"))
+        at, n_at = blocks.offsets.to_numpy().astype(np.int64), numbers.offsets.to_numpy().astype(np.int64)
+        bounds = [blocks.values.field(c).to_numpy(zero_copy_only=False) for c in ("first", "last", "first_count", "last_count", "block")]
+        all_ns = numbers.values.to_numpy(zero_copy_only=False)
+        one = np.nonzero(np.diff(at) == 1)[0]
+        block = pa.array(bounds[4][at[one]], pa.int64())
+        yield pa.RecordBatch.from_arrays([answers.take(pa.array(one)), numbers.take(pa.array(one)), block, block], names)
+        # no more answers than there are whole blocks have several
+        for row in np.nonzero(np.diff(at) > 1)[0]:
+            ns, (*ends, block) = all_ns[n_at[row] : n_at[row + 1]], (c[at[row] : at[row + 1]] for c in bounds)
+
+            def rows(members, offsets, b, x):
+                same = pa.array(np.full(len(offsets) - 1, row))
+                return pa.RecordBatch.from_arrays([answers.take(same), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(members), type=numbers.type), pa.array(b, pa.int64()), pa.array(x, pa.int64())], names)
+
+            with np.errstate(all="ignore"):
+                figures = np.unique(np.concatenate(ends))
+                found = _found_at_ends(ns, figures[~np.isnan(figures)])
+                if found.any():
+                    yield rows(ns[found], [0, found.sum()], [None], [None])
+                ns = ns[~found]
+                for n, b, x in _block_pairs(ns, *ends) if len(ns) else ():
+                    new = np.nonzero(np.diff(b, prepend=-1) | np.diff(x, prepend=-1))[0]
+                    yield rows(ns[n], [*new, len(n)], block[b[new]], block[x[new]])
+
+
 def _lower_bounds(xs: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Per interval the first index in ``start..end`` of a figure of at least ``low``; every such stretch of ``xs`` is sorted."""
     start, end = start.copy(), end.copy()
@@ -229,9 +312,7 @@ def _derived(ns: np.ndarray, n_at: np.ndarray, bs: np.ndarray, b_at: np.ndarray,
     Unit u has the numbers ``ns[n_at[u]:n_at[u + 1]]``, and so on; its ``xs`` are sorted.
     """
     found = np.zeros(len(ns), bool)
-    inward, outward = ns / (1 + RELATIVE_TOLERANCE), ns / (1 - RELATIVE_TOLERANCE)
-    los = np.minimum(np.minimum(ns - ABSOLUTE_TOLERANCE, inward), outward)
-    his = np.maximum(np.maximum(ns + ABSOLUTE_TOLERANCE, inward), outward)
+    los, his = _intervals(ns)
     # every number of a unit with every one of its bs
     width = np.diff(b_at)
     cells = np.diff(n_at) * width
@@ -270,6 +351,7 @@ def _derived(ns: np.ndarray, n_at: np.ndarray, bs: np.ndarray, b_at: np.ndarray,
 def _derived_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         (ns, n_at), (bs, b_at), (xs, x_at) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy().astype(np.int64)) for c in (batch.column(n) for n in ("ns", "bs", "xs")))
+        known = batch.column("bs").is_null().to_numpy(zero_copy_only=False)
         cells = np.cumsum(np.diff(n_at) * np.diff(b_at))
         # as many units at a time as fill one pair of whole blocks
         for rows in np.split(np.arange(len(cells)), np.unique(np.searchsorted(cells, np.arange(BLOCK**2, cells[-1] if len(cells) else 0, BLOCK**2), "right"))):
@@ -278,6 +360,8 @@ def _derived_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first, last = n_at[rows[0]], n_at[rows[-1] + 1]
                 with np.errstate(all="ignore"):
                     hits = _derived(ns[first:last], n_at[of] - first, bs, b_at[of], xs, x_at[of])
+                # without figures: numbers found before
+                hits |= np.repeat(known[rows], np.diff(n_at[of]))
                 row = np.repeat(rows, np.diff(n_at[of]))[hits]
                 yield pa.RecordBatch.from_arrays([batch.column("answer_id").take(pa.array(row)), pa.array(ns[first:last][hits])], ["answer_id", "n"])
 

@@ -88,6 +88,27 @@ def test_audit_over_many_blocks(spark, monkeypatch):
     assert {(r.answer_id, r.uncited_n, r.passes) for r in audit} == {("a", 1, False), ("b", 2, False), ("c", 0, True), ("d", 0, True)}
 
 
+def test_blocks_of_one_answer_meet_few_others(spark, monkeypatch):
+    """Pairs of blocks grow with the blocks of an answer, not with their square, whatever the bounds of its open numbers; what is found stays."""
+    monkeypatch.setattr(citations, "BLOCK", 16)
+    numbers = [-90.0, 0.3, 33.9, 41.7, 500.5, 2503.0, 7e8]
+    figures = {"thousands": [1000.0 * i for i in range(1, 401)], "signed": [37.0 * i + (i % 4) / 4 for i in range(-200, 201)], "limits": [float("inf"), float("-inf"), float("nan"), 1e300, 0.0, *range(3000, 3060)]}
+    frame = lambda d, c: spark.createDataFrame([(a, float(x)) for a, v in d.items() for x in v], f"answer_id string, {c} double")
+    blocks, open_ = citations.figure_blocks(frame(figures, "value")), frame({a: numbers for a in figures}, "n")
+    sizes = {r.answer_id: r["count"] for r in blocks.groupBy("answer_id").count().collect()}
+    pairs = {r.answer_id: r["count"] for r in citations.meeting_blocks(open_, blocks).groupBy("answer_id").count().collect()}
+    assert min(sizes["thousands"], sizes["signed"]) > 24 and all(pairs[a] <= 8 * sizes[a] for a in ("thousands", "signed"))
+
+    def derived(n, a, b):
+        near = lambda x, scale=1.0: min(n - 0.06, n / 1.015, n / 0.985) / scale <= x <= max(n + 0.06, n / 1.015, n / 0.985) / scale
+        return a != b and (near(a - b) or b != 0 and (near(a / b) or a % 1 == 0 and b == b // 1 and abs(a / b) <= 1 and near(a / b, 100.0)))
+
+    got = {(r.answer_id, r.n) for r in citations.derivable(open_, blocks).collect()}
+    finite = {k: [x for x in v if abs(x) < float("inf")] for k, v in figures.items()}
+    want = {(k, n) for k, v in finite.items() for n in numbers if any(derived(n, float(a), float(b)) for a in v for b in v)}
+    assert got == want and ("thousands", 500.5) not in got and 6 < len(got) < 20
+
+
 def test_pool_puts_shown_rows_before_profiles(spark):
     cell = "answer_id string, task_position int, row_id int, position int, value double"
     cells = spark.createDataFrame([("a", 0, 0, 0, 0.5), ("a", 0, 30, 0, 77.0), ("a", 1, 0, 0, 0.31)], cell)
